@@ -93,6 +93,9 @@ def stack_rows(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def last_rows(df: DataFrame, order: str, n: int = 10) -> DataFrame:
-    """The ``n`` rows with the largest ``order`` (a top-k, not a sort)."""
-    return df.orderBy(F.desc(order)).limit(n)
+def last_rows(df: DataFrame, order, n: int = 10) -> DataFrame:
+    """The ``n`` rows last in ``order`` (a column name: largest first; or a
+    list of sort columns). Planned as a top-k (per-partition heaps of n
+    rows, merged), not a full sort."""
+    cols = [F.desc(order)] if isinstance(order, str) else list(order)
+    return df.orderBy(*cols).limit(n)

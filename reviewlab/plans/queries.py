@@ -89,3 +89,7 @@ def q_sentence_sentiment(spark, sf):
     df, lx = prepared(spark, sf)
     s = sentence_sentiment(df, lx.afinn, lx.negators, lx.amplifiers)
     return s.select("v1", F.round("sum_sents", 6).alias("sum_sents"))
+
+
+# the other query groups register themselves on import
+from reviewlab.plans import q_features, q_stats, q_tables  # noqa: E402,F401
