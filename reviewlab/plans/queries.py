@@ -92,4 +92,4 @@ def q_sentence_sentiment(spark, sf):
 
 
 # the other query groups register themselves on import
-from reviewlab.plans import q_features, q_stats, q_tables  # noqa: E402,F401
+from reviewlab.plans import q_features, q_models, q_stats, q_tables  # noqa: E402,F401
