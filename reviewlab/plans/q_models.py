@@ -91,3 +91,65 @@ def q_boosted_cv(spark, sf):
                       colsample_bytree=[0.6])
     return cross_validate(s.where("split = 'train'"), "rating", BOOST_FEATURES, grid,
                           rounds=5, k=5, patience=10, num_class=6)
+
+
+# --- M9: SMOTE ---------------------------------------------------------------
+
+SMOTE_NUMERIC = ["age", "positive_feedback", "sum_senta", "sum_sentb"]
+SMOTE_CATEGORICAL = ["recommended", "age_div", "devision", "class", "department"]
+
+
+def _sentiment_rows(spark, sf):
+    df, lx = prepared(spark, sf)
+    return review_sentiment(df, lx.stop, lx.bing, lx.afinn, keys=KEYS10)
+
+
+@query("smote_neighbours", sql=f"""
+, words as (select {", ".join(KEYS10)}, unnest(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}]+(?:\\x27[\\p{{L}}\\p{{N}}]+)*')) as word from complete)
+, s2 as (
+  select v1, rating, age, positive_feedback,
+         sum(case when b.sentiment = 'positive' then 1 else -1 end) as sum_sentb, sum(a.score) as sum_senta
+  from words w join bing b using (word) join afinn a using (word)
+  where not exists (select 1 from stop_words s where s.word = w.word) and rating in (1, 2, 3, 4)
+  group by all)
+, rg as (select rating, min(age) as l1, max(age) as h1, min(positive_feedback) as l2, max(positive_feedback) as h2,
+                min(sum_senta) as l3, max(sum_senta) as h3, min(sum_sentb) as l4, max(sum_sentb) as h4
+         from s2 group by rating)
+, sc as (select s2.v1, s2.rating,
+                (age - l1) / coalesce(nullif(cast(h1 - l1 as double), 0), 1.0) as x1,
+                (positive_feedback - l2) / coalesce(nullif(cast(h2 - l2 as double), 0), 1.0) as x2,
+                (sum_senta - l3) / coalesce(nullif(cast(h3 - l3 as double), 0), 1.0) as x3,
+                (sum_sentb - l4) / coalesce(nullif(cast(h4 - l4 as double), 0), 1.0) as x4
+         from s2 join rg using (rating))
+, pairs as (select a.rating, a.v1, b.v1 as nb_key,
+                   sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)
+                        + (a.x3 - b.x3) * (a.x3 - b.x3) + (a.x4 - b.x4) * (a.x4 - b.x4)) as dist
+            from sc a join sc b on a.rating = b.rating and a.v1 <> b.v1)
+select rating, v1, nb_key, cast(rk as int) as rank, round(dist, 6) as dist from (
+  select *, row_number() over (partition by rating, v1 order by round(dist, 9), nb_key) as rk from pairs)
+where rk <= 5
+""")
+def q_smote_neighbours(spark, sf):
+    """Exact 5 nearest neighbours within each minority class (grid search;
+    the DuckDB twin compares all pairs)."""
+    from reviewlab.operators.balance import nearest_neighbours
+    s = _sentiment_rows(spark, sf)
+    parts = []
+    for x in (1, 2, 3, 4):
+        nb = nearest_neighbours(s.where(F.col("rating") == x), "v1", SMOTE_NUMERIC, k=5)
+        parts.append(nb.select(F.lit(x).alias("rating"), "v1", "nb_key", "rank",
+                               F.round("dist", 6).alias("dist")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("smote_rows")
+def q_smote_rows(spark, sf):
+    """Minority, synthetic and drawn majority rows for classes 1..4 against 5
+    (600 % over, 100 % under, k = 5), stacked."""
+    from reviewlab.operators.balance import oversample_pairs
+    s = _sentiment_rows(spark, sf)
+    return oversample_pairs(s, "rating", (1, 2, 3, 4), 5, over=600, under=100, k=5,
+                            numeric=SMOTE_NUMERIC, categorical=SMOTE_CATEGORICAL)
