@@ -1,11 +1,30 @@
-"""Neural network steps: evaluation of class probabilities."""
+"""A small dense network on multi-hot word vectors, trained as Spark jobs.
+
+Architecture (the workload's): ``width`` inputs -> 16 ReLU -> 16 ReLU ->
+``classes`` softmax; cross-entropy; RMSprop (lr 0.001, rho 0.9, eps 1e-7);
+Glorot-uniform weights, zero biases.
+
+Training is data parallel. Each step: the weights go out as a broadcast
+variable; ``mapInPandas`` runs forward and backward passes on each
+partition's rows of the step (a hash draw of (key, epoch) picks the step)
+and emits gradient sums as (parameter, value) rows: only the first-layer
+rows of words that occur are emitted, so the output is sparse. A
+``groupBy`` sums them (partial aggregation; the result is bounded by the
+model size, not the data), the driver applies RMSprop. The input is never
+densified: a row is its list of word positions.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlab.functions.columns import argmax
+from reviewlab.operators.sampling import draw_hash
 
 
 def evaluate(df: DataFrame, prob: str, label: str) -> DataFrame:
@@ -14,3 +33,182 @@ def evaluate(df: DataFrame, prob: str, label: str) -> DataFrame:
     p = F.element_at(F.col(prob), F.col(label) + 1)
     return df.agg(F.avg(-F.log(p)).alias("loss"),
                   F.avg((argmax(prob) - 1 == F.col(label)).cast("double")).alias("accuracy"))
+
+
+@dataclass
+class MLPModel:
+    width: int
+    hidden: tuple
+    classes: int
+    weights: list           # [W1, b1, W2, b2, W3, b3] as numpy arrays
+    history: list           # (epoch, loss, accuracy, val_loss, val_accuracy)
+
+
+def _init(width, hidden, classes, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [width, *hidden, classes]
+    ws = []
+    for a, b in zip(sizes[:-1], sizes[1:]):
+        lim = np.sqrt(6.0 / (a + b))
+        ws += [rng.uniform(-lim, lim, size=(a, b)), np.zeros(b)]
+    return ws
+
+
+def _forward(ws, idx_lists):
+    W1, b1, W2, b2, W3, b3 = ws
+    n = len(idx_lists)
+    lens = np.fromiter((len(x) for x in idx_lists), dtype=np.int64, count=n)
+    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in idx_lists]) if n and lens.sum() \
+        else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(n), lens)
+    z1 = np.tile(b1, (n, 1))
+    np.add.at(z1, owner, W1[flat])
+    h1 = np.maximum(z1, 0)
+    z2 = h1 @ W2 + b2
+    h2 = np.maximum(z2, 0)
+    z3 = h2 @ W3 + b3
+    z3 = z3 - z3.max(axis=1, keepdims=True)
+    p = np.exp(z3)
+    p /= p.sum(axis=1, keepdims=True)
+    return flat, owner, h1, h2, p
+
+
+GRAD_SCHEMA = "pid long, val double"
+STAT_SCHEMA = "loss double, hits long, n long"
+
+
+def _grad_fn(bc, steps, epoch, step, key_col, idx_col, label_col):
+    def run(batches):
+        import pandas as pd
+        ws = bc.value
+        W1, b1, W2, b2, W3, b3 = ws
+        H1 = W1.shape[1]
+        sizes = [w.size for w in ws]
+        offsets = np.cumsum([0] + sizes)
+        for pdf in batches:
+            pdf = pdf[pdf["__step"] == step]
+            if not len(pdf):
+                continue
+            idx = list(pdf[idx_col])
+            y = pdf[label_col].to_numpy().astype(np.int64)
+            flat, owner, h1, h2, p = _forward(ws, idx)
+            n = len(pdf)
+            d3 = p.copy()
+            d3[np.arange(n), y] -= 1.0
+            gW3, gb3 = h2.T @ d3, d3.sum(axis=0)
+            d2 = (d3 @ W3.T) * (h2 > 0)
+            gW2, gb2 = h1.T @ d2, d2.sum(axis=0)
+            d1 = (d2 @ W2.T) * (h1 > 0)
+            gb1 = d1.sum(axis=0)
+            words, inv = np.unique(flat, return_inverse=True)
+            gW1 = np.zeros((len(words), H1))
+            np.add.at(gW1, inv, d1[owner])
+            pids = [(words[:, None] * H1 + np.arange(H1)[None, :]).ravel()]
+            vals = [gW1.ravel()]
+            for k, g in ((1, gb1), (2, gW2), (3, gb2), (4, gW3), (5, gb3)):
+                pids.append(offsets[k] + np.arange(g.size))
+                vals.append(g.ravel())
+            loss = float(-np.log(np.maximum(p[np.arange(n), y], 1e-15)).sum())
+            hits = int((p.argmax(axis=1) == y).sum())
+            # statistics ride along as three extra parameters past the end
+            end = offsets[-1]
+            pids.append(np.array([end, end + 1, end + 2]))
+            vals.append(np.array([loss, float(hits), float(n)]))
+            yield pd.DataFrame({"pid": np.concatenate(pids).astype(np.int64),
+                                "val": np.concatenate(vals)})
+    return run
+
+
+def _score_fn(bc, idx_col, keep, classes):
+    def run(batches):
+        for pdf in batches:
+            ws = bc.value
+            if len(pdf):
+                _, _, _, _, p = _forward(ws, list(pdf[idx_col]))
+            else:
+                p = np.zeros((0, classes))
+            out = pdf[keep].copy()
+            out["prob"] = list(p)
+            yield out
+    return run
+
+
+def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
+            hidden=(16, 16), classes: int = 5, epochs: int = 10,
+            steps_per_epoch: int | None = None, batch_size: int | None = 512,
+            validation: DataFrame | None = None, lr: float = 0.001, rho: float = 0.9,
+            eps: float = 1e-7, seed: int = 22) -> MLPModel:
+    """Train on ``df`` (``idx``: array of 0-based word positions < width;
+    ``label``: 0-based class). Steps per epoch: given, or rows / batch_size
+    (rows per step then grow with the data when steps are fixed)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    data = df.select(key, idx, label).persist()
+    n = data.count()
+    steps = steps_per_epoch or max(1, -(-n // (batch_size or n or 1)))
+    ws = _init(width, hidden, classes, seed)
+    acc = [np.zeros_like(w) for w in ws]
+    sizes = [w.size for w in ws]
+    offsets = np.cumsum([0] + sizes)
+    history = []
+    out_schema = T.StructType.fromDDL(GRAD_SCHEMA)
+    for epoch in range(1, epochs + 1):
+        h = F.conv(F.substring(draw_hash(F.col(key), seed, f"epoch{epoch}"), 1, 8), 16, 10).cast("bigint")
+        ep = data.withColumn("__step", F.pmod(h, F.lit(steps)).cast("int"))
+        for step in range(steps):
+            bc = sc.broadcast(ws)
+            g = (ep.where(F.col("__step") == step)
+                 .mapInPandas(_grad_fn(bc, steps, epoch, step, key, idx, label), out_schema)
+                 .groupBy("pid").agg(F.sum("val").alias("val")).collect())
+            bc.unpersist()
+            total = np.zeros(offsets[-1] + 3)
+            for r in g:
+                total[r["pid"]] += r["val"]
+            m = total[offsets[-1] + 2]
+            if m == 0:
+                continue
+            for i, w in enumerate(ws):
+                grad = total[offsets[i]:offsets[i + 1]].reshape(w.shape) / m
+                acc[i] = rho * acc[i] + (1 - rho) * grad * grad
+                ws[i] = w - lr * grad / (np.sqrt(acc[i]) + eps)
+        model = MLPModel(width, tuple(hidden), classes, ws, history)
+        tr = _loss_acc(model, data, idx, label, key)
+        va = _loss_acc(model, validation, idx, label, key) if validation is not None else (None, None)
+        history.append((epoch, tr[0], tr[1], va[0], va[1]))
+    data.unpersist()
+    return MLPModel(width, tuple(hidden), classes, ws, history)
+
+
+def _loss_acc(model: MLPModel, df: DataFrame, idx: str, label: str, key: str):
+    p = predict_mlp(model, df.select(key, idx, label), idx, keep=[key, label])
+    r = evaluate(p, "prob", label).first()
+    return r["loss"], r["accuracy"]
+
+
+def predict_mlp(model: MLPModel, df: DataFrame, idx: str, keep: list[str] | None = None) -> DataFrame:
+    """Class probabilities (``prob``, array of classes) for each row, scored
+    batch-wise with the weights broadcast; add ``argmax(prob)`` for the
+    1-based predicted position."""
+    keep = keep or [c for c in df.columns if c != idx]
+    bc = df.sparkSession.sparkContext.broadcast(model.weights)
+    fields = [f for f in df.schema.fields if f.name in keep]
+    schema = T.StructType(fields + [T.StructField("prob", T.ArrayType(T.DoubleType()))])
+    return df.select(*keep, *([idx] if idx not in keep else [])) \
+        .mapInPandas(_score_fn(bc, idx, keep, model.classes), schema)
+
+
+def history_frame(spark, model: MLPModel) -> DataFrame:
+    return spark.createDataFrame(
+        model.history, "epoch int, loss double, accuracy double, val_loss double, val_accuracy double")
+
+
+def stack(train: DataFrame, test: DataFrame, model: MLPModel, idx: str, key: str = "v1",
+          name: str = "review_vector") -> DataFrame:
+    """The net's predicted class (1-based, as the rating) attached as a
+    column to the training and the test rows, stacked with a ``split``
+    column (the net scores its own training rows, as in the workload)."""
+    parts = []
+    for part, tag in ((train, "train"), (test, "test")):
+        p = predict_mlp(model, part.select(key, idx), idx, keep=[key])
+        parts.append(p.select(key, argmax("prob").alias(name), F.lit(tag).alias("split")))
+    return parts[0].unionByName(parts[1])

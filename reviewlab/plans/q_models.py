@@ -153,3 +153,60 @@ def q_smote_rows(spark, sf):
     s = _sentiment_rows(spark, sf)
     return oversample_pairs(s, "rating", (1, 2, 3, 4), 5, over=600, under=100, k=5,
                             numeric=SMOTE_NUMERIC, categorical=SMOTE_CATEGORICAL)
+
+
+# --- M4-M8: the net on multi-hot words, and its stacked column ------------------
+
+WIDTH = 10_000
+
+
+def _net_inputs(spark, sf):
+    """Reviews with text, split 80/20; vocabulary fitted on the training
+    part only; each row as its 0-based word positions and 0-based label."""
+    from reviewlab.operators.clean import non_blank
+    from reviewlab.operators.text import multi_hot_indices, sequences, tokens, vocabulary
+    from reviewlab.sources.fixtures import reviews
+    r = non_blank(reviews(spark, sf)).select("v1", "review_text", "rating")
+    r = split_exact(r, "v1", 0.8, seed=22)
+    vocab = vocabulary(tokens(r.where("split = 'train'").select("review_text"), "review_text"), WIDTH)
+    seq = sequences(r.select("v1", "review_text"), vocab)
+    rows = r.select("v1", "split", (F.col("rating") - 1).alias("label")).join(seq, "v1") \
+        .select("v1", "split", "label", multi_hot_indices("seq", WIDTH).alias("idx"))
+    from reviewlab.operators.util import cut_lineage
+    return cut_lineage(rows)
+
+
+def _net(spark, sf, epochs=10):
+    from reviewlab.operators.mlp import fit_mlp
+    rows = _net_inputs(spark, sf)
+    train = rows.where("split = 'train'")
+    n_train = train.count()
+    n_val = min(1000, n_train // 5)
+    parts = split_exact(train, "v1", share=None, n=n_val, seed=23, out="part",
+                        first="val", second="fit")
+    m = fit_mlp(parts.where("part = 'fit'"), "idx", "label", WIDTH, classes=5, epochs=epochs,
+                batch_size=512, validation=parts.where("part = 'val'"))
+    return rows, m
+
+
+@query("mlp_history")
+def q_mlp_history(spark, sf):
+    from reviewlab.operators.mlp import history_frame
+    _, m = _net(spark, sf)
+    return history_frame(spark, m)
+
+
+@query("mlp_predictions")
+def q_mlp_predictions(spark, sf):
+    from reviewlab.functions.columns import argmax
+    from reviewlab.operators.mlp import predict_mlp
+    rows, m = _net(spark, sf)
+    p = predict_mlp(m, rows.where("split = 'test'"), "idx", keep=["v1", "label"])
+    return p.select("v1", (F.col("label") + 1).alias("rating"), argmax("prob").alias("prediction"))
+
+
+@query("stacked_column")
+def q_stacked_column(spark, sf):
+    from reviewlab.operators.mlp import stack
+    rows, m = _net(spark, sf)
+    return stack(rows.where("split = 'train'"), rows.where("split = 'test'"), m, "idx")
