@@ -210,3 +210,36 @@ def q_stacked_column(spark, sf):
     from reviewlab.operators.mlp import stack
     rows, m = _net(spark, sf)
     return stack(rows.where("split = 'train'"), rows.where("split = 'test'"), m, "idx")
+
+
+# --- the three flows end to end -------------------------------------------------
+
+def _flow_inputs(spark, sf):
+    from reviewlab.sources.fixtures import lexicons, reviews
+    r = reviews(spark, sf)
+    return r, lexicons(spark, reviews_df=r)
+
+
+@query("flow_polarity_bands")
+def q_flow_a(spark, sf):
+    """Flow A's boosted-tree metrics over the three rating bands."""
+    from reviewlab.plans.flows import polarity_three_bands
+    r, lx = _flow_inputs(spark, sf)
+    return polarity_three_bands(spark, r, lx, rounds=3)["boosted_metrics"]
+
+
+@query("flow_rebalanced_f1")
+def q_flow_b(spark, sf):
+    """Flow B's F1 per class, pruned tree next to boosted trees."""
+    from reviewlab.plans.flows import rebalanced_five_classes
+    r, lx = _flow_inputs(spark, sf)
+    return rebalanced_five_classes(spark, r, lx, rounds=3)["f1"]
+
+
+@query("flow_stacked_f1")
+def q_flow_c(spark, sf):
+    """Flow C's F1 per class with the net's column among the features."""
+    from reviewlab.plans.flows import stacked
+    r, lx = _flow_inputs(spark, sf)
+    rows, m = _net(spark, sf, epochs=3)
+    return stacked(spark, r, lx, rows, m, rounds=3)["f1"]
