@@ -38,6 +38,9 @@ from reviewlab.operators.sampling import column_share, unit_draw
 from reviewlab.operators.util import cut_lineage
 
 NODE_SLOTS_MAX_DEPTH = 12
+# histograms with at most this many (model, class, node, feature, bin) cells
+# are searched for splits on the driver; larger ones stay in Spark
+LOCAL_HIST_MAX_ROWS = 500_000
 
 
 @dataclass
@@ -193,7 +196,12 @@ def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParam
             h2 = h1.select("j", "node", "g", "h", F.posexplode("bins").alias("f", "bin")) \
                 .where(F.element_at(F.element_at(fsel, F.pmod("j", F.lit(K)) + 1), F.col("f") + 1) == 1)
             hist = h2.groupBy("j", "node", "f", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
-            splits = _best_splits(hist, ncat, lam, gam, mcw).collect()
+            bound = J * (2 ** level) * sum(binning.n_bins(c) + 1 for c in names)
+            if bound <= LOCAL_HIST_MAX_ROWS:
+                # the histogram is proven small: one collect, split search in pandas
+                splits = _best_splits_local(hist.collect(), ncat, lam, gam, mcw)
+            else:
+                splits = _best_splits(hist, ncat, lam, gam, mcw).collect()
             if not splits:
                 break
             feat = [-1] * (J * NN)
@@ -296,6 +304,31 @@ def _best_splits(hist: DataFrame, is_cat: list[bool], lam: float, gam: float, mc
     return best.select("j", "node", "s.*")
 
 
+def _best_splits_local(rows, is_cat: list[bool], lam: float, gam: float, mcw: float) -> list[dict]:
+    """The same split search as ``_best_splits``, on a collected histogram."""
+    import numpy as np
+    import pandas as pd
+    if not rows:
+        return []
+    h = pd.DataFrame([tuple(r) for r in rows], columns=["j", "node", "f", "bin", "G", "H"])
+    h = h.sort_values(["j", "node", "f", "bin"], kind="mergesort").reset_index(drop=True)
+    g = h.groupby(["j", "node", "f"], sort=False)
+    h["Gt"], h["Ht"] = g["G"].transform("sum"), g["H"].transform("sum")
+    h["maxbin"] = g["bin"].transform("max")
+    isc = np.asarray(is_cat, dtype=bool)[h["f"].to_numpy()]
+    h["GL"] = np.where(isc, h["G"], g["G"].cumsum())
+    h["HL"] = np.where(isc, h["H"], g["H"].cumsum())
+    GR, HR = h["Gt"] - h["GL"], h["Ht"] - h["HL"]
+    h["gain"] = 0.5 * (h["GL"] ** 2 / (h["HL"] + lam) + GR ** 2 / (HR + lam)
+                       - h["Gt"] ** 2 / (h["Ht"] + lam)) - gam
+    ok = (h["HL"] >= mcw) & (HR >= mcw) & (h["gain"] > 1e-12) & (isc | (h["bin"] < h["maxbin"]))
+    c = h[ok].sort_values(["j", "node", "gain", "f", "bin"], ascending=[True, True, False, True, True],
+                          kind="mergesort")
+    best = c.groupby(["j", "node"], sort=False).head(1)
+    return [{"j": int(r.j), "node": int(r.node), "f": int(r.f), "bin": int(r.bin),
+             "gain": float(r.gain), "H": float(r.Ht)} for r in best.itertuples()]
+
+
 def _prepare(df: DataFrame, label: str, key: str, binning: Binning, labels: list,
              tr: Column, ev: Column, M: int) -> DataFrame:
     K = len(labels)
