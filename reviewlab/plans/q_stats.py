@@ -203,8 +203,10 @@ def q_density_by_rating(spark, sf):
 def _rating45_sents(spark, sf):
     df, lx = prepared(spark, sf)
     s = sentence_sentiment(df, lx.afinn, lx.negators, lx.amplifiers)
-    return df.where(F.col("rating").isin(4, 5)).select("v1", "rating").join(s, "v1", "left") \
+    kk = df.where(F.col("rating").isin(4, 5)).select("v1", "rating").join(s, "v1", "left") \
         .na.fill({"sum_sents": 0.0})
+    from reviewlab.operators.util import cut_lineage
+    return cut_lineage(kk)   # read by the bandwidth pass and the kernel pass
 
 
 @query("density_equality_test")
