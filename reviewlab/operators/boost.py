@@ -164,16 +164,7 @@ def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParam
     cur = rows.persist()
     lam, gam, mcw = params.lam, params.gamma, params.min_child_weight
     for r in range(1, rounds + 1):
-        # gradients of every (model, class), and this round's row draw
-        base = _with_probs(cur, M, K)
-        base = base.withColumn("__g", F.transform(
-            "__p", lambda p, j: p - (F.pmod(j, F.lit(K)) == F.col("y")).cast("double")))
-        base = base.withColumn("__h", F.transform(
-            "__p", lambda p: F.greatest(2.0 * p * (1.0 - p), F.lit(1e-16))))
-        sub = (unit_draw(F.col("key"), seed, f"row{r}") < params.subsample) \
-            if params.subsample < 1.0 else F.lit(True)
-        base = base.withColumn("__sub", sub).withColumn(
-            "__nd", F.array_repeat(F.lit(0), J)).persist()
+        base = _gradients(cur, M, K, params.subsample, seed, r).persist()
         feats_by_class = [
             [names.index(c) for c in column_share(names, params.colsample_bytree, r * K + k, seed)]
             for k in range(K)]
@@ -182,20 +173,7 @@ def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParam
         splits_all = [dict() for _ in range(J)]
         cur_nd = base
         for level in range(depth):
-            # histogram of this level: (j, node, feature, bin) -> sum g, sum h
-            entries = F.filter(
-                F.transform(F.sequence(F.lit(0), F.lit(J - 1)), lambda j: F.struct(
-                    j.alias("j"),
-                    F.element_at("__nd", j + 1).alias("node"),
-                    F.element_at("__g", j + 1).alias("g"),
-                    F.element_at("__h", j + 1).alias("h"),
-                    F.element_at("tr", F.floor(j / K).cast("int") + 1).alias("t"))),
-                lambda e: (e["t"] == 1) & (e["node"] >= 0))
-            h1 = (cur_nd.where("__sub").select("bins", F.explode(entries).alias("e"))
-                  .select("bins", "e.*"))
-            h2 = h1.select("j", "node", "g", "h", F.posexplode("bins").alias("f", "bin")) \
-                .where(F.element_at(F.element_at(fsel, F.pmod("j", F.lit(K)) + 1), F.col("f") + 1) == 1)
-            hist = h2.groupBy("j", "node", "f", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+            hist = _histogram(cur_nd, J, K, fsel)
             bound = J * (2 ** level) * sum(binning.n_bins(c) + 1 for c in names)
             if bound <= LOCAL_HIST_MAX_ROWS:
                 # the histogram is proven small: one collect, split search in pandas
@@ -329,6 +307,55 @@ def _best_splits_local(rows, is_cat: list[bool], lam: float, gam: float, mcw: fl
              "gain": float(r.gain), "H": float(r.Ht)} for r in best.itertuples()]
 
 
+def _gradients(cur: DataFrame, M: int, K: int, subsample: float, seed: int, r: int) -> DataFrame:
+    """Softmax gradients g = p - y and hessians h = max(2p(1-p), 1e-16) of
+    every (model, class), this round's row draw, and all rows at the root."""
+    base = _with_probs(cur, M, K)
+    base = base.withColumn("__g", F.transform(
+        "__p", lambda p, j: p - (F.pmod(j, F.lit(K)) == F.col("y")).cast("double")))
+    base = base.withColumn("__h", F.transform(
+        "__p", lambda p: F.greatest(2.0 * p * (1.0 - p), F.lit(1e-16))))
+    sub = (unit_draw(F.col("key"), seed, f"row{r}") < subsample) if subsample < 1.0 else F.lit(True)
+    return base.withColumn("__sub", sub).withColumn("__nd", F.array_repeat(F.lit(0), M * K))
+
+
+def _histogram(frame: DataFrame, J: int, K: int, fsel: Column | None = None) -> DataFrame:
+    """(j, node, f, bin) -> G, H over the drawn training rows of open nodes:
+    rows explode to (model-class, feature) entries and are summed with
+    map-side partial aggregation, so only histogram cells are shuffled."""
+    entries = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(J - 1)), lambda j: F.struct(
+            j.alias("j"),
+            F.element_at("__nd", j + 1).alias("node"),
+            F.element_at("__g", j + 1).alias("g"),
+            F.element_at("__h", j + 1).alias("h"),
+            F.element_at("tr", F.floor(j / K).cast("int") + 1).alias("t"))),
+        lambda e: (e["t"] == 1) & (e["node"] >= 0))
+    h1 = frame.where("__sub").select("bins", F.explode(entries).alias("e")).select("bins", "e.*")
+    h2 = h1.select("j", "node", "g", "h", F.posexplode("bins").alias("f", "bin"))
+    if fsel is not None:
+        h2 = h2.where(F.element_at(F.element_at(fsel, F.pmod("j", F.lit(K)) + 1), F.col("f") + 1) == 1)
+    return h2.groupBy("j", "node", "f", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+
+
+def root_histogram(df: DataFrame, label: str, features: list[str], num_class: int | None = None,
+                   categorical: list[str] | None = None, key: str = "v1", bins: int = 64) -> DataFrame:
+    """First-round root histogram (all margins 0): class index, feature,
+    bin (and level for categories), G, H."""
+    binning = fit_binning(df, features, categorical, bins)
+    labels = class_labels(df, label, num_class)
+    K = len(labels)
+    rows = _prepare(df, label, key, binning, labels, F.array(F.lit(1)), F.array(F.lit(0)), 1)
+    hist = _histogram(_gradients(rows, 1, K, 1.0, 22, 1), K, K)
+    names = _const_array(binning.features, "string")
+    lv = F.from_json(F.lit(json.dumps([binning.levels.get(f, []) for f in binning.features])),
+                     "array<array<string>>")
+    return hist.select(
+        F.col("j").alias("class_index"), F.element_at(names, F.col("f") + 1).alias("feature"),
+        "bin", F.element_at(F.element_at(lv, F.col("f") + 1), F.col("bin") + 1).alias("level"),
+        "G", "H")
+
+
 def _prepare(df: DataFrame, label: str, key: str, binning: Binning, labels: list,
              tr: Column, ev: Column, M: int) -> DataFrame:
     K = len(labels)

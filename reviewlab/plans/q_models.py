@@ -243,3 +243,24 @@ def q_flow_c(spark, sf):
     r, lx = _flow_inputs(spark, sf)
     rows, m = _net(spark, sf, epochs=3)
     return stacked(spark, r, lx, rows, m, rounds=3)["f1"]
+
+
+@query("boost_root_histogram", sql="""
+, cnt as (
+  select 'devision' as feature, devision as level, rating, count(*) as n from complete group by all
+  union all select 'class', class, rating, count(*) from complete group by all
+  union all select 'department', department, rating, count(*) from complete group by all)
+, ks as (select unnest(range(0, 6)) as k)
+select cast(k as int) as class_index, feature, level,
+       round(sum(n) / 6.0 - sum(case when rating = k then n else 0 end), 6) as G,
+       round(sum(n) * (2 * (cast(1 as double) / 6) * (cast(5 as double) / 6)), 6) as H
+from cnt, ks group by all
+""")
+def q_boost_root_histogram(spark, sf):
+    """Round 1, level 0 of the softmax boosting: gradient sums per class,
+    feature and level (6 classes, as the workload sets)."""
+    from reviewlab.operators.boost import root_histogram
+    df, _ = prepared(spark, sf)
+    h = root_histogram(df, "rating", ["devision", "class", "department"], num_class=6)
+    return h.select("class_index", "feature", "level", F.round("G", 6).alias("G"),
+                    F.round("H", 6).alias("H"))
