@@ -13,6 +13,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlab.operators.util import bounded_broadcast
+
 
 def class_means(df: DataFrame, by: str = "class",
                 cols: dict[str, str] | None = None) -> DataFrame:
@@ -50,8 +52,11 @@ def chi_square_statistic(df: DataFrame, a: str, b: str) -> DataFrame:
     table of two factors does). One row: statistic, dof, n.
     """
     cells = crosstab_long(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
-    cells = (cells.withColumn("r", F.sum("n").over(Window.partitionBy(a)))
-                  .withColumn("c", F.sum("n").over(Window.partitionBy(b))))
+    # row and column totals are aggregates joined back (no window keyed by a
+    # value that might hold most of the rows)
+    rows_t = cells.groupBy(a).agg(F.sum("n").alias("r"))
+    cols_t = cells.groupBy(b).agg(F.sum("n").alias("c"))
+    cells = cells.join(rows_t, a).join(cols_t, b)
     agg = cells.agg(
         F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"),
         F.sum("n").alias("n"),
@@ -166,8 +171,10 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0,
             .groupBy(*keys, F.col(col).cast("double").alias("v"))
             .agg(F.count(F.lit(1)).alias("m")))
     if by:
-        # one row per (group, distinct value): histogram-sized
-        vals = vals.withColumn("ng", F.sum("m").over(Window.partitionBy(by)))
+        # group sizes: one row per group (aggregated map-side), joined back;
+        # a group holding most rows never lands in a single task
+        sizes = vals.groupBy(by).agg(F.sum("m").alias("ng"))
+        vals = vals.join(bounded_broadcast(sizes, 100_000), by)
     else:
         vals = vals.withColumn("ng", F.lit(st["n"]))
     spread = vals.select(*keys, "v", "m", "ng",
