@@ -35,6 +35,9 @@ from reviewlab.operators.sampling import draw_hash, split_exact, unit_draw
 from reviewlab.operators.util import cut_lineage
 
 
+MAX_CELL_POINTS = 2_000
+
+
 def _offsets(d: int) -> list[list[int]]:
     return [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
 
@@ -62,8 +65,16 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     vec = pts.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("pid"))
     vec = vec.persist()
     n_pts = vec.count()
-    # start with cells that hold about `cell_points` points on average
+    # start with cells that hold about `cell_points` points on average, then
+    # narrow them until the busiest cell holds at most MAX_CELL_POINTS
+    # distinct points (clustered data), which bounds every point's candidates
     s = min(1.0, (cell_points / max(n_pts, 1)) ** (1.0 / d))
+    for _ in range(20):
+        busiest = (vec.groupBy(F.transform("x", lambda v: F.floor(v / s).cast("int")).alias("c"))
+                   .count().agg(F.max("count")).first()[0])
+        if busiest <= MAX_CELL_POINTS:
+            break
+        s /= 3
     results = []
     open_ids = vec.select("pid")
     offs = F.from_json(F.lit(str(_offsets(d))), "array<array<int>>")

@@ -153,3 +153,20 @@ def test_cv_table_and_grid(spark, boost_data):
                         patience=10)
     rows = cv.collect()
     assert len(rows) == 2 and all(1 <= r["bestIteration"] <= 3 for r in rows)
+
+
+def test_nearest_neighbours_clustered(spark, monkeypatch):
+    import reviewlab.operators.balance as bal
+    monkeypatch.setattr(bal, "MAX_CELL_POINTS", 6)   # force the cell refinement
+    rng = np.random.default_rng(11)
+    pts = np.vstack([rng.normal(0.5, 0.001, size=(50, 2)), rng.uniform(0, 1, size=(10, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)],
+                               "v1 long, a double, b double")
+    got = {(r["v1"], r["rank"]): r["nb_key"]
+           for r in bal.nearest_neighbours(df, "v1", ["a", "b"], k=4).collect()}
+    lo, hi = pts.min(axis=0), pts.max(axis=0)
+    x = (pts - lo) / (hi - lo)
+    for i in range(len(pts)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        order = sorted((round(d[j], 9), j) for j in range(len(pts)) if j != i)[:4]
+        assert [got[(i, r)] for r in range(1, 5)] == [j for _, j in order]
