@@ -63,7 +63,7 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     pts = base.select(key, F.array(*scaled).alias("x"))
     # distinct points with their row keys (identical rows collapse)
     vec = pts.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("pid"))
-    vec = vec.persist()
+    vec = cut_lineage(vec)
     n_pts = vec.count()
     # start with cells that hold about `cell_points` points on average, then
     # narrow them until the busiest cell holds at most MAX_CELL_POINTS
@@ -95,19 +95,24 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
         w = Window.partitionBy("qid").orderBy(F.round("dist", 9), "pid")
         ranked = cand.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
             .withColumn("before", F.col("upto") - F.col("m"))
-        first_k = ranked.where(F.col("before") < k)
-        status = first_k.groupBy("qid").agg(F.max("upto").alias("got"), F.max("dist").alias("kd"))
+        status = cut_lineage(ranked.where(F.col("before") < k).groupBy("qid")
+                             .agg(F.max("upto").alias("got"), F.max("dist").alias("kd")))
         last = s >= 1.0
-        done = status.where((F.col("got") >= k) & (F.col("kd") <= s)) if not last else status
-        done = done.select("qid", "kd").persist()
-        done_ids = done.select("qid")
+        final = (F.col("got") >= k) & (F.col("kd") <= s) if not last else F.lit(True)
+        done = status.where(final).select("qid", "kd")
         # keep every point tied with the k-th distance: rows are ranked by key below
-        kept = ranked.join(done, "qid").where(F.round("dist", 9) <= F.round("kd", 9))
-        results.append(kept.select("qid", "pid", "m", "dist"))
-        open_ids = vec.select("pid").join(done_ids.withColumnRenamed("qid", "pid"), "pid", "left_anti")
+        results.append(cut_lineage(ranked.join(done, "qid")
+                                   .where(F.round("dist", 9) <= F.round("kd", 9))
+                                   .select("qid", "pid", "m", "dist")))
+        # open = the points still open at this level and not final here
+        open_ids = cut_lineage(open_ids.join(done.select(F.col("qid").alias("pid")), "pid",
+                                             "left_anti"))
         if last or open_ids.limit(1).count() == 0:
             break
-        s = min(1.0, s * 3)
+        # next cells: three times wider, or at once as wide as the nearest
+        # k-th distance still open
+        need = status.where(~final & (F.col("got") >= k)).agg(F.min("kd")).first()[0]
+        s = min(1.0, max(3 * s, need or 0.0))
     nb = results[0]
     for r in results[1:]:
         nb = nb.unionByName(r)
