@@ -177,7 +177,7 @@ def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParam
             bound = J * (2 ** level) * sum(binning.n_bins(c) + 1 for c in names)
             if bound <= LOCAL_HIST_MAX_ROWS:
                 # the histogram is proven small: one collect, split search in pandas
-                splits = _best_splits_local(hist.collect(), ncat, lam, gam, mcw)
+                splits = _best_splits_local(hist.toPandas(), ncat, lam, gam, mcw)
             else:
                 splits = _best_splits(hist, ncat, lam, gam, mcw).collect()
             if not splits:
@@ -286,9 +286,11 @@ def _best_splits_local(rows, is_cat: list[bool], lam: float, gam: float, mcw: fl
     """The same split search as ``_best_splits``, on a collected histogram."""
     import numpy as np
     import pandas as pd
-    if not rows:
+    cols = ["j", "node", "f", "bin", "G", "H"]
+    h = rows[cols].copy() if isinstance(rows, pd.DataFrame) else \
+        pd.DataFrame([tuple(r) for r in rows], columns=cols)
+    if h.empty:
         return []
-    h = pd.DataFrame([tuple(r) for r in rows], columns=["j", "node", "f", "bin", "G", "H"])
     h = h.sort_values(["j", "node", "f", "bin"], kind="mergesort").reset_index(drop=True)
     g = h.groupby(["j", "node", "f"], sort=False)
     h["Gt"], h["Ht"] = g["G"].transform("sum"), g["H"].transform("sum")

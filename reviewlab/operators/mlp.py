@@ -74,7 +74,6 @@ def _forward(ws, idx_lists):
 
 
 GRAD_SCHEMA = "pid long, val double"
-STAT_SCHEMA = "loss double, hits long, n long"
 
 
 def _grad_fn(bc, steps, epoch, step, key_col, idx_col, label_col):
@@ -157,13 +156,13 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
         ep = data.withColumn("__step", F.pmod(h, F.lit(steps)).cast("int"))
         for step in range(steps):
             bc = sc.broadcast(ws)
+            # summed per parameter in Spark: at most the model size comes back
             g = (ep.where(F.col("__step") == step)
                  .mapInPandas(_grad_fn(bc, steps, epoch, step, key, idx, label), out_schema)
-                 .groupBy("pid").agg(F.sum("val").alias("val")).collect())
+                 .groupBy("pid").agg(F.sum("val").alias("val")).toPandas())
             bc.unpersist()
             total = np.zeros(offsets[-1] + 3)
-            for r in g:
-                total[r["pid"]] += r["val"]
+            np.add.at(total, g["pid"].to_numpy(dtype=np.int64), g["val"].to_numpy(dtype=float))
             m = total[offsets[-1] + 2]
             if m == 0:
                 continue
