@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlab.operators.sampling import draw_hash, split_exact, unit_draw
-from reviewlab.operators.util import cut_lineage
+from reviewlab.operators.util import bounded_broadcast, cut_lineage
 
 
 MAX_CELL_POINTS = 2_000
@@ -43,26 +43,33 @@ def _offsets(d: int) -> list[list[int]]:
 
 
 def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
-                       cell_points: int = 8) -> DataFrame:
-    """Exact k nearest neighbours of every row among the rows of ``df``.
+                       cell_points: int = 8, by: str | None = None) -> DataFrame:
+    """Exact k nearest neighbours of every row among the rows of ``df``
+    (with ``by``: among the rows of the same group; each group is scaled by
+    its own ranges, and all groups are searched in the same jobs).
 
     Returns (key, nb_key, dist, rank): rank 1..k by (distance rounded to 1e-9,
-    neighbour key); fewer than k when the frame is that small. Rows with a
+    neighbour key); fewer than k when the group is that small. Rows with a
     null numeric value are left out.
     """
     spark = df.sparkSession
     d = len(numeric)
-    base = df.select(key, *[F.col(c).cast("double").alias(c) for c in numeric]).dropna()
-    rng = base.agg(*[F.min(c).alias(f"lo_{c}") for c in numeric],
-                   *[F.max(c).alias(f"hi_{c}") for c in numeric],
-                   F.count(F.lit(1)).alias("n")).first()
-    if not rng["n"]:
+    g = F.col(by) if by else F.lit(0)
+    base = df.select(key, g.alias("__g"), *[F.col(c).cast("double").alias(c) for c in numeric]) \
+        .dropna()
+    # ranges per group: one row per group (size-checked), joined back
+    ranges = base.groupBy("__g").agg(*[F.min(c).alias(f"lo_{c}") for c in numeric],
+                                     *[F.max(c).alias(f"hi_{c}") for c in numeric])
+    if base.limit(1).count() == 0:
         return spark.createDataFrame([], f"{key} bigint, nb_key bigint, dist double, rank int")
-    scaled = [((F.col(c) - rng[f"lo_{c}"]) / ((rng[f"hi_{c}"] - rng[f"lo_{c}"]) or 1.0))
+    scaled = [F.try_divide(F.col(c) - F.col(f"lo_{c}"),
+                           F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"),
+                                  F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(F.lit(1.0)))
               for c in numeric]
-    pts = base.select(key, F.array(*scaled).alias("x"))
+    pts = base.join(bounded_broadcast(ranges, 100_000), "__g") \
+        .select(key, "__g", F.array(*scaled).alias("x"))
     # distinct points with their row keys (identical rows collapse)
-    vec = pts.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("pid"))
+    vec = pts.groupBy("__g", "x").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("pid"))
     vec = cut_lineage(vec)
     n_pts = vec.count()
     # start with cells that hold about `cell_points` points on average, then
@@ -70,7 +77,7 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     # distinct points (clustered data), which bounds every point's candidates
     s = min(1.0, (cell_points / max(n_pts, 1)) ** (1.0 / d))
     for _ in range(20):
-        busiest = (vec.groupBy(F.transform("x", lambda v: F.floor(v / s).cast("int")).alias("c"))
+        busiest = (vec.groupBy("__g", F.transform("x", lambda v: F.floor(v / s).cast("int")).alias("c"))
                    .count().agg(F.max("count")).first()[0])
         if busiest <= MAX_CELL_POINTS:
             break
@@ -80,12 +87,12 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     offs = F.from_json(F.lit(str(_offsets(d))), "array<array<int>>")
     while True:
         cell = F.transform("x", lambda v: F.floor(v / s).cast("int"))
-        cells = vec.select("pid", "x", "m", cell.alias("c"))
+        cells = vec.select("__g", "pid", "x", "m", cell.alias("c"))
         q = cells.join(open_ids, "pid").select(
-            F.col("pid").alias("qid"), F.col("x").alias("qx"),
+            "__g", F.col("pid").alias("qid"), F.col("x").alias("qx"),
             F.explode(F.transform(offs, lambda o: F.zip_with(F.col("c"), o, lambda a, b: a + b)))
             .alias("c"))
-        cand = q.join(cells, "c").select(
+        cand = q.join(cells, ["__g", "c"]).select(
             "qid", "pid", "m",
             F.sqrt(F.aggregate(F.zip_with("qx", "x", lambda a, b: (a - b) * (a - b)),
                                F.lit(0.0), lambda acc, v: acc + v)).alias("dist"))
@@ -118,7 +125,7 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
         nb = nb.unionByName(r)
     # back to rows: each neighbour point stands for its m rows; rows of the
     # query point itself share its neighbour list
-    members = pts.join(vec.select("x", "pid"), "x").select(key, "pid")
+    members = pts.join(vec.select("__g", "x", "pid"), ["__g", "x"]).select(key, "pid")
     nbr = nb.join(members.withColumnRenamed(key, "nb_key"), "pid")
     rows = members.withColumnRenamed("pid", "qid").join(nbr, "qid").where(F.col(key) != F.col("nb_key"))
     w2 = Window.partitionBy(key).orderBy(F.round("dist", 9), "nb_key")
@@ -132,30 +139,42 @@ def smote(df: DataFrame, label: str, minority, against=5, over: int = 600, under
     """Minority rows, their synthetic rows and the drawn majority rows
     (column ``origin`` says which), for the class pair (minority, against).
 
-    Synthetic rows get key -1 - (copy * 10^12 + parent key) style ids in
-    column ``key`` (negative, so they never collide with data keys).
+    Synthetic rows get key -(copy * 10^12 + parent key) - 1 (negative, so
+    they never collide with data keys).
     """
+    return oversample_pairs(df, label, [minority], against, over=over, under=under, k=k,
+                            numeric=numeric, categorical=categorical, key=key,
+                            seed=seed).drop("pair")
+
+
+def oversample_pairs(df: DataFrame, label: str, minorities=(1, 2, 3, 4), against=5,
+                     over: int = 600, under: int = 100, k: int = 5,
+                     numeric: list[str] | None = None, categorical: list[str] | None = None,
+                     key: str = "v1", seed: int = 22) -> DataFrame:
+    """``smote`` of each minority class against the majority class, stacked
+    (column ``pair``). Neighbours and synthetic rows of all minority classes
+    are computed in the same jobs; each pair draws its own majority rows."""
     numeric = numeric or []
     categorical = categorical or []
+    minorities = list(minorities)
     cols = [key, label] + categorical + numeric
     data = df.select(*cols)
-    mino = data.where(F.col(label) == minority)
+    mino = data.where(F.col(label).isin(*minorities))
     majo = data.where(F.col(label) == against)
     copies = over // 100
-    nb = cut_lineage(nearest_neighbours(mino, key, numeric, k))  # read three times below
+    # read three times below: written once to the checkpoint folder
+    nb = cut_lineage(nearest_neighbours(mino, key, numeric, k, by=label))
     n_nb = nb.groupBy(key).agg(F.count(F.lit(1)).alias("nn"))
     # one synthetic row per (row, copy): neighbour rank and gap are hash draws
     syn = (mino.join(n_nb, key)
            .select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")))
-    pick = F.pmod(F.conv(F.substring(draw_hash(F.concat_ws("-", F.col(key).cast("string"),
-                                                          F.col("copy").cast("string")),
-                                                seed, "nb"), 1, 8), 16, 10).cast("bigint"),
+    gkey = F.concat_ws("-", F.col(key).cast("string"), F.col("copy").cast("string"))
+    pick = F.pmod(F.conv(F.substring(draw_hash(gkey, seed, "nb"), 1, 8), 16, 10).cast("bigint"),
                   F.col("nn")) + 1
     syn = syn.withColumn("rank", pick.cast("int")).join(nb, [key, "rank"])
     partner = data.select(F.col(key).alias("nb_key"),
                           *[F.col(c).alias(f"nb_{c}") for c in categorical + numeric])
     syn = syn.join(partner, "nb_key")
-    gkey = F.concat_ws("-", F.col(key).cast("string"), F.col("copy").cast("string"))
     gap = unit_draw(gkey, seed, "gap")
     out = [(-(F.col("copy") * F.lit(10 ** 12) + F.col(key)) - 1).alias(key), F.col(label)]
     for c in categorical:
@@ -164,32 +183,25 @@ def smote(df: DataFrame, label: str, minority, against=5, over: int = 600, under
     for c in numeric:
         x, y = F.col(c).cast("double"), F.col(f"nb_{c}").cast("double")
         out.append((x + gap * (y - x)).alias(c))
-    synthetic = syn.select(*out).withColumn("origin", F.lit("synthetic"))
-    # majority rows: under% of the synthetic count, without replacement while
-    # they last, then whole further copies (copy number in the hash)
-    n_syn = synthetic.count()
-    want = n_syn * under // 100
+    synthetic = cut_lineage(syn.select(*out).withColumn("origin", F.lit("synthetic"))
+                            .withColumn("pair", F.col(label)))
+    # majority rows per pair: under% of its synthetic count, without
+    # replacement while they last, then further whole copies
+    n_syn = {r[0]: r[1] for r in synthetic.groupBy(label).count().collect()}
     n_maj = majo.count()
-    chosen = []
-    rounds = math.ceil(want / n_maj) if n_maj else 0
-    for r in range(rounds):
-        take = min(n_maj, want - r * n_maj)
-        part = split_exact(majo, key, share=None, n=take, seed=seed + r, out="__pick")
-        chosen.append(part.where("__pick = 'train'").drop("__pick"))
     mcast = [F.col(key), F.col(label)] + [F.col(c) for c in categorical] + \
         [F.col(c).cast("double").alias(c) for c in numeric]
-    parts = [mino.select(*mcast).withColumn("origin", F.lit("minority")), synthetic]
-    parts += [c.select(*mcast).withColumn("origin", F.lit("majority")) for c in chosen]
+    parts = [mino.select(*mcast).withColumn("origin", F.lit("minority"))
+             .withColumn("pair", F.col(label)), synthetic]
+    for x in minorities:
+        want = n_syn.get(x, 0) * under // 100
+        for r in range(math.ceil(want / n_maj) if n_maj else 0):
+            take = min(n_maj, want - r * n_maj)
+            part = split_exact(majo, key, share=None, n=take, seed=seed + 1000 * r + x,
+                               out="__pick")
+            parts.append(part.where("__pick = 'train'").select(*mcast)
+                         .withColumn("origin", F.lit("majority")).withColumn("pair", F.lit(x)))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
-
-
-def oversample_pairs(df: DataFrame, label: str, minorities=(1, 2, 3, 4), against=5, **kw) -> DataFrame:
-    """``smote`` for each minority class against the majority, stacked."""
-    out = None
-    for x in minorities:
-        part = smote(df, label, x, against, **kw).withColumn("pair", F.lit(x))
-        out = part if out is None else out.unionByName(part)
-    return out

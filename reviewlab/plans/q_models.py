@@ -133,16 +133,10 @@ def q_smote_neighbours(spark, sf):
     """Exact 5 nearest neighbours within each minority class (grid search;
     the DuckDB twin compares all pairs)."""
     from reviewlab.operators.balance import nearest_neighbours
-    s = _sentiment_rows(spark, sf)
-    parts = []
-    for x in (1, 2, 3, 4):
-        nb = nearest_neighbours(s.where(F.col("rating") == x), "v1", SMOTE_NUMERIC, k=5)
-        parts.append(nb.select(F.lit(x).alias("rating"), "v1", "nb_key", "rank",
-                               F.round("dist", 6).alias("dist")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = _sentiment_rows(spark, sf).where(F.col("rating").isin(1, 2, 3, 4))
+    nb = nearest_neighbours(s, "v1", SMOTE_NUMERIC, k=5, by="rating")
+    return nb.join(s.select("v1", "rating"), "v1").select(
+        "rating", "v1", "nb_key", "rank", F.round("dist", 6).alias("dist"))
 
 
 @query("smote_rows")
