@@ -7,7 +7,9 @@ Glorot-uniform weights, zero biases.
 Training is data parallel. Each step: the weights go out as a broadcast
 variable; ``mapInPandas`` runs forward and backward passes on each
 partition's rows of the step (a hash draw of (key, epoch) picks the step)
-and emits gradient sums as (parameter, value) rows: only the first-layer
+and emits gradient sums as (parameter, value) rows (on large inputs each
+epoch's rows are written once partitioned by step, so a step reads only its
+own rows instead of rescanning the training set): only the first-layer
 rows of words that occur are emitted, so the output is sparse. A
 ``groupBy`` sums them (partial aggregation; the result is bounded by the
 model size, not the data), the driver applies RMSprop. The input is never
@@ -16,6 +18,8 @@ densified: a row is its list of word positions.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +29,7 @@ from pyspark.sql import types as T
 
 from reviewlab.functions.columns import argmax
 from reviewlab.operators.sampling import draw_hash
+from reviewlab.session import ensure_checkpoint_dir
 
 
 def evaluate(df: DataFrame, prob: str, label: str) -> DataFrame:
@@ -74,6 +79,8 @@ def _forward(ws, idx_lists):
 
 
 GRAD_SCHEMA = "pid long, val double"
+# above this many training rows, each epoch is written partitioned by step
+STAGE_MIN_ROWS = 1_000_000
 
 
 def _grad_fn(bc, steps, epoch, step, key_col, idx_col, label_col):
@@ -136,7 +143,7 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
             hidden=(16, 16), classes: int = 5, epochs: int = 10,
             steps_per_epoch: int | None = None, batch_size: int | None = 512,
             validation: DataFrame | None = None, lr: float = 0.001, rho: float = 0.9,
-            eps: float = 1e-7, seed: int = 22) -> MLPModel:
+            eps: float = 1e-7, seed: int = 22, stage: bool | None = None) -> MLPModel:
     """Train on ``df`` (``idx``: array of 0-based word positions < width;
     ``label``: 0-based class). Steps per epoch: given, or rows / batch_size
     (rows per step then grow with the data when steps are fixed)."""
@@ -151,9 +158,19 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
     offsets = np.cumsum([0] + sizes)
     history = []
     out_schema = T.StructType.fromDDL(GRAD_SCHEMA)
+    # large inputs: stage each epoch by step (one write, then pruned reads);
+    # small ones: filter the cached rows per step
+    staged = n > STAGE_MIN_ROWS if stage is None else stage
+    run_dir = os.path.join(ensure_checkpoint_dir(spark), f"mlp-{uuid.uuid4().hex}")
     for epoch in range(1, epochs + 1):
         h = F.conv(F.substring(draw_hash(F.col(key), seed, f"epoch{epoch}"), 1, 8), 16, 10).cast("bigint")
+        # the epoch's rows are written once, partitioned by step, to the shared
+        # checkpoint folder; each step then reads only its own partition
         ep = data.withColumn("__step", F.pmod(h, F.lit(steps)).cast("int"))
+        if staged:
+            path = os.path.join(run_dir, f"epoch={epoch}")
+            ep.write.partitionBy("__step").mode("overwrite").parquet(path)
+            ep = spark.read.parquet(path)
         for step in range(steps):
             bc = sc.broadcast(ws)
             # summed per parameter in Spark: at most the model size comes back

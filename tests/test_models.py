@@ -170,3 +170,12 @@ def test_nearest_neighbours_clustered(spark, monkeypatch):
         d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         order = sorted((round(d[j], 9), j) for j in range(len(pts)) if j != i)[:4]
         assert [got[(i, r)] for r in range(1, 5)] == [j for _, j in order]
+
+
+def test_net_staged_steps_same_history(spark):
+    rows = [(i, [i % 5, 5 + (i % 3)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "v1 long, idx array<int>, label int")
+    a = fit_mlp(df, "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3, stage=False)
+    b = fit_mlp(df, "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3, stage=True)
+    for x, y in zip(a.history, b.history):
+        assert abs(x[1] - y[1]) < 1e-9 and x[2] == y[2]
