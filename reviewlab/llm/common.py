@@ -28,6 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(path: str | None = None) -> str:
+    """Contents of a tokenizer file, by default the public byte-level one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
@@ -168,10 +178,3 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def table(batch: pa.RecordBatch, columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    """A batch of ``schema`` from new columns and columns of ``batch``."""
-    arrays = [columns[f.name] if f.name in columns else batch.column(f.name).cast(f.type) for f in schema]
-    return pa.RecordBatch.from_arrays([pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a.cast(f.type)
-                                       for a, f in zip(arrays, schema)], schema=schema)

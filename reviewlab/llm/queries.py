@@ -10,26 +10,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlab.llm import arc, chat, embed_dedup, shards, simhash
-from reviewlab.llm.common import read, shared_path
+from reviewlab.llm import arc, chat, decontam, embed_dedup, licenses, packing, quality, shards, simhash, toxicity
+from reviewlab.llm.common import fold, read, shared_path, tokenizer_file
 
 #: bytes of text in a shard at most
 SHARD_BYTES = 1 << 20
 
 
+#: a score from which on a document counts as good, or as toxic
+CUT = 0.7
+
+
+def _with_fold(scores: DataFrame, n: int, held: int) -> DataFrame:
+    return scores.select("doc_id", (fold(F.col("doc_id"), n) == held).alias("held_out"), "score",
+                         (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return _with_fold(scores, 4, 2)
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_groups(read(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return _with_fold(scores, 3, 1)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = arc.pages_to_warc(read(spark, sf_dir, "pages"), shared_path(spark, "warc"), 1000)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 0.8)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"), 0.8)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file(), 1024)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_documents(read(spark, sf_dir, "conversations"))
 
@@ -40,9 +71,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_sharding": op10_sharding,
 }
