@@ -120,9 +120,9 @@ def near_links(fps: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFram
 
     probes = []
     for i, (k, w, r) in enumerate(zip(keys, widths, radii)):
-        for_bits = F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in ball(w, r)]),
-                                         lambda m, k=k: k.bitwiseXOR(m)))
-        probes.append(known.select(F.lit(i).alias("seg"), for_bits.alias("key"), F.col("fp").alias("u"), F.col("root").alias("ru")))
+        masks = F.explode(F.array(*[F.lit(m).cast("long") for m in ball(w, r)])).alias("mask")
+        probes.append(known.select("fp", "root", masks).select(F.lit(i).alias("seg"), k.bitwiseXOR(F.col("mask")).alias("key"),
+                                                               F.col("fp").alias("u"), F.col("root").alias("ru")))
     probe = probes[0]
     for p in probes[1:]:
         probe = probe.unionByName(p)
