@@ -66,7 +66,7 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
                            F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"),
                                   F.col(f"hi_{c}") - F.col(f"lo_{c}")).otherwise(F.lit(1.0)))
               for c in numeric]
-    pts = base.join(bounded_broadcast(ranges, 100_000), "__g") \
+    pts = base.join(bounded_broadcast(ranges), "__g") \
         .select(key, "__g", F.array(*scaled).alias("x"))
     # distinct points with their row keys (identical rows collapse)
     vec = pts.groupBy("__g", "x").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("pid"))
@@ -123,10 +123,18 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     nb = results[0]
     for r in results[1:]:
         nb = nb.unionByName(r)
-    # back to rows: each neighbour point stands for its m rows; rows of the
-    # query point itself share its neighbour list
-    members = pts.join(vec.select("__g", "x", "pid"), ["__g", "x"]).select(key, "pid")
-    nbr = nb.join(members.withColumnRenamed(key, "nb_key"), "pid")
+    # back to rows: of each neighbour point no row needs more than the k + 1
+    # smallest keys (one may be the row itself), so m equal rows never meet all
+    # m; those keys are picked in salted groups first
+    members = cut_lineage(pts.join(vec.select("__g", "x", "pid"), ["__g", "x"]).select(key, "pid"))
+    salt = F.pmod(F.xxhash64(key), F.lit(64))
+    few = (members.withColumn("__r", F.row_number().over(Window.partitionBy("pid", salt).orderBy(key)))
+           .where(F.col("__r") <= k + 1)
+           .withColumn("__r", F.row_number().over(Window.partitionBy("pid").orderBy(key)))
+           .where(F.col("__r") <= k + 1).select(F.col(key).alias("nb_key"), "pid"))
+    nbr = cut_lineage(nb.join(few, "pid")
+                      .withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("dist", 9), "nb_key")))
+                      .where(F.col("__r") <= k + 1).select("qid", "nb_key", "dist"))
     rows = members.withColumnRenamed("pid", "qid").join(nbr, "qid").where(F.col(key) != F.col("nb_key"))
     w2 = Window.partitionBy(key).orderBy(F.round("dist", 9), "nb_key")
     return (rows.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
@@ -161,13 +169,17 @@ def oversample_pairs(df: DataFrame, label: str, minorities=(1, 2, 3, 4), against
     data = df.select(*cols)
     mino = data.where(F.col(label).isin(*minorities))
     majo = data.where(F.col(label) == against)
-    copies = over // 100
+    # over / 100 copies of each row; a rest of r percent is one more copy for
+    # the share r of the rows, by a hash draw
+    copies, rest = divmod(over, 100)
+    n_copies = F.lit(copies) + (unit_draw(F.col(key), seed, "over") < rest / 100).cast("int")
     # read three times below: written once to the checkpoint folder
     nb = cut_lineage(nearest_neighbours(mino, key, numeric, k, by=label))
     n_nb = nb.groupBy(key).agg(F.count(F.lit(1)).alias("nn"))
     # one synthetic row per (row, copy): neighbour rank and gap are hash draws
     syn = (mino.join(n_nb, key)
-           .select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")))
+           .select("*", n_copies.alias("__n")).where("__n > 0")
+           .select("*", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy")).drop("__n"))
     gkey = F.concat_ws("-", F.col(key).cast("string"), F.col("copy").cast("string"))
     pick = F.pmod(F.conv(F.substring(draw_hash(gkey, seed, "nb"), 1, 8), 16, 10).cast("bigint"),
                   F.col("nn")) + 1

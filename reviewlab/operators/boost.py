@@ -8,9 +8,9 @@ the workload (Chen & Guestrin 2016) is written with DataFrame operations:
   kept as (key, label, fold, bin array, margin array);
 * per round, gradients and hessians of every class come from the margins
   as array expressions;
-* per tree level, one aggregation builds the histogram
-  (model, class, node, feature, bin) -> (sum g, sum h): partial aggregation
-  keeps the shuffle at histogram size whatever the number of rows;
+* per tree level, one pass builds the histogram
+  (model, class, node, feature, bin) -> (sum g, sum h): each task sums its
+  rows into arrays, so the shuffle is of histogram size whatever the rows;
 * the best split per node is found on the histogram (a window over bins);
   the split table (nodes of one level: small) is collected and applied to
   the rows as constant arrays, so moving rows to child nodes is narrow;
@@ -38,9 +38,6 @@ from reviewlab.operators.sampling import column_share, unit_draw
 from reviewlab.operators.util import cut_lineage
 
 NODE_SLOTS_MAX_DEPTH = 12
-# histograms with at most this many (model, class, node, feature, bin) cells
-# are searched for splits on the driver; larger ones stay in Spark
-LOCAL_HIST_MAX_ROWS = 500_000
 
 
 @dataclass
@@ -168,18 +165,11 @@ def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParam
         feats_by_class = [
             [names.index(c) for c in column_share(names, params.colsample_bytree, r * K + k, seed)]
             for k in range(K)]
-        fsel = _const_array([[1 if i in fs else 0 for i in range(len(names))]
-                             for fs in feats_by_class], "array<int>")
         splits_all = [dict() for _ in range(J)]
         cur_nd = base
         for level in range(depth):
-            hist = _histogram(cur_nd, J, K, fsel)
-            bound = J * (2 ** level) * sum(binning.n_bins(c) + 1 for c in names)
-            if bound <= LOCAL_HIST_MAX_ROWS:
-                # the histogram is proven small: one collect, split search in pandas
-                splits = _best_splits_local(hist.toPandas(), ncat, lam, gam, mcw)
-            else:
-                splits = _best_splits(hist, ncat, lam, gam, mcw).collect()
+            hist = _histogram(cur_nd, J, K, binning, level, feats_by_class)
+            splits = _best_splits(hist, ncat, lam, gam, mcw).collect()   # a row for each node at most
             if not splits:
                 break
             feat = [-1] * (J * NN)
@@ -282,33 +272,6 @@ def _best_splits(hist: DataFrame, is_cat: list[bool], lam: float, gam: float, mc
     return best.select("j", "node", "s.*")
 
 
-def _best_splits_local(rows, is_cat: list[bool], lam: float, gam: float, mcw: float) -> list[dict]:
-    """The same split search as ``_best_splits``, on a collected histogram."""
-    import numpy as np
-    import pandas as pd
-    cols = ["j", "node", "f", "bin", "G", "H"]
-    h = rows[cols].copy() if isinstance(rows, pd.DataFrame) else \
-        pd.DataFrame([tuple(r) for r in rows], columns=cols)
-    if h.empty:
-        return []
-    h = h.sort_values(["j", "node", "f", "bin"], kind="mergesort").reset_index(drop=True)
-    g = h.groupby(["j", "node", "f"], sort=False)
-    h["Gt"], h["Ht"] = g["G"].transform("sum"), g["H"].transform("sum")
-    h["maxbin"] = g["bin"].transform("max")
-    isc = np.asarray(is_cat, dtype=bool)[h["f"].to_numpy()]
-    h["GL"] = np.where(isc, h["G"], g["G"].cumsum())
-    h["HL"] = np.where(isc, h["H"], g["H"].cumsum())
-    GR, HR = h["Gt"] - h["GL"], h["Ht"] - h["HL"]
-    h["gain"] = 0.5 * (h["GL"] ** 2 / (h["HL"] + lam) + GR ** 2 / (HR + lam)
-                       - h["Gt"] ** 2 / (h["Ht"] + lam)) - gam
-    ok = (h["HL"] >= mcw) & (HR >= mcw) & (h["gain"] > 1e-12) & (isc | (h["bin"] < h["maxbin"]))
-    c = h[ok].sort_values(["j", "node", "gain", "f", "bin"], ascending=[True, True, False, True, True],
-                          kind="mergesort")
-    best = c.groupby(["j", "node"], sort=False).head(1)
-    return [{"j": int(r.j), "node": int(r.node), "f": int(r.f), "bin": int(r.bin),
-             "gain": float(r.gain), "H": float(r.Ht)} for r in best.itertuples()]
-
-
 def _gradients(cur: DataFrame, M: int, K: int, subsample: float, seed: int, r: int) -> DataFrame:
     """Softmax gradients g = p - y and hessians h = max(2p(1-p), 1e-16) of
     every (model, class), this round's row draw, and all rows at the root."""
@@ -321,23 +284,45 @@ def _gradients(cur: DataFrame, M: int, K: int, subsample: float, seed: int, r: i
     return base.withColumn("__sub", sub).withColumn("__nd", F.array_repeat(F.lit(0), M * K))
 
 
-def _histogram(frame: DataFrame, J: int, K: int, fsel: Column | None = None) -> DataFrame:
-    """(j, node, f, bin) -> G, H over the drawn training rows of open nodes:
-    rows explode to (model-class, feature) entries and are summed with
-    map-side partial aggregation, so only histogram cells are shuffled."""
-    entries = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(J - 1)), lambda j: F.struct(
-            j.alias("j"),
-            F.element_at("__nd", j + 1).alias("node"),
-            F.element_at("__g", j + 1).alias("g"),
-            F.element_at("__h", j + 1).alias("h"),
-            F.element_at("tr", F.floor(j / K).cast("int") + 1).alias("t"))),
-        lambda e: (e["t"] == 1) & (e["node"] >= 0))
-    h1 = frame.where("__sub").select("bins", F.explode(entries).alias("e")).select("bins", "e.*")
-    h2 = h1.select("j", "node", "g", "h", F.posexplode("bins").alias("f", "bin"))
-    if fsel is not None:
-        h2 = h2.where(F.element_at(F.element_at(fsel, F.pmod("j", F.lit(K)) + 1), F.col("f") + 1) == 1)
-    return h2.groupBy("j", "node", "f", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+def _histogram(frame: DataFrame, J: int, K: int, binning: Binning, level: int,
+               feats_by_class: list[list[int]] | None = None) -> DataFrame:
+    """(j, node, f, bin) -> G, H over the drawn training rows of the nodes of
+    a level: each task sums its rows into one array of the model's size and
+    emits the cells it has touched, and a ``groupBy`` adds them up."""
+    import numpy as np
+    import pyarrow as pa
+
+    n_feat = len(binning.features)
+    slots = [binning.n_bins(f) + 1 for f in binning.features]   # codes from -1 (missing) on
+    offset = np.cumsum([0] + slots[:-1])
+    feature = np.repeat(np.arange(n_feat), slots)
+    code = np.arange(sum(slots)) - np.repeat(offset, slots) - 1
+    first, nodes, total = 2 ** level - 1, 2 ** level, sum(slots)
+    chosen = [np.arange(n_feat) if feats_by_class is None else np.array(feats_by_class[k]) for k in range(K)]
+
+    def run(batches):
+        acc = np.zeros((2, J, nodes * total))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bins, nd, g, h, tr = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1)
+                                  for c in ("bins", "__nd", "__g", "__h", "tr"))
+            for j in range(J):
+                at = np.flatnonzero((tr[:, j // K] == 1) & (nd[:, j] >= 0))
+                fs = chosen[j % K]
+                cell = ((nd[at, j] - first) * total)[:, None] + offset[fs] + bins[np.ix_(at, fs)] + 1
+                for i, v in enumerate((g, h)):
+                    acc[i, j] += np.bincount(cell.ravel(), np.repeat(v[at, j], len(fs)), nodes * total)
+        j, cell = np.nonzero(acc[1])
+        slot = cell % total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(j, pa.int32()), pa.array(first + cell // total, pa.int32()), pa.array(feature[slot], pa.int32()),
+             pa.array(code[slot], pa.int32()), pa.array(acc[0, j, cell]), pa.array(acc[1, j, cell])],
+            ["j", "node", "f", "bin", "G", "H"])
+
+    cells = frame.where("__sub").select("bins", "__nd", "__g", "__h", "tr").mapInArrow(
+        run, "j int, node int, f int, bin int, G double, H double")
+    return cells.groupBy("j", "node", "f", "bin").agg(F.sum("G").alias("G"), F.sum("H").alias("H"))
 
 
 def root_histogram(df: DataFrame, label: str, features: list[str], num_class: int | None = None,
@@ -348,7 +333,7 @@ def root_histogram(df: DataFrame, label: str, features: list[str], num_class: in
     labels = class_labels(df, label, num_class)
     K = len(labels)
     rows = _prepare(df, label, key, binning, labels, F.array(F.lit(1)), F.array(F.lit(0)), 1)
-    hist = _histogram(_gradients(rows, 1, K, 1.0, 22, 1), K, K)
+    hist = _histogram(_gradients(rows, 1, K, 1.0, 22, 1), K, K, binning, 0)
     names = _const_array(binning.features, "string")
     lv = F.from_json(F.lit(json.dumps([binning.levels.get(f, []) for f in binning.features])),
                      "array<array<string>>")
@@ -362,21 +347,22 @@ def _prepare(df: DataFrame, label: str, key: str, binning: Binning, labels: list
              tr: Column, ev: Column, M: int) -> DataFrame:
     K = len(labels)
     lab = _const_array([str(v) for v in labels], "string")
-    y = (F.array_position(lab, F.col(label).cast("string")) - 1).cast("int")
+    at = F.array_position(lab, F.col(label).cast("string"))
+    y = F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(
+        F.lit("label outside the classes: "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))).cast("int")
     return df.select(
         F.col(key).alias("key"), y.alias("y"), tr.alias("tr"), ev.alias("ev"),
         bin_codes(binning).alias("bins"),
-        F.array_repeat(F.lit(0.0), M * K).alias("mg")).where("y >= 0")
+        F.array_repeat(F.lit(0.0), M * K).alias("mg"))
 
 
 def class_labels(df: DataFrame, label: str, num_class: int | None) -> list:
-    """Class values: 0..num_class-1 when the labels are integers and a class
-    count is given (the workload's setting: one above the largest label);
-    else the sorted distinct labels."""
+    """Class values 0..num_class-1; without a class count (the workload's
+    setting is one above the largest label) 0 up to the largest label."""
     if num_class is not None:
         return list(range(num_class))
     mx = df.agg(F.max(F.col(label).cast("int"))).first()[0]
-    return list(range(int(mx) + 1))
+    return list(range(int(mx) + 1)) if mx is not None else [0]
 
 
 def fit_boosted(df: DataFrame, label: str, features: list[str], params: BoostParams,

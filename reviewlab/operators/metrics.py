@@ -26,24 +26,30 @@ def confusion(df: DataFrame, real: str, pred: str, labels: list | None = None,
     """(real, predict, n) for every pair of labels, zeros included.
 
     ``labels`` defaults to the values seen in either column (collected; a
-    label set is small). Rows whose label or prediction is outside the set
-    are not counted.
+    label set is small). Every row counts: predictions outside the set, nulls
+    among them, are the extra rows (real, null, n) where there are any, so row
+    sums stay whole. A label outside the set, or a null one, is an error.
     """
-    counts = (df.groupBy(F.col(real).alias(real_name), F.col(pred).alias(pred_name))
-              .agg(F.count(F.lit(1)).alias("n")))
     if labels is None:
-        seen = counts.select(F.col(real_name).alias("l")).unionByName(
-            counts.select(F.col(pred_name).alias("l")))
+        seen = df.select(F.col(real).alias("l")).unionByName(df.select(F.col(pred).alias("l")))
         labels = small_list(seen, "l", max_rows=10_000)
+    known = F.coalesce(F.col(real).isin(labels), F.lit(False)) if labels else F.lit(False)
+    checked = F.when(known, F.col(real)).otherwise(F.raise_error(F.concat(
+        F.lit("label outside the label set: "), F.coalesce(F.col(real).cast("string"), F.lit("null")))))
+    listed = F.when(F.col(pred).isin(labels), F.col(pred)) if labels else F.lit(None)
+    counts = (df.groupBy(checked.alias(real_name), listed.alias(pred_name))
+              .agg(F.count(F.lit(1)).alias("n")))
     grid = label_grid(df.sparkSession, labels, real_name, pred_name)
-    return (grid.join(counts, [real_name, pred_name], "left")
-            .select(real_name, pred_name, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    zeros = grid.withColumn("n", F.lit(0).cast("bigint"))
+    return (zeros.unionByName(counts.select(real_name, pred_name, "n"))
+            .groupBy(real_name, pred_name).agg(F.sum("n").cast("bigint").alias("n")))
 
 
 def class_metrics(cm: DataFrame, real: str = "real", pred: str = "predict") -> DataFrame:
-    """Per label: tp, predicted (column sum), actual (row sum), precision,
-    recall and F1; null where a denominator is 0."""
-    by_pred = cm.groupBy(F.col(pred).alias("label")).agg(
+    """Per label: tp, predicted (column sum), actual (row sum, with rows whose
+    prediction is outside the label set), precision, recall and F1; null where
+    a denominator is 0."""
+    by_pred = cm.where(F.col(pred).isNotNull()).groupBy(F.col(pred).alias("label")).agg(
         F.sum("n").alias("predicted"),
         F.sum(F.when(F.col(real) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))
     by_real = cm.groupBy(F.col(real).alias("label")).agg(F.sum("n").alias("actual"))
@@ -70,10 +76,9 @@ def matrix_accuracy(cm: DataFrame, real: str = "real", pred: str = "predict") ->
 
 
 def hit_rate(df: DataFrame, real: str, pred: str) -> DataFrame:
-    """Mean of equality (rows with a null in either column count as misses,
-    as ``mean(a == b)`` would give NA in R; here they are left out)."""
-    return (df.where(F.col(real).isNotNull() & F.col(pred).isNotNull())
-            .agg(F.avg((F.col(real) == F.col(pred)).cast("double")).alias("accuracy")))
+    """Mean of equality over rows with a label; a null prediction is a miss."""
+    return (df.where(F.col(real).isNotNull())
+            .agg(F.avg(F.coalesce(F.col(real) == F.col(pred), F.lit(False)).cast("double")).alias("accuracy")))
 
 
 def compare_f1(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b") -> DataFrame:

@@ -6,11 +6,10 @@ Glorot-uniform weights, zero biases.
 
 Training is data parallel. Each step: the weights go out as a broadcast
 variable; ``mapInPandas`` runs forward and backward passes on each
-partition's rows of the step (a hash draw of (key, epoch) picks the step)
-and emits gradient sums as (parameter, value) rows (on large inputs each
-epoch's rows are written once partitioned by step, so a step reads only its
-own rows instead of rescanning the training set): only the first-layer
-rows of words that occur are emitted, so the output is sparse. A
+partition's rows of the step (a hash draw of the key picks the step)
+and emits gradient sums as (parameter, value) rows, once a partition: only
+the first-layer rows of words that occur are emitted, so the output is sparse.
+Rows are written once, partitioned by step, so a step reads only its own. A
 ``groupBy`` sums them (partial aggregation; the result is bounded by the
 model size, not the data), the driver applies RMSprop. The input is never
 densified: a row is its list of word positions.
@@ -29,14 +28,20 @@ from pyspark.sql import types as T
 
 from reviewlab.functions.columns import argmax
 from reviewlab.operators.sampling import draw_hash
+from reviewlab.operators.util import drop_files
 from reviewlab.session import ensure_checkpoint_dir
 
 
+#: least probability in a loss
+MIN_PROB = 1e-7
+
+
 def evaluate(df: DataFrame, prob: str, label: str) -> DataFrame:
     """Cross-entropy loss and accuracy of class probabilities against a
-    0-based label: avg(-log p[label]), avg(argmax == label). One row."""
+    0-based label: avg(-log p[label]), avg(argmax == label). One row. A
+    probability counts as at least ``MIN_PROB``, so a row with p = 0 stays."""
     p = F.element_at(F.col(prob), F.col(label) + 1)
-    return df.agg(F.avg(-F.log(p)).alias("loss"),
+    return df.agg(F.avg(-F.log(F.greatest(p, F.lit(MIN_PROB)))).alias("loss"),
                   F.avg((argmax(prob) - 1 == F.col(label)).cast("double")).alias("accuracy"))
 
 
@@ -79,49 +84,36 @@ def _forward(ws, idx_lists):
 
 
 GRAD_SCHEMA = "pid long, val double"
-# above this many training rows, each epoch is written partitioned by step
-STAGE_MIN_ROWS = 1_000_000
 
 
-def _grad_fn(bc, steps, epoch, step, key_col, idx_col, label_col):
+def gradient(ws, idx, y) -> np.ndarray:
+    """Summed gradient of the cross-entropy over rows, all parameters in one
+    vector, with the number of rows as last value."""
+    W1, b1, W2, b2, W3, b3 = ws
+    flat, owner, h1, h2, p = _forward(ws, idx)
+    n = len(y)
+    d3 = p.copy()
+    d3[np.arange(n), y] -= 1.0
+    d2 = (d3 @ W3.T) * (h2 > 0)
+    d1 = (d2 @ W2.T) * (h1 > 0)
+    gW1 = np.zeros_like(W1)
+    np.add.at(gW1, flat, d1[owner])
+    parts = [gW1, d1.sum(axis=0), h1.T @ d2, d2.sum(axis=0), h2.T @ d3, d3.sum(axis=0)]
+    return np.concatenate([g.ravel() for g in parts] + [[float(n)]])
+
+
+def _grad_fn(bc, idx_col, label_col):
     def run(batches):
         import pandas as pd
-        ws = bc.value
-        W1, b1, W2, b2, W3, b3 = ws
-        H1 = W1.shape[1]
-        sizes = [w.size for w in ws]
-        offsets = np.cumsum([0] + sizes)
+        total = None
         for pdf in batches:
-            pdf = pdf[pdf["__step"] == step]
-            if not len(pdf):
-                continue
-            idx = list(pdf[idx_col])
-            y = pdf[label_col].to_numpy().astype(np.int64)
-            flat, owner, h1, h2, p = _forward(ws, idx)
-            n = len(pdf)
-            d3 = p.copy()
-            d3[np.arange(n), y] -= 1.0
-            gW3, gb3 = h2.T @ d3, d3.sum(axis=0)
-            d2 = (d3 @ W3.T) * (h2 > 0)
-            gW2, gb2 = h1.T @ d2, d2.sum(axis=0)
-            d1 = (d2 @ W2.T) * (h1 > 0)
-            gb1 = d1.sum(axis=0)
-            words, inv = np.unique(flat, return_inverse=True)
-            gW1 = np.zeros((len(words), H1))
-            np.add.at(gW1, inv, d1[owner])
-            pids = [(words[:, None] * H1 + np.arange(H1)[None, :]).ravel()]
-            vals = [gW1.ravel()]
-            for k, g in ((1, gb1), (2, gW2), (3, gb2), (4, gW3), (5, gb3)):
-                pids.append(offsets[k] + np.arange(g.size))
-                vals.append(g.ravel())
-            loss = float(-np.log(np.maximum(p[np.arange(n), y], 1e-15)).sum())
-            hits = int((p.argmax(axis=1) == y).sum())
-            # statistics ride along as three extra parameters past the end
-            end = offsets[-1]
-            pids.append(np.array([end, end + 1, end + 2]))
-            vals.append(np.array([loss, float(hits), float(n)]))
-            yield pd.DataFrame({"pid": np.concatenate(pids).astype(np.int64),
-                                "val": np.concatenate(vals)})
+            if len(pdf):
+                g = gradient(bc.value, list(pdf[idx_col]), pdf[label_col].to_numpy().astype(np.int64))
+                total = g if total is None else total + g
+        if total is not None:
+            # one emission a task: parameters that some row touched
+            pid = np.flatnonzero(total)
+            yield pd.DataFrame({"pid": pid.astype(np.int64), "val": total[pid]})
     return run
 
 
@@ -141,46 +133,42 @@ def _score_fn(bc, idx_col, keep, classes):
 
 def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
             hidden=(16, 16), classes: int = 5, epochs: int = 10,
-            steps_per_epoch: int | None = None, batch_size: int | None = 512,
-            validation: DataFrame | None = None, lr: float = 0.001, rho: float = 0.9,
-            eps: float = 1e-7, seed: int = 22, stage: bool | None = None) -> MLPModel:
+            steps_per_epoch: int = 34, validation: DataFrame | None = None,
+            lr: float = 0.001, rho: float = 0.9, eps: float = 1e-7, seed: int = 22) -> MLPModel:
     """Train on ``df`` (``idx``: array of 0-based word positions < width;
-    ``label``: 0-based class). Steps per epoch: given, or rows / batch_size
-    (rows per step then grow with the data when steps are fixed)."""
+    ``label``: 0-based class).
+
+    An epoch has ``steps_per_epoch`` steps whatever the number of rows (34 is
+    what batches of 512 make of the workload's 17,113 rows), so the number of
+    jobs doesn't grow with the data: a step's rows do. Rows are dealt to steps
+    by a hash of the key and written once, partitioned by step; each epoch
+    visits the steps in an order of its own. The files are removed at the end."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    data = df.select(key, idx, label).persist()
-    n = data.count()
-    steps = steps_per_epoch or max(1, -(-n // (batch_size or n or 1)))
+    steps = steps_per_epoch
+    h = F.conv(F.substring(draw_hash(F.col(key), seed, "step"), 1, 8), 16, 10).cast("bigint")
+    run_dir = os.path.join(ensure_checkpoint_dir(spark), f"mlp-{uuid.uuid4().hex}")
+    (df.select(key, idx, label).withColumn("__step", F.pmod(h, F.lit(steps)).cast("int"))
+     .write.partitionBy("__step").parquet(run_dir))
+    data = spark.read.parquet(run_dir)
     ws = _init(width, hidden, classes, seed)
     acc = [np.zeros_like(w) for w in ws]
     sizes = [w.size for w in ws]
     offsets = np.cumsum([0] + sizes)
     history = []
     out_schema = T.StructType.fromDDL(GRAD_SCHEMA)
-    # large inputs: stage each epoch by step (one write, then pruned reads);
-    # small ones: filter the cached rows per step
-    staged = n > STAGE_MIN_ROWS if stage is None else stage
-    run_dir = os.path.join(ensure_checkpoint_dir(spark), f"mlp-{uuid.uuid4().hex}")
     for epoch in range(1, epochs + 1):
-        h = F.conv(F.substring(draw_hash(F.col(key), seed, f"epoch{epoch}"), 1, 8), 16, 10).cast("bigint")
-        # the epoch's rows are written once, partitioned by step, to the shared
-        # checkpoint folder; each step then reads only its own partition
-        ep = data.withColumn("__step", F.pmod(h, F.lit(steps)).cast("int"))
-        if staged:
-            path = os.path.join(run_dir, f"epoch={epoch}")
-            ep.write.partitionBy("__step").mode("overwrite").parquet(path)
-            ep = spark.read.parquet(path)
-        for step in range(steps):
+        order = np.random.default_rng([seed, epoch]).permutation(steps).tolist()
+        for step in order:
             bc = sc.broadcast(ws)
             # summed per parameter in Spark: at most the model size comes back
-            g = (ep.where(F.col("__step") == step)
-                 .mapInPandas(_grad_fn(bc, steps, epoch, step, key, idx, label), out_schema)
+            g = (data.where(F.col("__step") == step).select(idx, label)
+                 .mapInPandas(_grad_fn(bc, idx, label), out_schema)
                  .groupBy("pid").agg(F.sum("val").alias("val")).toPandas())
             bc.unpersist()
-            total = np.zeros(offsets[-1] + 3)
+            total = np.zeros(offsets[-1] + 1)
             np.add.at(total, g["pid"].to_numpy(dtype=np.int64), g["val"].to_numpy(dtype=float))
-            m = total[offsets[-1] + 2]
+            m = total[offsets[-1]]
             if m == 0:
                 continue
             for i, w in enumerate(ws):
@@ -191,7 +179,7 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
         tr = _loss_acc(model, data, idx, label, key)
         va = _loss_acc(model, validation, idx, label, key) if validation is not None else (None, None)
         history.append((epoch, tr[0], tr[1], va[0], va[1]))
-    data.unpersist()
+    drop_files(spark, run_dir)
     return MLPModel(width, tuple(hidden), classes, ws, history)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlab.functions.columns import polarity_sign
 from reviewlab.operators.text import tokens, words_of
-from reviewlab.operators.util import bounded_broadcast, small_list
+from reviewlab.operators.util import bounded_broadcast
 
 
 def drop_stop_words(toks: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:
@@ -85,34 +85,45 @@ def sentence_sentiment(df: DataFrame, lexicon: DataFrame, negators, amplifiers,
     scores sum / sqrt(words); a review scores the mean over its sentences
     that have words, 0 when there are none. Returns ``key``, ``out``.
 
-    The look-back is computed inside each row on the word arrays, so no
-    window shuffle is needed: explode (narrow) -> broadcast left join of the
-    lexicon -> partial sums per review -> one shuffle of one row per review
-    per partition. ``negators``/``amplifiers`` are word lists (or one-column
-    frames, checked to be small and collected).
+    ``negators`` and ``amplifiers`` are word lists or one-column frames of any
+    size. First the few words that are shifters are found (join, broadcast
+    where small) and gathered per review and sentence; they go back to their
+    reviews, so that each word looks back inside its own row and no window over
+    words is needed. Then explode (narrow) -> left join of the lexicon ->
+    partial sums per review.
     """
-    neg = negators if isinstance(negators, (list, tuple)) else small_list(negators, negators.columns[0])
-    amp = amplifiers if isinstance(amplifiers, (list, tuple)) else small_list(amplifiers, amplifiers.columns[0])
-    neg_arr = F.array(*[F.lit(w) for w in neg]) if neg else F.array().cast("array<string>")
-    amp_arr = F.array(*[F.lit(w) for w in amp]) if amp else F.array().cast("array<string>")
+    spark = df.sparkSession
 
-    def count_in(ws, i, arr):
-        start = F.greatest(F.lit(1), i - (WINDOW_BEFORE - 1))
-        window = F.slice(ws, start, i + 1 - start)
-        return F.size(F.filter(window, lambda w: F.array_contains(arr, w)))
+    def role(words, neg: int, amp: int) -> DataFrame:
+        frame = (spark.createDataFrame([(w,) for w in words], f"{word} string") if isinstance(words, (list, tuple))
+                 else words.select(F.col(words.columns[0]).alias(word)))
+        return frame.select(word, F.lit(neg).alias("neg"), F.lit(amp).alias("amp"))
 
+    roles = (role(negators, 1, 0).unionByName(role(amplifiers, 0, 1))
+             .groupBy(word).agg(F.max("neg").alias("neg"), F.max("amp").alias("amp")))
     sentences = F.transform(F.split(F.col(text), r"[.!?]+"), lambda s: words_of(s))
     # Word arrays per sentence are computed once per review, below the
     # explode; a projection next to the generator would be re-evaluated for
     # every word it produces.
     sw = df.select(key, F.filter(sentences, lambda ws: F.size(ws) > 0).alias("__sw"))
-    per_word = F.flatten(F.transform("__sw", lambda ws: F.transform(
-        ws, lambda w, i: F.struct(
-            w.alias(word),
-            count_in(ws, i, neg_arr).alias("neg"),
-            count_in(ws, i, amp_arr).alias("amp"),
-            (F.lit(1.0) / F.sqrt(F.size(ws).cast("double"))).alias("wt")))))
-    rows = sw.select(
+    at = sw.select(key, F.posexplode("__sw").alias("sid", "ws")).select(key, "sid", F.posexplode("ws").alias("pos", word))
+    shifts = (at.join(bounded_broadcast(roles), word)
+              .groupBy(key, "sid").agg(F.collect_list(F.struct("pos", "neg", "amp")).alias("s"))
+              .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("sid", "s"))).alias("__shifts")))
+
+    def seen(near, i, name):
+        return F.size(F.filter(near, lambda s: (s["pos"] < i) & (s["pos"] >= i - WINDOW_BEFORE) & (s[name] == 1)))
+
+    none = F.array().cast("array<struct<pos:int,neg:int,amp:int>>")
+
+    def words_in(ws, sid):
+        near = F.coalesce(F.try_element_at("__shifts", sid), none)
+        return F.transform(ws, lambda w, i: F.struct(
+            w.alias(word), seen(near, i, "neg").alias("neg"), seen(near, i, "amp").alias("amp"),
+            (F.lit(1.0) / F.sqrt(F.size(ws).cast("double"))).alias("wt")))
+
+    per_word = F.flatten(F.transform("__sw", lambda ws, sid: words_in(ws, sid)))
+    rows = sw.join(shifts, key, "left").select(
         key,
         F.size("__sw").alias("n_sent"),
         F.explode_outer(per_word).alias("w"),

@@ -174,7 +174,7 @@ def density(df: DataFrame, col: str, points: int = 512, cut: float = 3.0,
         # group sizes: one row per group (aggregated map-side), joined back;
         # a group holding most rows never lands in a single task
         sizes = vals.groupBy(by).agg(F.sum("m").alias("ng"))
-        vals = vals.join(bounded_broadcast(sizes, 100_000), by)
+        vals = vals.join(bounded_broadcast(sizes), by)
     else:
         vals = vals.withColumn("ng", F.lit(st["n"]))
     spread = vals.select(*keys, "v", "m", "ng",

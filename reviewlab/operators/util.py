@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 
 from reviewlab.session import ensure_checkpoint_dir
 
-# A side is broadcast only when it is proven to have at most this many rows;
-# beyond it the join falls back to a shuffled join planned by Spark (AQE).
-BROADCAST_MAX_ROWS = 2_000_000
+# A side is broadcast only when its measured size is at most this many bytes;
+# beyond it the join is left to Spark (AQE picks by the sizes it sees).
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def size_in_bytes(df: DataFrame) -> int:
+    """Rows' bytes, about: strings by length, other columns 8 bytes each. One
+    aggregation over ``df``."""
+    width = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "string":
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` only if its size is checked to be small."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint for ``df`` only if its size is measured to be small."""
+    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
+
+
+def drop_files(spark, path: str) -> None:
+    """Remove a folder of staged files from whatever file system holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -25,13 +25,11 @@ from reviewlab.operators.stats import (
 )
 from reviewlab.operators.best import fit_best
 from reviewlab.operators.tree import fit_tree, predict_tree
-from reviewlab.operators.clean import complete_rows, with_age_band
-from reviewlab.sources.fixtures import Lexicons
+from reviewlab.operators.clean import complete_rows, score_window, with_age_band
 from reviewlab.operators.util import cut_lineage
-
-KEYS10 = ["v1", "clothing_id", "age", "age_div", "recommended", "positive_feedback",
-          "devision", "class", "department", "rating"]
-TREE_FEATURES = ["age_div", "recommended", "devision", "class", "department"]
+from reviewlab.plans.q_models import TREE_FEATURES
+from reviewlab.plans.queries import KEYS10
+from reviewlab.sources.fixtures import Lexicons
 
 
 def _grid(spark, etas=(0.02, 0.1), depths=(2, 3)):
@@ -40,7 +38,8 @@ def _grid(spark, etas=(0.02, 0.1), depths=(2, 3)):
 
 
 def _tree_part(df: DataFrame, seed: int = 22):
-    s = split_exact(df, "v1", 0.8, seed=seed)
+    """Tree metrics on the test part; a ``split`` column of ``df`` is kept."""
+    s = df if "split" in df.columns else split_exact(df, "v1", 0.8, seed=seed)
     m = fit_tree(s.where("split = 'train'"), "rating", TREE_FEATURES, cp=0.001)
     p = predict_tree(m, s.where("split = 'test'"), keep=["v1", "rating"])
     return class_metrics(confusion(p, "rating", "prediction", labels=[1, 2, 3, 4, 5]))
@@ -53,8 +52,10 @@ def polarity_three_bands(spark: SparkSession, reviews: DataFrame, lx: Lexicons,
     df = with_age_band(complete_rows(reviews))
     out = {"tree_metrics": _tree_part(df)}
     s = review_sentiment(df, lx.stop, lx.bing, keys=KEYS10)
-    out["chi_square"] = chi_square(s, "rating", "sum_sent")
-    out["class_means_z"] = z_scores(class_means(s), ["mrating", "msum_sent"])
+    # the table, its test and the class means are over the score window
+    window = score_window(s)
+    out["chi_square"] = chi_square(window, "rating", "sum_sent")
+    out["class_means_z"] = z_scores(class_means(window), ["mrating", "msum_sent"])
     s3 = s.withColumn("rating", rating_band("rating"))
     feats = ["recommended", "age", "age_div", "positive_feedback", "devision", "class",
              "department", "sum_sent"]
@@ -64,7 +65,7 @@ def polarity_three_bands(spark: SparkSession, reviews: DataFrame, lx: Lexicons,
 
 def _boosted_part(spark, df, feats, rounds, grid, num_class, labels):
     # read by the CV, the final fit and the prediction: materialise once
-    s = cut_lineage(split_exact(df, "v1", 0.8, seed=22))
+    s = cut_lineage(df if "split" in df.columns else split_exact(df, "v1", 0.8, seed=22))
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     grid = grid if grid is not None else _grid(spark)
     cv = cross_validate(train, "rating", feats, grid, rounds=rounds, k=5, patience=10,
@@ -119,16 +120,20 @@ def rebalanced_five_classes(spark: SparkSession, reviews: DataFrame, lx: Lexicon
 def stacked(spark: SparkSession, reviews: DataFrame, lx: Lexicons, net_rows: DataFrame,
             net_model, rounds: int = 5, grid: DataFrame | None = None) -> dict:
     """Flow C: the net's predicted class as column ``review_vector``, then
-    tree, sentiment and boosted trees with that column; F1 side by side."""
+    tree, sentiment and boosted trees with that column; F1 side by side. The
+    net's split travels with the rows, so that no row the net has learnt from
+    is tested on later."""
     from reviewlab.operators.mlp import stack
     col = stack(net_rows.where("split = 'train'"), net_rows.where("split = 'test'"),
-                net_model, "idx").select("v1", "review_vector")
-    df = with_age_band(complete_rows(reviews.join(col, "v1")))
+                net_model, "idx").select("v1", "review_vector", "split")
+    df = cut_lineage(with_age_band(complete_rows(reviews.join(col, "v1"))))
     tree_met = _tree_part(df)
-    s = review_sentiment(df, lx.stop, lx.bing, lx.afinn, keys=KEYS10 + ["review_vector"])
+    sents = sentence_sentiment(df, lx.afinn, lx.negators, lx.amplifiers)
+    s = review_sentiment(df.join(sents, "v1"), lx.stop, lx.bing, lx.afinn,
+                         keys=KEYS10 + ["review_vector", "split", "sum_sents"])
     feats = ["recommended", "age", "age_div", "positive_feedback", "devision", "class",
-             "department", "review_vector", "sum_senta", "sum_sentb"]
+             "department", "review_vector", "sum_senta", "sum_sentb", "sum_sents"]
     out = _boosted_part(spark, s, feats, rounds, grid, num_class=6, labels=[1, 2, 3, 4, 5])
-    out["tree_metrics"] = tree_met
+    out["tree_metrics"], out["rows"] = tree_met, s
     out["f1"] = compare_f1(tree_met, out["boosted_metrics"], "tree", "boosted")
     return out

@@ -8,7 +8,7 @@ from reviewlab.functions.columns import argmax, one_hot
 from reviewlab.operators.clean import non_blank
 from reviewlab.operators.sampling import folds, row_share, shuffled, split_exact
 from reviewlab.operators.text import multi_hot_indices, sequences, tokens, vocabulary
-from reviewlab.plans.queries import prepared
+from reviewlab.plans.queries import prepared_reviews
 from reviewlab.plans.registry import query
 from reviewlab.sources.fixtures import reviews
 
@@ -25,18 +25,18 @@ select v1, case when row_number() over (order by md5('22-' || cast(v1 as varchar
 from complete
 """)
 def q_split(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return split_exact(df.select("v1"), "v1", share=0.8, seed=22)
 
 
 @query("holdout_fixed", sql="""
-select v1, case when row_number() over (order by md5('7-' || cast(v1 as varchar)), v1) <= 100
+select v1, case when row_number() over (order by md5('7-' || cast(v1 as varchar)), v1) <= 1000
                 then 'validation' else 'rest' end as part
 from complete
 """)
 def q_holdout(spark, sf):
-    df, _ = prepared(spark, sf)
-    return split_exact(df.select("v1"), "v1", share=None, n=100, seed=7, out="part",
+    df = prepared_reviews(spark, sf)
+    return split_exact(df.select("v1"), "v1", share=None, n=1000, seed=7, out="part",
                        first="validation", second="rest")
 
 
@@ -49,7 +49,7 @@ SHUF_SQL = """
 
 @query("shuffled_labels", sql=SHUF_SQL + "select v1, rating, rating_shuffled from sh")
 def q_shuffled(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return shuffled(df.select("v1", "rating"), "v1", "rating", seed=22)
 
 
@@ -67,7 +67,7 @@ select v1, cast(cast(('0x' || substr(md5('22-fold-' || cast(v1 as varchar)), 1,
 from complete
 """)
 def q_folds(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return folds(df.select("v1"), "v1", 5, 22)
 
 
@@ -76,7 +76,7 @@ select v1 from complete
 where cast(('0x' || substr(md5('22-row1-' || cast(v1 as varchar)), 1, 8)) as bigint) / 4294967296.0 < 0.6
 """)
 def q_row_share(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return row_share(df.select("v1"), "v1", 0.6, 1, 22)
 
 
@@ -133,7 +133,7 @@ select v1, rating, array_to_string(list_transform(range(0, 5), lambda x: cast(x
 from complete
 """)
 def q_one_hot(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     oh = F.transform(one_hot(F.col("rating") - 1, 5), lambda x: x.cast("int").cast("string"))
     return df.select("v1", "rating", F.array_join(oh, " ").alias("onehot"))
 
@@ -148,7 +148,7 @@ MODAL_SQL = """
 
 
 def _class_counts(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return df.groupBy("class").agg(
         F.array(*[F.count_if(F.col("rating") == k).cast("bigint") for k in range(1, 6)]).alias("counts"),
         F.count(F.lit(1)).alias("total"))
@@ -165,7 +165,7 @@ def q_modal(spark, sf):
 
 @query("evaluate_class_prior", sql=MODAL_SQL + """
 , pr as (select c.v1, c.rating, ca.counts, ca.total from complete c join ca using (class))
-select round(avg(-ln(counts[rating] / total)), 6) as loss,
+select round(avg(-ln(greatest(counts[rating] / total, 1e-7))), 6) as loss,
        round(avg(case when list_position(counts, list_max(counts)) = rating then 1.0 else 0.0 end), 6) as accuracy
 from pr
 """)
@@ -173,7 +173,7 @@ def q_evaluate_prior(spark, sf):
     """Evaluate (loss, accuracy) of the class-prior model: each review's
     class probabilities are the rating shares of its clothing class."""
     from reviewlab.operators.mlp import evaluate
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     c = _class_counts(spark, sf).select(
         "class", F.transform("counts", lambda n: n / F.col("total")).alias("prob"))
     p = df.select("v1", "class", (F.col("rating") - 1).alias("label")).join(c, "class")

@@ -13,7 +13,7 @@ from reviewlab.operators.metrics import class_metrics, confusion
 from reviewlab.operators.sampling import split_exact
 from reviewlab.operators.sentiment import review_sentiment
 from reviewlab.operators.tree import fit_tree, predict_tree, tree_nodes
-from reviewlab.plans.queries import KEYS10, prepared
+from reviewlab.plans.queries import KEYS10, prepared, prepared_reviews
 from reviewlab.plans.registry import query
 
 TREE_FEATURES = ["age_div", "recommended", "devision", "class", "department"]
@@ -22,7 +22,7 @@ BOOST_FEATURES = ["recommended", "age", "age_div", "positive_feedback", "devisio
 
 
 def _split(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return split_exact(df, "v1", 0.8, seed=22)
 
 
@@ -170,16 +170,18 @@ def _net_inputs(spark, sf):
     return cut_lineage(rows)
 
 
-def _net(spark, sf, epochs=10):
+#: validation rows; the script's 1,000 are more than small test tables have
+VALIDATION = 100
+
+
+def _net(spark, sf, epochs=10, validation=VALIDATION):
     from reviewlab.operators.mlp import fit_mlp
     rows = _net_inputs(spark, sf)
     train = rows.where("split = 'train'")
-    n_train = train.count()
-    n_val = min(1000, n_train // 5)
-    parts = split_exact(train, "v1", share=None, n=n_val, seed=23, out="part",
+    parts = split_exact(train, "v1", share=None, n=validation, seed=23, out="part",
                         first="val", second="fit")
     m = fit_mlp(parts.where("part = 'fit'"), "idx", "label", WIDTH, classes=5, epochs=epochs,
-                batch_size=512, validation=parts.where("part = 'val'"))
+                validation=parts.where("part = 'val'"))
     return rows, m
 
 
@@ -254,7 +256,7 @@ def q_boost_root_histogram(spark, sf):
     """Round 1, level 0 of the softmax boosting: gradient sums per class,
     feature and level (6 classes, as the workload sets)."""
     from reviewlab.operators.boost import root_histogram
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     h = root_histogram(df, "rating", ["devision", "class", "department"], num_class=6)
     return h.select("class_index", "feature", "level", F.round("G", 6).alias("G"),
                     F.round("H", 6).alias("H"))

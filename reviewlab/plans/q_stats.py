@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reviewlab.operators.clean import score_window
 from reviewlab.operators.metrics import (
     class_metrics, compare_f1, confusion, hit_rate, matrix_accuracy,
 )
@@ -13,7 +14,7 @@ from reviewlab.operators.stats import (
     crosstab_long, density, density_compare, z_scores,
 )
 from reviewlab.plans.q_tables import ONE_LEX_SQL, SCORE_BAND_SQL, score_band_prediction, sentiment_one
-from reviewlab.plans.queries import SENTENCE_SQL, prepared
+from reviewlab.plans.queries import SENTENCE_SQL, prepared, prepared_reviews
 from reviewlab.plans.registry import query
 
 R6 = lambda c, name=None: F.round(c, 6).alias(name or (c if isinstance(c, str) else None))
@@ -108,6 +109,51 @@ def q_class_metrics(spark, sf):
     return m.select("label", "tp", "predicted", "actual", R6("precision"), R6("recall"), R6("f1"))
 
 
+@query("class_metrics_unlisted", sql=ONE_LEX_SQL + SCORE_BAND_SQL + """
+, low as (select rating, pred from scored where rating <= 3)
+, l as (select unnest([1, 2, 3]) as label)
+, m as (select label, cast((select count(*) from low where rating = label and pred = label) as bigint) as tp,
+               cast((select count(*) from low where pred = label) as bigint) as predicted,
+               cast((select count(*) from low where rating = label) as bigint) as actual from l)
+select label, tp, predicted, actual, round(case when predicted > 0 then tp / predicted end, 6) as precision,
+       round(case when actual > 0 then tp / actual end, 6) as recall from m
+""")
+def q_class_metrics_unlisted(spark, sf):
+    """Metrics of ratings 1 to 3, where predictions of 4 and 5 are misses that
+    stay in the actual counts."""
+    low = _scored(spark, sf).where("rating <= 3")
+    m = class_metrics(confusion(low, "rating", "pred", labels=[1, 2, 3]))
+    return m.select("label", "tp", "predicted", "actual", R6("precision"), R6("recall"))
+
+
+WINDOW_SQL = ONE_LEX_SQL + """
+, win as (select * from sent1 where rating in (1, 2, 3, 4) and sum_sent < 7)
+"""
+
+
+def _windowed(spark, sf):
+    return score_window(sentiment_one(spark, sf))
+
+
+@query("chi_square_window", sql=WINDOW_SQL + """
+, cells as (select rating, sum_sent, count(*) as n from win group by all)
+, rc as (select *, sum(n) over (partition by rating) as r, sum(n) over (partition by sum_sent) as c from cells)
+, agg as (select sum(n * n / (r * c)) as s, sum(n) as n, count(distinct rating) as ra, count(distinct sum_sent) as cb from rc)
+select round(n * (s - 1), 6) as statistic, cast((ra - 1) * (cb - 1) as bigint) as dof, cast(n as bigint) as n from agg
+""")
+def q_chi_square_window(spark, sf):
+    """The test on the score window, as flow A runs it."""
+    return chi_square_statistic(_windowed(spark, sf), "rating", "sum_sent").select(R6("statistic"), "dof", "n")
+
+
+@query("class_means_window", sql=WINDOW_SQL + """
+select class, round(avg(cast(rating as double)), 6) as mrating, round(avg(cast(sum_sent as double)), 6) as msum_sent
+from win group by class
+""")
+def q_class_means_window(spark, sf):
+    return class_means(_windowed(spark, sf)).select("class", R6("mrating"), R6("msum_sent"))
+
+
 @query("accuracy", sql=CM_SQL + """
 select round((select sum(case when real = predict then n else 0 end) / sum(n) from cm), 6) as matrix_accuracy,
        round((select avg(case when rating = pred then 1.0 else 0.0 end) from scored), 6) as hit_rate
@@ -148,7 +194,7 @@ def q_compare_f1(spark, sf):
 select round(sum(n * n) / (sum(n) * sum(n)), 6) as chance_accuracy from c
 """)
 def q_chance(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     return chance_accuracy(df, "rating").select(R6("chance_accuracy"))
 
 
@@ -180,7 +226,7 @@ select cast(gi as int) as gi, round(x, 6) as x,
 from grid, dv group by gi, x
 """)
 def q_density_rating(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     d = density(df, "rating")
     return d.select("gi", R6("x"), R6("density"))
 

@@ -11,7 +11,7 @@ from reviewlab.operators.clean import (
 )
 from reviewlab.operators.sentiment import review_sentiment
 from reviewlab.operators.stats import class_means
-from reviewlab.plans.queries import K10, KEYS10, prepared
+from reviewlab.plans.queries import K10, KEYS10, prepared, prepared_reviews
 from reviewlab.plans.registry import query
 from reviewlab.sources.csv import REVIEW_COLUMNS
 from reviewlab.sources.fixtures import lexicons, read_table, reviews
@@ -192,7 +192,7 @@ select c.v1, c.rating, cast(round(s.pred) as int) as pred,
 from complete c left join scored s using (v1)
 """)
 def q_prediction_hits(spark, sf):
-    df, _ = prepared(spark, sf)
+    df = prepared_reviews(spark, sf)
     pred = score_band_prediction(sentiment_one(spark, sf)).select("v1", "pred")
     from reviewlab.operators.clean import attach
     a = attach(df.select("v1", "rating"), pred)

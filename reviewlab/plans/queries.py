@@ -17,10 +17,15 @@ KEYS10 = ["v1", "clothing_id", "age", "age_div", "recommended",
 K10 = ", ".join(KEYS10)
 
 
+def prepared_reviews(spark, sf):
+    """Complete reviews with age bands."""
+    return with_age_band(complete_rows(reviews(spark, sf)))
+
+
 def prepared(spark, sf):
-    """Complete reviews with age bands, and the word tables."""
-    r = reviews(spark, sf)
-    return with_age_band(complete_rows(r)), lexicons(spark, reviews_df=r)
+    """Complete reviews with age bands, and the word tables (a scan of the
+    texts of its own; see ``lexicons``)."""
+    return prepared_reviews(spark, sf), lexicons(spark, sf)
 
 
 # --- A1 / J1-J3 / T1 / P13: per-review sentiment sums -----------------------

@@ -38,11 +38,6 @@ STOP_WORDS = (
     "that's there's what's when's where's who's why's would"
 ).split()
 
-# Session setting: when set, the review source is hash-partitioned by v1 into
-# this many partitions (for inputs with fewer splits than cores). Unset on a
-# cluster, where the files give enough splits.
-TEXT_PARTITIONS_CONF = "reviewlab.textPartitions"
-
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
 
@@ -58,7 +53,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     18, and a rating driven by ``quality``/``toxic``.
     """
     d = read_table(spark, sf_dir, "documents").alias("d")
-    spread = spark.conf.get(TEXT_PARTITIONS_CONF, None)
     lab = read_table(spark, sf_dir, "labels").alias("l")
     doc = F.col("d.doc_id")
     q, tx = F.col("l.quality"), F.col("l.toxic")
@@ -85,11 +79,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.col("d.lang"), F.lit("-"), (doc % 6).cast("string"))
                  .alias("class"),
            ))
-    if spread:
-        # few, large input splits (small files of one row group): spread the
-        # text work over the cores. Hash on v1, so per-review aggregations
-        # downstream (their keys include v1) need no further shuffle.
-        out = out.repartition(int(spread), "v1")
     return out
 
 

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from reviewlab.functions.columns import polarity_sign
 from reviewlab.operators.text import tokens
+from reviewlab.operators.util import bounded_broadcast
 
 
 def scored_words(stream: DataFrame, stop: DataFrame, bing: DataFrame, afinn: DataFrame,
                  key: str = "v1", text: str = "review_text") -> DataFrame:
     """(key, word, sentb, senta) for each non-stop word found in both word
-    tables. Stream-static joins: the word tables are static and small, so
-    they are broadcast (their sizes are checked by the caller's lexicons)."""
+    tables. Stream-static joins: the word tables are static, and broadcast
+    where their measured size allows it."""
     t = tokens(stream.select(key, text), text)
-    t = t.join(F.broadcast(stop.select(F.col(stop.columns[0]).alias("word"))), "word", "left_anti")
-    t = t.join(F.broadcast(bing.select("word", "sentiment")), "word")
-    t = t.join(F.broadcast(afinn.select("word", "score")), "word")
+    t = t.join(bounded_broadcast(stop.select(F.col(stop.columns[0]).alias("word"))), "word", "left_anti")
+    t = t.join(bounded_broadcast(bing.select("word", "sentiment")), "word")
+    t = t.join(bounded_broadcast(afinn.select("word", "score")), "word")
     return t.select(key, "word", polarity_sign("sentiment").alias("sentb"),
                     F.col("score").alias("senta"))
 

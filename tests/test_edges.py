@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlab.functions.columns import age_band, argmax, one_hot, rating_band
-from reviewlab.operators.metrics import class_metrics, confusion, matrix_accuracy
+from reviewlab.operators.metrics import class_metrics, confusion, hit_rate, matrix_accuracy
 from reviewlab.operators.stats import (
     best_row, chi_square, class_means, density, gamma_q, z_scores,
 )
@@ -38,6 +38,28 @@ def test_confusion_completed_d7(spark):
     assert matrix_accuracy(cm).first()[0] == 0.75
 
 
+def test_predictions_outside_the_labels_count(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (1, None), (2, 2)], "real int, pred int")
+    cm = confusion(df, "real", "pred", labels=[1, 2])
+    m = {r["label"]: r for r in class_metrics(cm).collect()}
+    assert m[1]["actual"] == 3 and m[1]["recall"] == 1 / 3 and m[1]["precision"] == 1.0
+    assert sorted(m) == [1, 2] and matrix_accuracy(cm).first()[0] == 0.5
+    assert hit_rate(df, "real", "pred").first()[0] == 0.5
+    for bad in ([(3, 1)], [(None, 1)]):
+        with pytest.raises(Exception, match="label outside the label set"):
+            confusion(spark.createDataFrame(bad, "real int, pred int"), "real", "pred", labels=[1, 2]).collect()
+
+
+def test_shifter_lists_of_any_size(spark):
+    from reviewlab.operators.sentiment import sentence_sentiment
+    df = spark.createDataFrame([(1, "not good. very good good"), (2, "plain"), (3, ""), (4, "a b c d not x very good")], "v1 long, review_text string")
+    lex = spark.createDataFrame([("good", 2)], "word string, score int")
+    many = spark.createDataFrame([("not",)] + [(f"w{i}",) for i in range(12_000)], "word string")
+    got = {r["v1"]: r["sum_sents"] for r in sentence_sentiment(df, lex, many, ["very"]).collect()}
+    assert got[1] == pytest.approx((-2 / math.sqrt(2) + (2 * 1.8 + 2 * 1.8) / math.sqrt(3)) / 2)
+    assert got[2] == 0.0 and got[3] == 0.0 and got[4] == pytest.approx(-2 * 1.8 / math.sqrt(8))
+
+
 def test_metrics_over_given_labels_d6(spark):
     df = spark.createDataFrame([(1, 1), (3, 2)], "real int, pred int")
     m = class_metrics(confusion(df, "real", "pred", labels=[1, 2, 3]))

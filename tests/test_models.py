@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from reviewlab.operators.balance import nearest_neighbours, smote
 from reviewlab.operators.boost import (
-    BoostParams, _best_splits, _best_splits_local, cross_validate, fit_boosted, importance,
+    BoostParams, _best_splits, cross_validate, fit_boosted, importance,
     param_grid, predict_boosted,
 )
-from reviewlab.operators.mlp import _forward, _init, fit_mlp, predict_mlp
+from reviewlab.operators.mlp import _forward, _grad_fn, _init, evaluate, fit_mlp, predict_mlp
 from reviewlab.operators.tree import fit_tree, predict_tree, prune, tree_nodes
 
 
@@ -81,27 +81,32 @@ def test_smote_rows_between_parents(spark):
 
 
 def test_net_gradient_matches_numeric_difference():
-    ws = _init(7, (4, 3), 3, seed=1)
-    idx = [[0, 2], [1, 5, 6], [3]]
-    y = np.array([0, 2, 1])
+    rng = np.random.default_rng(2)
+    ws = [w if w.ndim == 2 else rng.normal(size=w.shape) for w in _init(7, (4, 3), 3, seed=1)]  # off the ReLU's kink
+    idx = [[0, 2], [1, 5, 6], [3], []]
+    y = np.array([0, 2, 1, 1])
 
     def loss(wts):
         _, _, _, _, p = _forward(wts, idx)
-        return -np.log(p[np.arange(3), y]).sum()
-
-    # analytic gradient of W2[1, 2] via the same code path as the job
-    flat, owner, h1, h2, p = _forward(ws, idx)
-    d3 = p.copy()
-    d3[np.arange(3), y] -= 1
-    d2 = (d3 @ ws[4].T) * (h2 > 0)
-    g = (h1.T @ d2)[1, 2]
-    e = 1e-6
-    w_plus = [w.copy() for w in ws]
-    w_plus[2][1, 2] += e
-    w_minus = [w.copy() for w in ws]
-    w_minus[2][1, 2] -= e
-    num = (loss(w_plus) - loss(w_minus)) / (2 * e)
-    assert abs(g - num) < 1e-5
+        return -np.log(p[np.arange(4), y]).sum()
+
+    class Sent:
+        value = ws
+
+    import pandas as pd
+    batches = [pd.DataFrame({"idx": idx[:2], "y": y[:2]}), pd.DataFrame({"idx": idx[2:], "y": y[2:]}), pd.DataFrame({"idx": [], "y": []})]
+    (out,) = _grad_fn(Sent, "idx", "y")(iter(batches))     # what a task runs and emits, once
+    got = np.zeros(sum(w.size for w in ws) + 1)
+    got[out["pid"].to_numpy()] = out["val"].to_numpy()
+    assert got[-1] == 4
+    e, at = 1e-6, 0
+    for k, w in enumerate(ws):
+        for i in np.ndindex(w.shape):
+            plus, minus = [x.copy() for x in ws], [x.copy() for x in ws]
+            plus[k][i] += e
+            minus[k][i] -= e
+            assert abs(got[at] - (loss(plus) - loss(minus)) / (2 * e)) < 1e-5, (k, i)
+            at += 1
 
 
 def test_net_training_loss_falls(spark):
@@ -134,14 +139,41 @@ def test_boosting_loss_falls_and_predicts(spark, boost_data):
         assert abs(sum(r[col] for r in imp) - 1) < 1e-9
 
 
-def test_split_search_same_in_spark_and_pandas(spark):
+def plain_splits(rows, is_cat: list[bool], lam: float, gam: float, mcw: float) -> list[dict]:
+    """Split search on a list of histogram rows."""
+    import numpy as np
+    import pandas as pd
+    cols = ["j", "node", "f", "bin", "G", "H"]
+    h = rows[cols].copy() if isinstance(rows, pd.DataFrame) else \
+        pd.DataFrame([tuple(r) for r in rows], columns=cols)
+    if h.empty:
+        return []
+    h = h.sort_values(["j", "node", "f", "bin"], kind="mergesort").reset_index(drop=True)
+    g = h.groupby(["j", "node", "f"], sort=False)
+    h["Gt"], h["Ht"] = g["G"].transform("sum"), g["H"].transform("sum")
+    h["maxbin"] = g["bin"].transform("max")
+    isc = np.asarray(is_cat, dtype=bool)[h["f"].to_numpy()]
+    h["GL"] = np.where(isc, h["G"], g["G"].cumsum())
+    h["HL"] = np.where(isc, h["H"], g["H"].cumsum())
+    GR, HR = h["Gt"] - h["GL"], h["Ht"] - h["HL"]
+    h["gain"] = 0.5 * (h["GL"] ** 2 / (h["HL"] + lam) + GR ** 2 / (HR + lam)
+                       - h["Gt"] ** 2 / (h["Ht"] + lam)) - gam
+    ok = (h["HL"] >= mcw) & (HR >= mcw) & (h["gain"] > 1e-12) & (isc | (h["bin"] < h["maxbin"]))
+    c = h[ok].sort_values(["j", "node", "gain", "f", "bin"], ascending=[True, True, False, True, True],
+                          kind="mergesort")
+    best = c.groupby(["j", "node"], sort=False).head(1)
+    return [{"j": int(r.j), "node": int(r.node), "f": int(r.f), "bin": int(r.bin),
+             "gain": float(r.gain), "H": float(r.Ht)} for r in best.itertuples()]
+
+
+def test_split_search_is_plain(spark):
     rng = np.random.default_rng(5)
     rows = [(j, n, f, b, float(rng.normal()), float(rng.uniform(0.1, 2)))
             for j, n, f, b in itertools.product(range(2), range(2), range(3), range(5))]
     hist = spark.createDataFrame(rows, "j int, node int, f int, bin int, G double, H double")
     is_cat = [False, True, False]
     a = sorted((r["j"], r["node"], r["f"], r["bin"]) for r in _best_splits(hist, is_cat, 1.0, 0.0, 1.0).collect())
-    b = sorted((s["j"], s["node"], s["f"], s["bin"]) for s in _best_splits_local(rows, is_cat, 1.0, 0.0, 1.0))
+    b = sorted((s["j"], s["node"], s["f"], s["bin"]) for s in plain_splits(rows, is_cat, 1.0, 0.0, 1.0))
     assert a == b
 
 
@@ -172,10 +204,43 @@ def test_nearest_neighbours_clustered(spark, monkeypatch):
         assert [got[(i, r)] for r in range(1, 5)] == [j for _, j in order]
 
 
-def test_net_staged_steps_same_history(spark):
+def test_net_leaves_no_files(spark):
+    import os
     rows = [(i, [i % 5, 5 + (i % 3)], i % 3) for i in range(90)]
     df = spark.createDataFrame(rows, "v1 long, idx array<int>, label int")
-    a = fit_mlp(df, "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3, stage=False)
-    b = fit_mlp(df, "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3, stage=True)
+    a = fit_mlp(df, "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3)
+    b = fit_mlp(df.orderBy(F.desc("v1")), "idx", "label", width=8, classes=3, epochs=2, steps_per_epoch=3)
     for x, y in zip(a.history, b.history):
         assert abs(x[1] - y[1]) < 1e-9 and x[2] == y[2]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [n for n in os.listdir(folder) if n.startswith("mlp-")]
+
+
+def test_loss_keeps_rows_of_probability_zero(spark):
+    df = spark.createDataFrame([([1.0, 0.0], 0), ([1.0, 0.0], 1)], "prob array<double>, label int")
+    r = evaluate(df, "prob", "label").first()
+    assert abs(r["loss"] + math.log(1e-7) / 2) < 1e-9 and r["accuracy"] == 0.5
+
+
+def test_labels_outside_the_classes_are_an_error(spark, boost_data):
+    with pytest.raises(Exception, match="label outside the classes"):
+        fit_boosted(boost_data, "y", ["x"], BoostParams(max_depth=1), rounds=1, num_class=3)
+
+
+def test_equal_rows_do_not_meet_all_of_their_copies(spark):
+    n = 3000                      # two points; all pairs would be 4.5 million rows
+    df = spark.createDataFrame([(i, float(i % 2), 1.0) for i in range(n)], "v1 long, a double, b double")
+    got = nearest_neighbours(df, "v1", ["a", "b"], k=4).collect()
+    assert len(got) == 4 * n and all(r["dist"] == 0 for r in got)
+    for i in (0, 1, 2, 2999):
+        want = [j for j in range(i % 2, n, 2) if j != i][:4]
+        assert [r["nb_key"] for r in sorted(got, key=lambda r: r["rank"]) if r["v1"] == i] == want
+
+
+@pytest.mark.parametrize("over, most", [(150, 2), (50, 1)])
+def test_oversampling_by_parts_of_a_hundred(spark, over, most):
+    rows = [(i, 1 if i < 60 else 5, float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "v1 long, rating int, a double")
+    out = smote(df, "rating", 1, 5, over=over, under=100, k=3, numeric=["a"])
+    n = out.where("origin = 'synthetic'").count()
+    assert (most - 1) * 60 < n < most * 60

@@ -34,12 +34,19 @@ def test_query_matches_duckdb(spark, duck, name):
     assert rows_of(sdf.columns, srows) == rows_of(dcols, drows)
 
 
-def test_every_query_runs(spark):
-    for name, fn in E.queries().items():
-        if name in E.oracle_sql():
-            continue
-        df = fn(spark, SF_SMALL)
-        assert df.count() >= 0, name
+#: these train for minutes or have tests of their own
+SLOW = {"flow_polarity_bands", "flow_rebalanced_f1", "flow_stacked_f1", "boosted_cv"}
+OTHER = sorted(n for n in set(E.queries()) - set(E.oracle_sql()) if n not in SLOW and not n.startswith("op") and n != "pipeline")
+
+
+@pytest.mark.parametrize("name", OTHER)
+def test_query_gives_whole_rows(spark, name):
+    """Without a twin: rows come, and columns are never null throughout."""
+    df = E.queries()[name](spark, SF_SMALL)
+    rows = [r.asDict() for r in df.collect()]
+    assert rows
+    for c in df.columns:
+        assert any(r[c] is not None for r in rows), c
 
 
 def test_entry(spark):
