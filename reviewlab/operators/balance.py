@@ -77,16 +77,16 @@ def nearest_neighbours(df: DataFrame, key: str, numeric: list[str], k: int = 5,
     # distinct points (clustered data), which bounds every point's candidates
     s = min(1.0, (cell_points / max(n_pts, 1)) ** (1.0 / d))
     for _ in range(20):
-        busiest = (vec.groupBy("__g", F.transform("x", lambda v: F.floor(v / s).cast("int")).alias("c"))
+        busiest = (vec.groupBy("__g", F.transform("x", lambda v: F.floor(v / s).cast("bigint")).alias("c"))
                    .count().agg(F.max("count")).first()[0])
         if busiest <= MAX_CELL_POINTS:
             break
         s /= 3
     results = []
     open_ids = vec.select("pid")
-    offs = F.from_json(F.lit(str(_offsets(d))), "array<array<int>>")
+    offs = F.from_json(F.lit(str(_offsets(d))), "array<array<bigint>>")
     while True:
-        cell = F.transform("x", lambda v: F.floor(v / s).cast("int"))
+        cell = F.transform("x", lambda v: F.floor(v / s).cast("bigint"))
         cells = vec.select("__g", "pid", "x", "m", cell.alias("c"))
         q = cells.join(open_ids, "pid").select(
             "__g", F.col("pid").alias("qid"), F.col("x").alias("qx"),

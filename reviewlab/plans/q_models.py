@@ -104,17 +104,17 @@ def _sentiment_rows(spark, sf):
     return review_sentiment(df, lx.stop, lx.bing, lx.afinn, keys=KEYS10)
 
 
-@query("smote_neighbours", sql=f"""
+SMOTE_SQL = f"""
 , words as (select {", ".join(KEYS10)}, unnest(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}]+(?:\\x27[\\p{{L}}\\p{{N}}]+)*')) as word from complete)
 , s2 as (
-  select v1, rating, age, positive_feedback,
+  select {", ".join(KEYS10)},
          sum(case when b.sentiment = 'positive' then 1 else -1 end) as sum_sentb, sum(a.score) as sum_senta
   from words w join bing b using (word) join afinn a using (word)
-  where not exists (select 1 from stop_words s where s.word = w.word) and rating in (1, 2, 3, 4)
+  where not exists (select 1 from stop_words s where s.word = w.word) 
   group by all)
 , rg as (select rating, min(age) as l1, max(age) as h1, min(positive_feedback) as l2, max(positive_feedback) as h2,
                 min(sum_senta) as l3, max(sum_senta) as h3, min(sum_sentb) as l4, max(sum_sentb) as h4
-         from s2 group by rating)
+         from s2 where rating <= 4 group by rating)
 , sc as (select s2.v1, s2.rating,
                 (age - l1) / coalesce(nullif(cast(h1 - l1 as double), 0), 1.0) as x1,
                 (positive_feedback - l2) / coalesce(nullif(cast(h2 - l2 as double), 0), 1.0) as x2,
@@ -125,6 +125,10 @@ def _sentiment_rows(spark, sf):
                    sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)
                         + (a.x3 - b.x3) * (a.x3 - b.x3) + (a.x4 - b.x4) * (a.x4 - b.x4)) as dist
             from sc a join sc b on a.rating = b.rating and a.v1 <> b.v1)
+"""
+
+
+@query("smote_neighbours", sql=SMOTE_SQL + """
 select rating, v1, nb_key, cast(rk as int) as rank, round(dist, 6) as dist from (
   select *, row_number() over (partition by rating, v1 order by round(dist, 9), nb_key) as rk from pairs)
 where rk <= 5
@@ -139,14 +143,47 @@ def q_smote_neighbours(spark, sf):
         "rating", "v1", "nb_key", "rank", F.round("dist", 6).alias("dist"))
 
 
-@query("smote_rows")
+def _unit_sql(salt: str) -> str:
+    """SQL of ``unit_draw`` of the synthetic row's key."""
+    return f"(cast(('0x' || substr(md5('22-{salt}-' || gkey), 1, 8)) as bigint) / 4294967296.0)"
+
+
+SMOTE_ROWS_SQL = SMOTE_SQL + f"""
+, nb as (select rating, v1, nb_key, row_number() over (partition by rating, v1 order by round(dist, 9), nb_key) as rk from pairs
+         qualify rk <= 5)
+, nn as (select v1, count(*) as nn from nb group by v1)
+, draws as (select s2.*, nn.nn, c.copy, cast(s2.v1 as varchar) || '-' || cast(c.copy as varchar) as gkey
+            from s2 join nn using (v1), (select unnest(range(1, 7)) as copy) c where rating <= 4)
+, picked as (select d.*, nb.nb_key from draws d join nb on nb.v1 = d.v1
+             and nb.rk = cast(('0x' || substr(md5('22-nb-' || gkey), 1, 8)) as bigint) % d.nn + 1)
+, syn as (
+  select -(copy * 1000000000000 + p.v1) - 1 as v1, p.rating,
+         {", ".join(f"case when {_unit_sql('cat-' + c)} < 0.5 then o.{c} else p.{c} end as {c}" for c in SMOTE_CATEGORICAL)},
+         {", ".join(f"cast(p.{c} as double) + {_unit_sql('gap')} * (cast(o.{c} as double) - cast(p.{c} as double)) as {c}" for c in SMOTE_NUMERIC)},
+         'synthetic' as origin, p.rating as pair
+  from picked p join s2 o on o.v1 = p.nb_key)
+, want as (select pair, count(*) as want from syn group by pair)
+, maj as (select s2.*, w.pair, r.r, w.want, count(*) over (partition by w.pair, r.r) as n_maj,
+                 row_number() over (partition by w.pair, r.r order by md5(cast(22 + 1000 * r.r + w.pair as varchar) || '-' || cast(v1 as varchar)), v1) as k
+          from s2, want w, (select unnest(range(0, 50)) as r) r where rating = 5)
+select v1, rating, {", ".join(SMOTE_CATEGORICAL)}, {", ".join(f"round({c}, 6) as {c}" for c in SMOTE_NUMERIC)}, origin, pair from (
+  select v1, rating, {", ".join(SMOTE_CATEGORICAL)}, {", ".join(f"cast({c} as double) as {c}" for c in SMOTE_NUMERIC)}, 'minority' as origin, rating as pair
+  from s2 where rating <= 4
+  union all select * from syn
+  union all select v1, rating, {", ".join(SMOTE_CATEGORICAL)}, {", ".join(f"cast({c} as double) as {c}" for c in SMOTE_NUMERIC)}, 'majority', pair
+  from maj where k <= want - r * n_maj) t
+"""
+
+
+@query("smote_rows", sql=SMOTE_ROWS_SQL)
 def q_smote_rows(spark, sf):
     """Minority, synthetic and drawn majority rows for classes 1..4 against 5
     (600 % over, 100 % under, k = 5), stacked."""
     from reviewlab.operators.balance import oversample_pairs
     s = _sentiment_rows(spark, sf)
-    return oversample_pairs(s, "rating", (1, 2, 3, 4), 5, over=600, under=100, k=5,
-                            numeric=SMOTE_NUMERIC, categorical=SMOTE_CATEGORICAL)
+    out = oversample_pairs(s, "rating", (1, 2, 3, 4), 5, over=600, under=100, k=5,
+                           numeric=SMOTE_NUMERIC, categorical=SMOTE_CATEGORICAL)
+    return out.select(*[F.round(c, 6).alias(c) if c in SMOTE_NUMERIC else c for c in out.columns])
 
 
 # --- M4-M8: the net on multi-hot words, and its stacked column ------------------
@@ -260,3 +297,66 @@ def q_boost_root_histogram(spark, sf):
     h = root_histogram(df, "rating", ["devision", "class", "department"], num_class=6)
     return h.select("class_index", "feature", "level", F.round("G", 6).alias("G"),
                     F.round("H", 6).alias("H"))
+
+
+ROUND1 = ["devision", "class", "department"]
+ROUND1_SQL = """
+, cells as (
+  select f, feature, level, rating from complete, (select unnest([0, 1, 2]) as f, unnest(['devision', 'class', 'department']) as feature) x,
+         lateral (select case f when 0 then devision when 1 then class else department end as level) y)
+, ks as (select unnest(range(0, 6)) as k)
+, hist as (select k, f, feature, level, count(*) / 6.0 - count(*) filter (where rating = k) as g,
+                  count(*) * (2 * (cast(1 as double) / 6) * (cast(5 as double) / 6)) as h
+           from cells, ks group by all)
+, sums as (select *, sum(g) over (partition by k, f) as gt, sum(h) over (partition by k, f) as ht from hist)
+, gains as (select *, 0.5 * (g * g / (h + 1) + (gt - g) * (gt - g) / (ht - h + 1) - gt * gt / (ht + 1)) as gain
+            from sums where h >= 1 and ht - h >= 1)
+, best as (select * from gains where gain > 1e-12
+           qualify row_number() over (partition by k order by round(gain, 9) desc, f, level) = 1)
+"""
+
+
+def _round1(spark, sf):
+    df = prepared_reviews(spark, sf)
+    return df, fit_boosted(df, "rating", ROUND1, BoostParams(eta=0.3, max_depth=1), rounds=1, num_class=6)
+
+
+@query("boost_round1", sql=ROUND1_SQL + """
+select cast(k as int) as class_index, feature, level, round(gain, 6) as gain, round(ht, 6) as cover,
+       round(-0.3 * g / (h + 1), 6) as left_weight, round(-0.3 * (gt - g) / (ht - h + 1), 6) as right_weight from best
+""")
+def q_boost_round1(spark, sf):
+    """The first round's trees of depth 1: split, gain and leaves per class."""
+    _, m = _round1(spark, sf)
+    rows = []
+    for _, k, splits, leaves in m.trees:
+        for f, b, gain, cover in splits.values():
+            name = m.binning.features[f]
+            rows.append((k, name, m.binning.levels[name][b], gain, cover, leaves.get(1), leaves.get(2)))
+    out = spark.createDataFrame(rows, "class_index int, feature string, level string, gain double, cover double, "
+                                      "left_weight double, right_weight double")
+    return out.select("class_index", "feature", "level", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+
+
+@query("boost_round1_predictions", sql=ROUND1_SQL + """
+, votes as (select c.v1, b.k, round(case when (case f when 0 then devision when 1 then class else department end) = level
+                                    then -0.3 * g / (h + 1) else -0.3 * (gt - g) / (ht - h + 1) end, 9) as w
+            from complete c, best b)
+select v1, cast(k as int) as prediction from votes
+qualify row_number() over (partition by v1 order by w desc, k) = 1
+""")
+def q_boost_round1_predictions(spark, sf):
+    """Class of each review by the first round's trees."""
+    df, m = _round1(spark, sf)
+    return predict_boosted(m, df, keep=["v1"])
+
+
+@query("boost_round1_importance", sql=ROUND1_SQL + """
+select feature, round(sum(gain) / (select sum(gain) from best), 6) as gain,
+       round(sum(ht) / (select sum(ht) from best), 6) as cover,
+       round(count(*) / (select count(*) from best), 6) as frequency from best group by feature
+""")
+def q_boost_round1_importance(spark, sf):
+    _, m = _round1(spark, sf)
+    imp = importance(m, spark)
+    return imp.select("feature", *[F.round(c, 6).alias(c) for c in ("gain", "cover", "frequency")])
