@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlab.operators.ranges import numbered
+
 from reviewlab.functions.columns import age_band, rating_band, to_number
 
 
@@ -56,17 +58,15 @@ def category_codes(df: DataFrame, col: str, levels: list | None = None,
     With ``levels`` (an ordered factor): the position in that list, null for
     a value not listed (a projection). Without: codes in ascending order of
     the distinct values, as R's ``factor`` does; the distinct values are an
-    aggregation (at most one row per value per partition), numbered by a
-    window over the collapsed value list and joined back.
+    aggregation (at most one row per value per partition), numbered within
+    range partitions and joined back.
     """
     out = out or f"{col}_code"
     if levels is not None:
         arr = F.array(*[F.lit(v) for v in levels])
         pos = F.array_position(arr, F.col(col))
         return df.withColumn(out, F.when(pos > 0, (pos - 1).cast("int")))
-    lv = (df.select(col).where(F.col(col).isNotNull()).distinct()
-          .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out)))
-    return df.join(lv, col, "left")
+    return df.join(numbered(df, col, out), col, "left")
 
 
 def class_pair(df: DataFrame, x, against=5, col: str = "rating") -> DataFrame:

@@ -213,17 +213,19 @@ DENSITY_SQL = """
                 min(v) as lo, max(v) as hi from vals)
 , bwt as (select *, 0.9 * (case when least(sd, iqr / 1.34) > 0 then least(sd, iqr / 1.34) when sd > 0 then sd
                                  when abs(lo) > 0 then abs(lo) else 1.0 end) * pow(n, -0.2) as bw from st)
-, grid as (select g.gi, lo - 3 * bw + g.gi * (hi - lo + 6 * bw) / 511 as x, bw, n
-           from bwt, (select unnest(range(0, 512)) as gi) g)
+, g0 as (select lo - 3 * bw as x0, (hi - lo + 6 * bw) / 511 as dx, bw, n from bwt)
+, gi as (select unnest(range(0, 512)) as gi)
 """
 
 
 @query("density_rating", sql="""
 , vals as (select cast(rating as double) as v from complete)""" + DENSITY_SQL + """
-, dv as (select v, count(*) as m from vals group by v)
-select cast(gi as int) as gi, round(x, 6) as x,
-       round(sum(m * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw)) / (sqrt(2 * pi()) * bw * n)), 6) as density
-from grid, dv group by gi, x
+, pos as (select (v - x0) / dx as t from vals, g0)
+, mass as (select b, sum(w) as m from (select floor(t) as b, 1 - (t - floor(t)) as w from pos
+                                       union all select floor(t) + 1, t - floor(t) from pos) where w > 0 group by b)
+select cast(gi as int) as gi, round(x0 + gi * dx, 6) as x,
+       round(sum(m * exp(-0.5 * ((gi - b) * dx / bw) * ((gi - b) * dx / bw)) / (sqrt(2 * pi()) * bw * n)), 6) as density
+from mass, g0, gi group by gi, x0, dx
 """)
 def q_density_rating(spark, sf):
     df = prepared_reviews(spark, sf)
@@ -235,10 +237,13 @@ def q_density_rating(spark, sf):
 , kk as (select c.rating, coalesce(p.sum_sents, 0.0) as v from complete c left join per_review p using (v1)
          where c.rating in (4, 5))
 , vals as (select v from kk)""" + DENSITY_SQL + """
-, dv as (select rating, v, count(*) as m, sum(count(*)) over (partition by rating) as ng from kk group by rating, v)
-select rating, cast(gi as int) as gi, round(x, 6) as x,
-       round(sum(m * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw)) / (sqrt(2 * pi()) * bw * ng)), 6) as density
-from grid, dv group by rating, gi, x
+, pos as (select rating, (v - x0) / dx as t from kk, g0)
+, mass as (select rating, b, sum(w) as m from (select rating, floor(t) as b, 1 - (t - floor(t)) as w from pos
+                                               union all select rating, floor(t) + 1, t - floor(t) from pos) where w > 0 group by all)
+, sized as (select *, sum(m) over (partition by rating) as ng from mass)
+select rating, cast(gi as int) as gi, round(x0 + gi * dx, 6) as x,
+       round(sum(m * exp(-0.5 * ((gi - b) * dx / bw) * ((gi - b) * dx / bw)) / (sqrt(2 * pi()) * bw * ng)), 6) as density
+from sized, g0, gi group by rating, gi, x0, dx
 """)
 def q_density_by_rating(spark, sf):
     kk = _rating45_sents(spark, sf)
@@ -255,6 +260,23 @@ def _rating45_sents(spark, sf):
     return cut_lineage(kk)   # read by the bandwidth pass and the kernel pass
 
 
+@query("density_equality_statistic", sql=SENTENCE_SQL + """
+, kk as (select c.rating, coalesce(p.sum_sents, 0.0) as v from complete c left join per_review p using (v1)
+         where c.rating in (4, 5))
+, vals as (select v from kk)""" + DENSITY_SQL + """
+, binned as (select rating, round((v - x0) / dx) as b, count(*) as m from kk, g0 group by all)
+, curves as (select rating, gi, sum(m * exp(-0.5 * ((gi - b) * dx / bw) * ((gi - b) * dx / bw)) / (sqrt(2 * pi()) * bw))
+                                / (select sum(m) from binned x where x.rating = binned.rating) as f
+             from binned, g0, gi group by rating, gi)
+, pooled as (select gi, sum(m * exp(-0.5 * ((gi - b) * dx / bw) * ((gi - b) * dx / bw)) / (sqrt(2 * pi()) * bw))
+                        / (select sum(m) from binned) as f0 from binned, g0, gi group by gi)
+select round(sum((f - f0) * (f - f0)) * (select dx from g0), 6) as statistic from curves join pooled using (gi)
+""")
+def q_density_statistic(spark, sf):
+    _, test = density_compare(_rating45_sents(spark, sf), "sum_sents", "rating")
+    return test.select(R6("statistic"))
+
+
 @query("density_equality_test")
 def q_density_test(spark, sf):
     """Statistic and permutation p-value (random; rows-only check)."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlab.operators.ranges import exact_quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
@@ -21,18 +23,19 @@ def summarise(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: min, quartiles, mean, max and missing count.
 
     One aggregation pass over the data (partial aggregates, no sort); the
-    quartiles are exact (``percentile``), as in R's ``summary``. The wide
-    result row is turned long with ``stack`` (one row per column).
+    quartiles are exact, as in R's ``summary``, found through counts of range
+    partitions. The wide result row is turned long with ``stack``.
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
-    aggs = []
+    aggs, quartiles = [], exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     for c in cols:
+        q1, median, q3 = (F.lit(q).cast("double") for q in quartiles[c])
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, 0.25).alias(f"{c}__q1"),
-                 F.percentile(x, 0.5).alias(f"{c}__median"),
+                 F.first(q1).alias(f"{c}__q1"),
+                 F.first(median).alias(f"{c}__median"),
                  F.avg(x).alias(f"{c}__mean"),
-                 F.percentile(x, 0.75).alias(f"{c}__q3"),
+                 F.first(q3).alias(f"{c}__q3"),
                  F.max(x).alias(f"{c}__max"),
                  F.count_if(x.isNull()).alias(f"{c}__nulls")]
     wide = df.agg(*aggs)
