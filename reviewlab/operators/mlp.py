@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlab.functions.columns import argmax
-from reviewlab.operators.sampling import draw_hash
+from reviewlab.operators.sampling import draw_hash, folds
 from reviewlab.operators.util import drop_files
 from reviewlab.session import ensure_checkpoint_dir
 
@@ -207,12 +208,24 @@ def history_frame(spark, model: MLPModel) -> DataFrame:
 
 
 def stack(train: DataFrame, test: DataFrame, model: MLPModel, idx: str, key: str = "v1",
-          name: str = "review_vector") -> DataFrame:
+          name: str = "review_vector", out_of_fold: bool = False, refit=None, k: int = 5,
+          seed: int = 22) -> DataFrame:
     """The net's predicted class (1-based, as the rating) attached as a
     column to the training and the test rows, stacked with a ``split``
-    column (the net scores its own training rows, as in the workload)."""
-    parts = []
-    for part, tag in ((train, "train"), (test, "test")):
-        p = predict_mlp(model, part.select(key, idx), idx, keep=[key])
-        parts.append(p.select(key, argmax("prob").alias(name), F.lit(tag).alias("split")))
-    return parts[0].unionByName(parts[1])
+    column.
+
+    The net scores its own training rows, as in the workload; with
+    ``out_of_fold`` each of ``k`` folds of the training rows is scored by a net
+    that ``refit(rows)`` has trained on the others, so that the column is as
+    honest on training rows as on test rows."""
+    parts = [(test, model, "test")]
+    if out_of_fold:
+        dealt = folds(train, key, k, seed, out="__fold")
+        for i in range(k):
+            rest = dealt.where(F.col("__fold") != i).drop("__fold")
+            parts.append((dealt.where(F.col("__fold") == i), refit(rest), "train"))
+    else:
+        parts.append((train, model, "train"))
+    scored = [predict_mlp(m, part.select(key, idx), idx, keep=[key])
+              .select(key, argmax("prob").alias(name), F.lit(tag).alias("split")) for part, m, tag in parts]
+    return reduce(DataFrame.unionByName, scored)

@@ -244,3 +244,32 @@ def test_oversampling_by_parts_of_a_hundred(spark, over, most):
     out = smote(df, "rating", 1, 5, over=over, under=100, k=3, numeric=["a"])
     n = out.where("origin = 'synthetic'").count()
     assert (most - 1) * 60 < n < most * 60
+
+
+def test_ordered_and_one_hot_features(spark):
+    from reviewlab.operators.features import feature_matrix, fit_features
+    df = spark.createDataFrame([(1, "b", "low", 2.0), (2, "a", "high", 3.0), (3, None, None, 4.0), (4, "a", "odd", 5.0)],
+                               "v1 long, cat string, grade string, x double")
+    levels = {"grade": ["low", "mid", "high"]}
+    spec = fit_features(df, ["cat", "grade", "x"], ordered=levels)
+    got = {r["v1"]: list(r["features"].toArray()) for r in feature_matrix(df, spec, keep=["v1"]).collect()}
+    assert got == {1: [1.0, 0.0, 2.0], 2: [0.0, 2.0, 3.0], 3: [2.0, -1.0, 4.0], 4: [0.0, -1.0, 5.0]}
+    spec = fit_features(df, ["cat", "x"], one_hot=True)
+    wide = {r["v1"]: list(r["features"].toArray()) for r in feature_matrix(df, spec, keep=["v1"]).collect()}
+    assert wide[1][:2] == [0.0, 1.0] and wide[2][:2] == [1.0, 0.0] and wide[1][-1] == 2.0
+
+
+def test_stacked_column_out_of_fold(spark):
+    from reviewlab.operators.mlp import stack
+    rows = [(i, [i % 5, 5 + (i % 3)], i % 3, "train" if i < 60 else "test") for i in range(80)]
+    df = spark.createDataFrame(rows, "v1 long, idx array<int>, label int, split string")
+    train, seen = df.where("split = 'train'"), []
+
+    def refit(part):
+        seen.append({r["v1"] for r in part.select("v1").collect()})
+        return fit_mlp(part, "idx", "label", width=8, classes=3, epochs=1, steps_per_epoch=1)
+
+    model = fit_mlp(train, "idx", "label", width=8, classes=3, epochs=1, steps_per_epoch=1)
+    out = stack(train, df.where("split = 'test'"), model, "idx", out_of_fold=True, refit=refit, k=3).collect()
+    assert {r["v1"]: r["split"] for r in out} == {r[0]: r[3] for r in rows} and len(out) == 80
+    assert len(seen) == 3 and set.intersection(*seen) == set() and all(s < set(range(60)) for s in seen)
