@@ -31,7 +31,7 @@ from reviewlab.llm.common import Words, labelled_sample, mix, per_text, saved, s
 
 #: labelled documents of each class, about
 SAMPLE = 50_000
-STEPS, RIDGE = 25, 1e-4
+STEPS, RIDGE = 25, 0.03
 _BYTE_KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"|", b"#$%&*@^~_=+<>\\/", b"\"'()[]{}-", b"\n"]
 FEATURES = 2 * len(_BYTE_KINDS) + 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
