@@ -7,7 +7,7 @@ Glorot-uniform weights, zero biases.
 Training is data parallel. Each step: the weights go out as a broadcast
 variable; ``mapInPandas`` runs forward and backward passes on each
 partition's rows of the step (a hash draw of the key picks the step)
-and emits gradient sums as (parameter, value) rows, once a partition: only
+and emits gradient sums as rows of 16 parameters, once a partition: only
 the first-layer rows of words that occur are emitted, so the output is sparse.
 Rows are written once, partitioned by step, so a step reads only its own. A
 ``groupBy`` sums them (partial aggregation; the result is bounded by the
@@ -84,7 +84,9 @@ def _forward(ws, idx_lists):
     return flat, owner, h1, h2, p
 
 
-GRAD_SCHEMA = "pid long, val double"
+#: values of the gradient vector in a row, so that few rows are summed
+LANES = 16
+GRAD_SCHEMA = "block long, " + ", ".join(f"g{i} double" for i in range(LANES))
 
 
 def gradient(ws, idx, y) -> np.ndarray:
@@ -112,9 +114,10 @@ def _grad_fn(bc, idx_col, label_col):
                 g = gradient(bc.value, list(pdf[idx_col]), pdf[label_col].to_numpy().astype(np.int64))
                 total = g if total is None else total + g
         if total is not None:
-            # one emission a task: parameters that some row touched
-            pid = np.flatnonzero(total)
-            yield pd.DataFrame({"pid": pid.astype(np.int64), "val": total[pid]})
+            # one emission a task: blocks of parameters that some row touched
+            blocks = np.pad(total, (0, -len(total) % LANES)).reshape(-1, LANES)
+            at = np.flatnonzero(blocks.any(axis=1))
+            yield pd.DataFrame({"block": at.astype(np.int64)} | {f"g{i}": blocks[at, i] for i in range(LANES)})
     return run
 
 
@@ -165,10 +168,11 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
             # summed per parameter in Spark: at most the model size comes back
             g = (data.where(F.col("__step") == step).select(idx, label)
                  .mapInPandas(_grad_fn(bc, idx, label), out_schema)
-                 .groupBy("pid").agg(F.sum("val").alias("val")).toPandas())
+                 .groupBy("block").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(LANES)]).toPandas())
             bc.unpersist()
-            total = np.zeros(offsets[-1] + 1)
-            np.add.at(total, g["pid"].to_numpy(dtype=np.int64), g["val"].to_numpy(dtype=float))
+            total = np.zeros((-(-(offsets[-1] + 1) // LANES), LANES))
+            total[g["block"].to_numpy(dtype=np.int64)] = g.iloc[:, 1:].to_numpy(dtype=float)
+            total = total.ravel()
             m = total[offsets[-1]]
             if m == 0:
                 continue
