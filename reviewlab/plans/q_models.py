@@ -209,6 +209,8 @@ def _net_inputs(spark, sf):
 
 #: validation rows; the script's 1,000 are more than small test tables have
 VALIDATION = 100
+#: steps an epoch: batches of 512 at sf0.1, and the same number at any size
+STEPS = 14
 
 
 def _net(spark, sf, epochs=10, validation=VALIDATION):
@@ -218,7 +220,7 @@ def _net(spark, sf, epochs=10, validation=VALIDATION):
     parts = split_exact(train, "v1", share=None, n=validation, seed=23, out="part",
                         first="val", second="fit")
     m = fit_mlp(parts.where("part = 'fit'"), "idx", "label", WIDTH, classes=5, epochs=epochs,
-                validation=parts.where("part = 'val'"))
+                steps_per_epoch=STEPS, validation=parts.where("part = 'val'"))
     return rows, m
 
 
