@@ -1,10 +1,12 @@
 """Every registered query with a DuckDB twin gives the same rows (sf0.001)."""
 
+import functools
 import math
 
 import pytest
 
 import __spark_entry__ as E
+from reviewlab.plans import q_models
 from tests.conftest import SF_SMALL
 
 
@@ -34,6 +36,16 @@ def test_query_matches_duckdb(spark, duck, name):
     assert rows_of(sdf.columns, srows) == rows_of(dcols, drows)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def train_once():
+    """Queries that only show a model's other sides share one training."""
+    patch = pytest.MonkeyPatch()
+    for name in ("_boosted", "_net"):
+        patch.setattr(q_models, name, functools.cache(getattr(q_models, name)))
+    yield
+    patch.undo()
+
+
 #: these train for minutes or have tests of their own
 SLOW = {"flow_polarity_bands", "flow_rebalanced_f1", "flow_stacked_f1", "boosted_cv"}
 OTHER = sorted(n for n in set(E.queries()) - set(E.oracle_sql()) if n not in SLOW and not n.startswith("op") and n != "pipeline")
