@@ -459,7 +459,6 @@ def predict_boosted(model: BoostModel, df: DataFrame, keep: list[str] | None = N
     labels = model.labels
 
     def score(batches):
-        import pandas as pd
         for pdf in batches:
             bins = np.stack(pdf["__bins"].to_numpy()) if len(pdf) else np.zeros((0, len(iscat)), np.int64)
             n = len(pdf)

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from reviewlab.functions.columns import rating_band
 from reviewlab.operators.balance import oversample_pairs
 from reviewlab.operators.boost import (
-    BoostParams, cross_validate, fit_boosted, importance, param_grid, predict_boosted,
-    top_features,
+    cross_validate, importance, param_grid, predict_boosted, top_features,
 )
 from reviewlab.operators.metrics import class_metrics, compare_f1, confusion, hit_rate
 from reviewlab.operators.sampling import split_exact
