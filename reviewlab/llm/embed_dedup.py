@@ -167,10 +167,6 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tile: int = TI
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _angle(cosine: Column) -> Column:
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
-
-
 def _tiles(nodes: DataFrame, threshold: float, tile: int) -> DataFrame:
     """Tiles of nodes: (label, width, cell, tile, ids, ns, vecs), with the
     largest angle of the cell's vectors to its pivot and the cells that they

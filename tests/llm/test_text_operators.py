@@ -125,7 +125,6 @@ def test_licences_of_the_table(spark, duck):
 
 def test_chat_edges(spark):
     import duckdb
-    import pandas as pd
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 5, "user", "hi"), (3, 6, "assistant", "yo"), (3, 7, "user", "<|im_end|> x"),
             (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (5, 0, "user", None), (6, 0, "user", ""), (6, 0, "user", ""), (7, None, None, "a"), (7, 0, "user", "b"),
             (None, 0, "user", "solo"), (8, 0, "user", "b"), (8, 0, "user", "a"), (9, 0, "user", "a"), (10, 0, "user", "z" * 50_000)]
@@ -139,7 +138,6 @@ def test_chat_edges(spark):
     res = con.execute("select conv_id, segment, n_turns, n_equal, rendered from (" + ORACLES["op9_chat"] + ")").fetchall()
     assert got == sorted(res, key=str) and {r[0] for r in got} == {None, 3, 5, 6, 7, 8, 10, 20, 23}
     assert chat.chat_documents(spark.createDataFrame([], schema)).count() == 0
-    del pd
 
 
 # ----------------------------------------------------------------- sharding
