@@ -121,6 +121,52 @@ def test_licences_of_the_table(spark, duck):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licences_across_lines_are_all_windows(spark):
+    rng = random.Random(9)
+    mit, gpl, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["BSD-3-Clause"][0]
+    usual = [mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE"),
+             gpl.replace("version. This", "version.\n\nThis"), bsd.replace(" 1.", "\n\n1.").replace(" 2.", "\n\n2.").replace(" 3.", "\n\n3.")]
+    rows = [text(rng, 40) + "\n\n" + x + "\n\n" + text(rng, 60) for x in usual]
+    rows += [f"some words here and this file is\nlicensed under the MIT\nLicense. {text(rng, 30)}", text(rng, 90), "rights", "", None, "all rights\n\nreserved x all\nrights reserved"]
+    for k in range(25):
+        words = rng.choice(usual[:3] + licenses.TEMPLATES["ISC"]).split()
+        for _ in range(rng.randrange(0, len(words) // 5)):
+            words[rng.randrange(len(words))] = rng.choice([*words, "changed"])
+        rows.append("\n\n".join([text(rng, rng.randrange(1, 9)), *(" ".join(words[i:i + 15]) for i in range(0, len(words), 15)), text(rng, 5)]))
+    want, best = set(), {}
+    for i, t in enumerate(rows):
+        words = brute.words_of(t or "")
+        pairs = list(zip(words, words[1:]))
+        for name, texts in licenses.TEMPLATES.items():
+            for x in texts:
+                bag = Counter(zip(brute.words_of(x), brute.words_of(x)[1:]))
+                size = sum(bag.values())
+                for a in range(len(pairs)):
+                    seen, common = Counter(), 0
+                    for b in range(a, min(len(pairs), a + 2 * size)):
+                        seen[pairs[b]] += 1
+                        common += seen[pairs[b]] <= bag[pairs[b]]
+                        if (d := 2 * common / (b - a + 1 + size)) >= 0.8:
+                            want.add((i, name))
+                            best[i, name] = max(best.get((i, name), 0), d)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = licenses.license_scan(df, templates=licenses.TEMPLATES).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want and len(want) > 12 and (0, "MIT") in want and (2, "BSD-3-Clause") in want
+    for r in got:
+        span = rows[r["doc_id"]].encode()[r["first_byte"]:r["last_byte"]].decode()
+        assert max(brute.dice(span, x) for x in licenses.TEMPLATES[r["license"]]) == pytest.approx(r["dice"])
+        assert r["dice"] == pytest.approx(best[r["doc_id"], r["license"]]) or r["license"] in plain_scan(rows[r["doc_id"]])
+    assert next(r["n_places"] for r in got if r["doc_id"] == 8) == 2
+
+
+def test_full_licence_texts(spark):
+    rng = random.Random(10)
+    full = {name: texts for name, texts in licenses.all_templates().items() if name in licenses.TEXTS}
+    rows = [(i, text(rng, 50) + "\n\n" + max(texts, key=len) + "\n" + text(rng, 50), name) for i, (name, texts) in enumerate(full.items())]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert {(i, name) for i, _, name in rows} <= got and len(rows) == 7
+
+
 # --------------------------------------------------------------------- chat
 
 def test_chat_edges(spark):
