@@ -61,14 +61,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def labelled_sample(labels: DataFrame, column: str, keep: Column, bound: int) -> DataFrame:
-    """Labelled rows to learn from: (doc_id, y), at most about ``bound`` of
-    each class, chosen by a hash of the id. One row per id: where an id has
-    several labels the largest counts. Rows without id or label are not used.
+def labelled_sample(labels: DataFrame, column: str, keep: Column, bound: int | None = None) -> DataFrame:
+    """Labelled rows to learn from: (doc_id, y), all of them or at most about
+    ``bound`` of each class, chosen by a hash of the id. One row per id: where
+    an id has several labels the largest counts. Rows without id or label are
+    not used.
 
-    The result is small by that bound and may be broadcast."""
+    With a bound the result is small and may be broadcast."""
     rows = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & keep)
             .groupBy("doc_id").agg(F.max(column).cast("int").alias("y")))
+    if bound is None:
+        return rows
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)

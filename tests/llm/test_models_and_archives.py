@@ -73,6 +73,61 @@ def test_scores_of_odd_rows(spark, of, label):
     assert {r["score"] for r in of(docs, labels.limit(0), learn).collect()} <= {0.5}
 
 
+def test_two_words_are_an_expression(spark):
+    """Words that both classes use alike, and that only toxic texts put side by side, some twelve times in all."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("ba", "do", "ki", "lu") for b in ("ra", "se", "to", "mi", "na")]
+    rows, labels = [], []
+    for i in range(240):
+        t = [rng.choice(words) for _ in range(40)]
+        t.insert(5, "left"), t.insert(20, "right")
+        if i % 10 == 0:
+            t[5:6], t[21:22] = ["left", "right"], []
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 10 == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, known, F.col("doc_id") % 4 != 2).collect()}
+    held = [(scores[i], y) for i, y in labels if i % 4 == 2]
+    assert min(s for s, y in held if y) > max(s for s, y in held if not y)
+
+
+def test_ratios_are_kneser_ney(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    from reviewlab.llm.common import word_chunks
+    rng = random.Random(13)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["", "only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table, shared = toxicity.model(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int"))
+    got = table.toArrow()
+    v = got.column("v").combine_chunks()
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    answers = toxicity.Answers(got.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
+    corpus = Counter(w for t in texts for w in t.split())
+    take = lambda n, d: (min(n, d) if isinstance(d, float) else (0, *d)[min(n, 3)])
+    grams = [Counter((a, b) for i in range(c, 30, 2) for a, b in zip(["^"] + texts[i].split(), texts[i].split())) for c in (0, 1)]
+    d = [toxicity.discounts(tuple(sum(n == k for n in g.values()) for k in (1, 2, 3, 4))) for g in grams]
+    assert d == [list(map(tuple, shared.bigram[0]))[c] for c in (0, 1)] and all(0 < x[0] < 1 for x in d)
+
+    def p(c, i, h, w):
+        before = Counter(b for _, b in grams[c])
+        D, E = shared.bigram[i][c], shared.word[i][c]
+        n = sum(before.values())
+        word = (before[w] - take(before[w], E)) / n + sum(take(x, E) for x in before.values()) / n * (corpus[w] + 1) / (sum(corpus.values()) + len(corpus))
+        after = {b: x for (a, b), x in grams[c].items() if a == h}
+        m = sum(after.values())
+        return ((after.get(w, 0) - take(after.get(w, 0), D)) / m if m else 0) + (sum(take(x, D) for x in after.values()) / m if m else 1) * word
+
+    for t in (texts[0], texts[1], texts[40], texts[61]):
+        w = next(iter(word_chunks(pa.array([t]), letters_only=True)))
+        for i, r in enumerate(answers.log_ratios(w.hash, w.bounds)):
+            want = [math.log(p(1, i, a, b) / p(0, i, a, b)) for a, b in zip(["^"] + t.split(), t.split())]
+            assert r == pytest.approx(want, abs=1e-6)
+
+
 def test_prior_and_features():
     import numpy as np
     import pyarrow as pa
