@@ -14,8 +14,9 @@ is padded.
 Token ids are those of the tokenizer file. Text is cut before a space that a
 non-space follows, where the file's pattern always starts a new token, and the
 ids of such pieces are remembered in a bounded table; the others are merged by
-the byte-pair ranks of the same file. The first pieces of each task are held
-against the tokenizers library."""
+the byte-pair ranks of the same file. Tokens that the file adds (its special ones)
+are cut out of a text first. The first pieces of each task are held against the
+tokenizers library."""
 
 from __future__ import annotations
 
@@ -64,12 +65,16 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         spec = json.loads(file)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("the file's added tokens are not of the expected kind")
+        special = {t["content"]: t["id"] for t in added}
         ranks = byte_ranks({t: i for t, i in spec["model"]["vocab"].items() if t not in special})
-        self.kind = "H" if max(spec["model"]["vocab"].values()) < 1 << 16 else "I"
+        self.kind = "H" if max([*spec["model"]["vocab"].values(), *special.values()]) < 1 << 16 else "I"
+        self.special = {t: array(self.kind, [i]).tobytes() for t, i in special.items()}
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.slow = Tokenizer.from_str(file)
-        self.slow.encode_special_tokens = True
         self.checked = 0
 
     def ids(self, text: str) -> bytes:
@@ -87,6 +92,12 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return b"".join(self.special[t] if t in self.special else self.plain(t) for t in self.added.split(text) if t)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         pieces = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
         first = self.ids(pieces[0]) if pieces[0] else b""
         if len(pieces) > 1 and not pieces[0]:  # the text starts with a space and a word

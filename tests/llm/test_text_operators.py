@@ -287,6 +287,21 @@ def test_packing_edges(spark):
     assert sum(r["length"] for r in got if r["doc_id"] is None) == next(r["doc_tokens"] for r in got if r["doc_id"] is None)
 
 
+def test_ids_are_those_of_the_unmodified_tokenizer(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_str(tokenizer_file())
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|><|endoftext|>  x \n", "<|endoftext |> <|endof", "<|endoftext|>" * 700 + " word", "it's\n <|endoftext|>\n\n é"]
+    encoder = packing.Encoder(tokenizer_file())
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_file()).collect()
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        parts = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows if r["doc_id"] == i)
+        assert sum(p[1] for p in parts) == len(ids)
+        assert all(n == len(ids) and crc == zlib.crc32(np.array(ids[a:a + k], "<u4").tobytes()) for a, k, crc, n in parts)
+
+
 def test_neighbours_are_ranked_by_bm25():
     units = []
     corpora = [[1, 2, 3, 3], [3, 3, 4], [5, 6], [1, 3, 9, 9]]
