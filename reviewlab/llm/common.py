@@ -38,6 +38,16 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """Contents of a sentencepiece model, by default the public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

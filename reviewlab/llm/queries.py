@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlab.llm import arc, chat, decontam, embed_dedup, licenses, packing, quality, shards, simhash, toxicity
-from reviewlab.llm.common import fold, read, shared_path, tokenizer_file
+from reviewlab.llm import align, arc, chat, decontam, embed_dedup, licenses, packing, quality, rules, shards, simhash, toxicity, trie
+from reviewlab.llm.common import fold, piece_model, read, shared_path, tokenizer_file
 
 #: bytes of text in a shard at most
 SHARD_BYTES = 1 << 20
@@ -70,6 +70,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.extendible_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.family_trie(read(spark, sf_dir, "conversations"), family=5, heads=9)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read(spark, sf_dir, "documents"), tokenizer_file(), piece_model())
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -81,8 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_alignment": op12_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
+_STOP = ", ".join(f"'{x}'" for x in sorted({v for ws in rules.STOP_WORDS.values() for w in ws for v in (w, w.capitalize())}))
+
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": """
         WITH RECURSIVE good AS (
@@ -130,4 +148,48 @@ ORACLES: dict[str, str] = {
                 row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS k
               FROM p JOIN s USING (shard) WHERE s.shard_bytes <= {SHARD_BYTES} OR s.shard_rows = 1)
         SELECT doc_id, n_bytes, shard, shard_bytes, shard_rows FROM f WHERE k = 1""",
+    "op11_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+              ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (  -- crc32: each byte, then its eight shifts
+          SELECT conv_id, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+              lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM (SELECT DISTINCT conv_id FROM t)),
+        c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(steps, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+              WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT) % 9 AS h FROM bits),
+        r AS (SELECT c.conv_id, t.pos, md5(t.role) || md5(t.text) AS k, strlen(t.text) AS bytes FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+              UNION ALL SELECT c.conv_id, t.pos + 1000000, md5(t.role) || md5(t.text), strlen(t.text) FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+        p AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS bytes FROM c
+              UNION ALL SELECT conv_id, row_number() OVER w, md5(string_agg(k, ',') OVER w), bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        n AS (SELECT path, depth, bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL),
+        up AS (SELECT n.path, q.path AS up FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+        kids AS (SELECT up AS path, count(*) AS n_children FROM up GROUP BY 1),
+        sums AS (SELECT q.path, count(*) FILTER (WHERE kids.path IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens
+                 FROM n LEFT JOIN kids USING (path) JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY 1),
+        ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM
+                 (SELECT conv_id, path FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY 1)
+        SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+          coalesce(ends, sha256('')) AS ends_sha256
+        FROM n LEFT JOIN up USING (path) LEFT JOIN n o ON o.path = up.up LEFT JOIN kids ON kids.path = n.path
+          JOIN sums ON sums.path = n.path LEFT JOIN ends ON ends.path = n.path""",
+    "op13_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS words FROM w, unnest(range(1, len(ws) - 6)) AS s(i)),
+        a AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, words) > 1),
+        v AS (SELECT r, sum(n)::BIGINT AS n_repeat_words FROM
+                (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS n FROM a) GROUP BY r),
+        m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
+                len(list_filter(ws, lambda x: regexp_matches(x, '[^!-@\\[-`{{-~]'))) AS n_letters,
+                len(list_filter(ws, lambda x: rtrim(x, '.,;:!?') IN ({_STOP}))) AS n_stop,
+                len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\x09-\\x0D]*[-*•·‣]'))) AS n_bullets,
+                len(list_filter(ls, lambda x: regexp_matches(x, '([.][.][.]|…)[ \\x09-\\x0D]*$'))) AS n_ellipses
+              FROM w LEFT JOIN v USING (r)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1 AND n_letters / n_words >= 0.8
+            AND n_stop / n_words >= 0.06 AND n_dup_lines / n_lines <= 0.3 AND n_bullets / n_lines <= 0.9 AND n_ellipses / n_lines <= 0.3 AS kept
+        FROM b""",
 }
