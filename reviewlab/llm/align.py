@@ -5,8 +5,13 @@ end are shared cuts; they divide the tokens into groups, and all pairs of a
 group are links. Cuts are found by divide and conquer: the shared end nearest
 to the middle of an interval is located by bisecting the other tokenizer's
 ends, outwards from the middle; both halves go on, without the ends already
-tried, until an interval holds no shared end (a group). All intervals of some
-megabytes of text are worked on at once, so every end is bisected once.
+tried, until an interval holds no shared end (a group).
+
+Where a single space stands between two other characters, both kinds of
+tokenizer always end a token before it, so a text falls into parts there (a
+space and a word, mostly) whose groups don't depend on the rest. Each worker
+remembers the groups and links of the parts it has met in a bounded table, and
+divides and conquers those of all new parts of some megabytes of text at once.
 
 Links are counted by document over the corpus. Documents are read in chunks of
 about ``CHUNK`` bytes of text; a chunk is saved as one row, which holds each of
@@ -19,6 +24,7 @@ one row in each chunk that holds it."""
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -29,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlab.llm.common import saved
-from reviewlab.llm.packing import REMEMBERED, Encoder, byte_ranks
+from reviewlab.llm.packing import PATTERN, byte_ranks
 
 #: bytes of text in a chunk, and in a step of its encoding (a longer text is a chunk of its own)
-CHUNK, STEP = 16 << 20, 2 << 20
+CHUNK, STEP = 8 << 20, 2 << 20
+#: parts of text that a worker remembers, and characters of theirs
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
+#: parts, and whole texts, whose fast encoding is held against the libraries' own
+CHECKED, CHECKED_TEXTS = 1000, 50
 #: groups with more links than this count them by distinct ids
 WIDE = 1 << 12
 #: bits of the second id in a pair
@@ -40,74 +50,67 @@ SHIFT = 24
 #: ends tried on either side of the middle for all intervals together
 NEAR = 6
 
+_UNSAFE = re.compile(r" (?!\S)")
+_CUT = re.compile(r"(?<! ) (?=\S)")
 
-class Bytes(Encoder):
-    """Ids of a byte-level file; strings of special tokens are plain text."""
-
-    def __init__(self, file: str) -> None:
-        import json
-
-        super().__init__(file)
-        self.slow.encode_special_tokens = True
-        vocab = json.loads(file)["model"]["vocab"]
-        by_id = {i: b for b, i in byte_ranks(vocab).items()}
-        self.token = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
-    def numbers(self, spaced: str) -> list[int]:
-        return np.frombuffer(self.plain(spaced), np.uint16 if self.kind == "H" else np.uint32).tolist()
+def parts_of(text: str) -> list[str]:
+    """Parts of a space and ``text``, each without the space it starts with."""
+    if not _UNSAFE.search(text) and not text.startswith(" "):
+        return text.split(" ")
+    parts = _CUT.split(" " + text)
+    return parts[1:] if not parts[0] else [parts[0][1:], *parts[1:]]
 
 
-class Pieces(dict):
-    """Ids of a sentencepiece model, which puts a space before a text itself.
+class Tokenizers:
+    """The two tokenizers: ids of parts, and the bytes of their tokens.
 
-    No piece of such models goes on with a space after another character, so a
-    text may be cut before every run of spaces; the ids of such parts are
-    remembered. A model with other pieces encodes whole texts."""
+    Strings of special tokens are plain text. Models with pieces that go on
+    with a space after another character can't be cut; they, and texts with the
+    mark that stands for a space in pieces, encode whole texts."""
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, file: str, model: bytes) -> None:
         import sentencepiece
-
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        spec = json.loads(file)
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = byte_ranks({t: i for t, i in spec["model"]["vocab"].items() if t not in special})
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.slow = Tokenizer.from_str(file)
+        self.slow.encode_special_tokens = True
+        by_id = {i: b for b, i in ranks.items()}
+        self.first = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.whole = any(re.search("[^▁]▁", x) for x in names)
-        self.token = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode()
-                      for i, x in enumerate(names)]
-        self.checked = 0
+        self.second = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.space = self.model.piece_to_id("▁")
+        self.checked = self.checked_texts = 0
 
-    def __missing__(self, part: str) -> list[int]:
+    def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [self.fast(" " + x) for x in parts]
         # the empty text has no ids, but at a text's end the part is a space
-        out = self.model.encode(part) if part else [self.model.piece_to_id("▁")]
-        if len(self) < REMEMBERED and len(part) <= 64:
-            self[part] = out
-        return out
-
-    def numbers(self, text: str) -> list[int]:
-        if self.whole or "▁" in text:
-            return self.model.encode(text)
-        parts = text.split(" ")
-        if "" in parts:
-            # each part lacks the one space that the model adds
-            parts = [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
-        out = []
-        for x in parts:
-            out += self[x]
-        if self.checked < 50:
+        b = [y if x else [self.space] for x, y in zip(parts, self.model.encode(parts, num_threads=1))]
+        for x, ids in zip(parts, a):
+            if self.checked >= CHECKED:
+                break
             self.checked += 1
-            if out != self.model.encode(text):
-                raise ValueError(f"the model is not of the expected kind: {text[:200]!r}")
-        return out
-
-
-_loaded: dict[int, tuple[Bytes, Pieces]] = {}
+            if ids != self.slow.encode(" " + x, add_special_tokens=False).ids:
+                raise ValueError(f"the file's tokenizer is not of the expected kind: {x[:200]!r}")
+        return a, b
 
-
-def _encoders(file: str, model: bytes) -> tuple[Bytes, Pieces]:
-    """The encoders of this Python worker, kept between tasks."""
-    key = hash((file, model))
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bytes(file), Pieces(model)
-    return _loaded[key]
+    def parts(self, text: str) -> list[str]:
+        if self.whole or "▁" in text:
+            return [text]
+        parts = parts_of(text)
+        if self.checked_texts < CHECKED_TEXTS:
+            self.checked_texts += 1
+            a, b = self.ids(parts)
+            if [i for x in a for i in x] != self.slow.encode(" " + text, add_special_tokens=False).ids or [i for x in b for i in x] != self.model.encode(text):
+                raise ValueError(f"the tokenizers don't part texts at single spaces: {text[:200]!r}")
+        return parts
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, lo: int, hi: int, left: int, right: int) -> tuple[int, int, int]:
@@ -161,94 +164,149 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return np.sort(np.concatenate(cuts)) if cuts else np.zeros(0, np.int64)
 
 
-def _names(n: int) -> tuple[list[str], list[str], list[str]]:
-    """Decimal ids before a comma, before the bar or end of a side, and bare."""
-    bare = [str(i) for i in range(n)]
-    return [x + "," for x in bare], [x + "|" for x in bare], [x + ";" for x in bare]
-
-
-class Step:
-    """The links of some texts: per text n_a, n_b, n_groups, n_links and the
-    hash of its groups; distinct (text, pair) with their occurrences."""
-
-    def __init__(self, texts: list[str | None], first: Bytes, second: Pieces, names: tuple) -> None:
-        n = len(texts)
-        ids_a, ids_b, size, self.sha = [], [], np.zeros(n, np.int64), [""] * n
-        n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            spaced = " " + text
-            raw = spaced.encode()
-            x, y = first.numbers(spaced), second.numbers(text)
-            if b"".join(map(first.token.__getitem__, x)) != raw or b"".join(map(second.token.__getitem__, y)) != raw:
-                continue
-            ids_a.append(x)
-            ids_b.append(y)
-            n_a[i], n_b[i], size[i] = len(x), len(y), len(raw)
-        self.n_a, self.n_b = n_a, n_b
-        self.n_groups, self.n_links = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.key, self.text, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not ids_a:
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each run of ``size``, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _summed(row: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, key), in order, with the sum of their times."""
+    order = np.lexsort((key, row))
+    row, key, times = row[order], key[order], times[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    at = np.flatnonzero(new)
+    return row[at], key[at], np.add.reduceat(times, at) if len(at) else times
+
+
+class Parts(dict):
+    """Numbers of parts of text, with what is known of each: whether its
+    tokens spell it (else all is 0), n_a, n_b, n_groups and n_links, its groups
+    as text, and its distinct id pairs with their occurrences."""
+
+    def __init__(self, tokenizers: Tokenizers) -> None:
+        super().__init__()
+        self.of = tokenizers
+        # a token and what follows it: a comma, the bar between the sides, the end of a group
+        bare = [str(i) for i in range(max(len(tokenizers.first), len(tokenizers.second)))]
+        self.words = [x + "," for x in bare] + [x + "|" for x in bare] + [x + ";" for x in bare]
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.chars, self.lines = [], 0, []
+        none = np.zeros(0, np.int64)
+        self.numbers, self.start, self.key, self.times = np.zeros((5, 0), np.int64), none, none, none
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        self.chars += len(part)
+        n = self[part] = len(self)
+        return n
+
+    def learn(self) -> None:
+        """Align all new parts at once."""
+        if not self.new:
             return
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
-        len_a, len_b = (np.array([len(t) for t in e.token], np.int64) for e in (first, second))
-        end_a, end_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
-        own = np.flatnonzero(n_a)  # texts that have tokens
-        last = np.cumsum(n_a[own])  # each text's last end is shared
+        parts, self.new = self.new, []
+        ids_a, ids_b = self.of.ids(parts)
+        n, first, second = len(parts), self.of.first.__getitem__, self.of.second.__getitem__
+        for k, x in enumerate(parts):
+            raw = (" " + x).encode()
+            if b"".join(map(first, ids_a[k])) != raw or b"".join(map(second, ids_b[k])) != raw:
+                ids_a[k] = ids_b[k] = []
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+        end_a = np.cumsum(np.array([len(t) for t in self.of.first], np.int64)[a])
+        end_b = np.cumsum(np.array([len(t) for t in self.of.second], np.int64)[b])
+        own = np.flatnonzero(n_a)
+        last = np.cumsum(n_a[own])  # each part's last end is shared
         cut_a = np.sort(np.concatenate([shared_cuts(end_a, end_b, last - n_a[own], last - 1), last - 1]))
         cut_b = np.searchsorted(end_b, end_a[cut_a])
-        from_a, from_b = np.append(0, cut_a[:-1] + 1), np.append(0, cut_b[:-1] + 1)
-        size_a, size_b = cut_a + 1 - from_a, cut_b + 1 - from_b
-        text = own[np.searchsorted(last, cut_a, "right")]
-        self.n_groups = np.bincount(text, minlength=n)
+        size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
+        from_a, from_b = cut_a + 1 - size_a, cut_b + 1 - size_b
+        of = own[np.searchsorted(last, cut_a, "right")]
         links = size_a * size_b
-        np.add.at(self.n_links, text, links)
-        self._hash(a, b, cut_a, cut_b, text, names)
-        parts = []
-        wide = links > WIDE
-        for g in np.flatnonzero(wide).tolist():
+        n_links = np.zeros(n, np.int64)
+        np.add.at(n_links, of, links)
+        self.lines += self._lines(a, b, cut_a, cut_b, size_a, size_b, n_a + n_b)
+        found = []
+        for g in np.flatnonzero(links > WIDE).tolist():
             ua, ca = np.unique(a[from_a[g]:cut_a[g] + 1], return_counts=True)
             ub, cb = np.unique(b[from_b[g]:cut_b[g] + 1], return_counts=True)
-            parts.append((np.full(len(ua) * len(ub), text[g]), np.repeat(ua, len(ub)) << SHIFT | np.tile(ub, len(ua)),
+            found.append((np.full(len(ua) * len(ub), of[g]), np.repeat(ua, len(ub)) << SHIFT | np.tile(ub, len(ua)),
                           np.repeat(ca, len(ub)) * np.tile(cb, len(ua))))
-        g = np.flatnonzero(~wide)
-        n_links = links[g]
-        group = np.repeat(g, n_links)
-        k = np.arange(len(group)) - np.repeat(np.cumsum(n_links) - n_links, n_links)
-        i, j = np.divmod(k, size_b[group])
+        g = np.flatnonzero(links <= WIDE)
+        group = np.repeat(g, links[g])
+        i, j = np.divmod(_ragged(np.zeros(len(g), np.int64), links[g]), size_b[group])
         key = a[from_a[group] + i] << SHIFT | b[from_b[group] + j]
-        parts.append((text[group], key, np.ones(len(key), np.int64)))
-        text, key, times = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((key, text))
-        text, key, times = text[order], key[order], times[order]
-        new = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))
-        at = np.flatnonzero(new)
-        self.text, self.key, self.times = text[at], key[at], np.add.reduceat(times, at)
-
-    def _hash(self, a, b, cut_a, cut_b, text, names) -> None:
-        """SHA-256 of each text's groups, written as a1,a2|b1;a3|b2,b3."""
-        comma, bar, end = names
+        found.append((of[group], key, np.ones(len(key), np.int64)))
+        part, key, times = _summed(*(np.concatenate(x) for x in zip(*found)))
+        size = np.bincount(part, minlength=n)
+        self.start = np.concatenate([self.start, len(self.key) + np.cumsum(size) - size])
+        self.key, self.times = np.concatenate([self.key, key]), np.concatenate([self.times, times])
+        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, np.bincount(of, minlength=n), n_links, size])], 1)
+
+    def _lines(self, a, b, cut_a, cut_b, size_a, size_b, size) -> list[str]:
+        """Each part's groups as a1,a2|b1;a3|b2,b3; (nothing for a part without)."""
         last = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last[0][cut_a] = last[1][cut_b] = True
         # a token's place: its own number and the other side's tokens of the groups before
         groups = np.arange(len(cut_a))
-        size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
-        group_a, group_b = np.repeat(groups, size_a), np.repeat(groups, size_b)
-        place_a = np.arange(len(a)) + (cut_b + 1 - size_b)[group_a]
-        place_b = np.arange(len(b)) + (cut_a + 1)[group_b]
-        n = len(comma)
+        place_a = np.arange(len(a)) + (cut_b + 1 - size_b)[np.repeat(groups, size_a)]
+        place_b = np.arange(len(b)) + (cut_a + 1)[np.repeat(groups, size_b)]
+        n = len(self.words) // 3
         codes = np.empty(len(a) + len(b), np.int64)
         codes[place_a] = np.where(last[0], a + n, a)
         codes[place_b] = np.where(last[1], b + 2 * n, b)
-        words = comma + bar + end
-        ends = (cut_a + cut_b + 2)[np.append(np.flatnonzero(np.diff(text)), len(text) - 1)]
-        begin = 0
-        codes = codes.tolist()
-        for i, stop in zip(text[np.append(0, np.flatnonzero(np.diff(text)) + 1)].tolist(), ends.tolist()):
-            line = "".join(map(words.__getitem__, codes[begin:stop]))
-            self.sha[i] = hashlib.sha256(line[:-1].encode()).hexdigest()
-            begin = stop
+        codes, word, ends = codes.tolist(), self.words.__getitem__, np.cumsum(size).tolist()
+        return ["".join(map(word, codes[i:j])) for i, j in zip([0, *ends], ends)]
+
+
+_loaded: dict[int, Parts] = {}
+
+
+def _parts(file: str, model: bytes) -> Parts:
+    """The parts known to this Python worker, kept between tasks."""
+    key = hash((file, model))
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Parts(Tokenizers(file, model))
+    return _loaded[key]
+
+
+class Step:
+    """The links of some texts: per text n_a, n_b, n_groups, n_links and the
+    hash of its groups; distinct (text, pair) with their occurrences."""
+
+    def __init__(self, texts: list[str | None], parts: Parts) -> None:
+        n = len(texts)
+        if len(parts) > REMEMBERED or parts.chars > REMEMBERED_CHARS:
+            parts.forget()
+        number = parts.__getitem__
+        met = [list(map(number, parts.of.parts(t))) if t else [] for t in texts]
+        parts.learn()
+        spelt = parts.numbers[0] > 0
+        # a text whose parts aren't spelt may only be so as a whole
+        for i, x in enumerate(met):
+            if len(x) > 1 and not spelt[x].all():
+                met[i] = [number(texts[i])]
+        parts.learn()
+        spelt = parts.numbers[0] > 0
+        self.sha = [""] * n
+        for i, x in enumerate(met):
+            if x and spelt[x[0]]:
+                self.sha[i] = hashlib.sha256("".join(map(parts.lines.__getitem__, x))[:-1].encode()).hexdigest()
+        row = np.repeat(np.arange(n), [len(x) for x in met])
+        part = np.array([p for x in met for p in x], np.int64)
+        row, part, count = _summed(row, part, np.ones(len(part), np.int64))
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
+        for k, out in enumerate((self.n_a, self.n_b, self.n_groups, self.n_links)):
+            np.add.at(out, row, count * parts.numbers[k, part])
+        size = parts.numbers[4, part]
+        at = _ragged(parts.start[part], size)
+        text, self.key, times = _summed(np.repeat(row, size), parts.key[at], np.repeat(count, size) * parts.times[at])
+        self.text, self.times = text.astype(np.int32), times.astype(np.int32)
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -258,9 +316,8 @@ _CHUNK_SCHEMA = ("chunk long, doc_id array<long>, sha array<string>, n_a binary,
 
 def _chunk_row(chunk: int, ids: list, steps: list[Step]) -> pa.RecordBatch:
     base = np.cumsum([0] + [len(s.sha) for s in steps[:-1]])
-    row = np.concatenate([s.text + k for s, k in zip(steps, base)]).astype(np.int32)
-    key = np.concatenate([s.key for s in steps])
-    times = np.concatenate([s.times for s in steps]).astype(np.int32)
+    row = np.concatenate([s.text + np.int32(k) for s, k in zip(steps, base)])
+    key, times = np.concatenate([s.key for s in steps]), np.concatenate([s.times for s in steps])
     pairs, at = np.unique(key, return_inverse=True)
     docs = np.bincount(at, minlength=len(pairs))
     numbers = [pa.array([np.concatenate([getattr(s, c) for s in steps]).astype(np.int64).tobytes()], pa.binary()) for c in _COUNTS]
@@ -279,8 +336,7 @@ def aligned_chunks(docs: DataFrame, tokenizer_file: str, piece_model: bytes) ->
     sent = docs.sparkSession.sparkContext.broadcast((tokenizer_file, piece_model))  # two files, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _encoders(*sent.value)
-        names = _names(max(len(first.token), len(second.token)))
+        known = _parts(*sent.value)
         number = TaskContext.get().partitionId() << 32
         ids, steps, texts, size, total = [], [], [], 0, 0
         for b in batches:
@@ -290,13 +346,13 @@ def aligned_chunks(docs: DataFrame, tokenizer_file: str, piece_model: bytes) ->
                 texts.append(text)
                 size += len(text or "") + 1
                 if size >= STEP:
-                    steps.append(Step(texts, first, second, names))
+                    steps.append(Step(texts, known))
                     total, texts, size = total + size, [], 0
                 if total >= CHUNK:
                     yield _chunk_row(number, ids, steps)
                     number, ids, steps, total = number + 1, [], [], 0
         if texts:
-            steps.append(Step(texts, first, second, names))
+            steps.append(Step(texts, known))
         if steps:
             yield _chunk_row(number, ids, steps)
 

@@ -152,9 +152,9 @@ def odd_texts():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("chunk,step,wide,near", [(align.CHUNK, align.STEP, align.WIDE, align.NEAR), (900, 300, 6, 1)])
-def test_alignment_of_odd_texts(spark, monkeypatch, chunk, step, wide, near):
-    for k, v in (("CHUNK", chunk), ("STEP", step), ("WIDE", wide), ("NEAR", near)):
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 900, "STEP": 300, "WIDE": 6, "NEAR": 1, "REMEMBERED": 40}])
+def test_alignment_of_odd_texts(spark, monkeypatch, limits):
+    for k, v in limits.items():
         monkeypatch.setattr(align, k, v)
     docs = odd_texts()
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n_a int").repartition(3)
@@ -162,6 +162,18 @@ def test_alignment_of_odd_texts(spark, monkeypatch, chunk, step, wide, near):
     assert {r[0]: tuple(r[1:]) for r in got} == plain_alignment(docs) and len(got) == len(docs)
 
 
+def test_alignment_of_parts_is_of_whole_texts():
+    """Also where no text is cut, and where what is remembered is forgotten between steps."""
+    texts = [t for _, t in odd_texts()]
+    cut, whole = align.Parts(align.Tokenizers(FILE, MODEL)), align.Parts(align.Tokenizers(FILE, MODEL))
+    whole.of.whole = True
+    a, b = align.Step(texts, cut), align.Step(texts, whole)
+    assert a.sha == b.sha and all((getattr(a, k) == getattr(b, k)).all() for k in ("n_a", "n_b", "n_groups", "n_links", "text", "key", "times"))
+    cut.forget()
+    again = [align.Step([t], cut) for t in texts]
+    assert [s.sha[0] for s in again] == a.sha and sum(len(s.key) for s in again) == len(a.key)
+
+
 def test_alignment_of_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = align.alignment(df, FILE, MODEL).collect()
