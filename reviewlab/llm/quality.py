@@ -15,8 +15,16 @@ Features are counts of a text's bytes and words as shares of its length: kinds
 of characters, word lengths, repeated words, bigrams and lines, casing and
 punctuation. E_u is over all documents: each step sums gradients and second
 derivatives where the rows are, and only sums of the model's size travel.
-Positives are at most ``SAMPLE`` labelled documents. The prior is the share of
-good ones among the learnable labels."""
+Positives are at most ``SAMPLE`` labelled documents.
+
+The class prior is estimated from positives and unlabelled text alone, so no
+negative need be labelled. A first score is fitted with one half of the
+positives; of any region of scores, the share of all documents in it over the
+share of the other half's positives is at least the prior, and close to it
+where next to no negatives lie. So the prior is that ratio over the best-scored
+region, of the size at which the ratio and its sampling error are together
+least. Scores of all documents are counted in a histogram of ``BINS`` bins, in
+one aggregation."""
 
 from __future__ import annotations
 
@@ -32,6 +40,8 @@ from reviewlab.llm.common import Words, labelled_sample, mix, per_text, saved, s
 #: labelled documents of each class, about
 SAMPLE = 50_000
 STEPS, RIDGE = 25, 0.03
+#: bins of the scores, and the odds of an error beyond the margin that is allowed for
+BINS, DELTA = 1024, 0.1
 _BYTE_KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"|", b"#$%&*@^~_=+<>\\/", b"\"'()[]{}-", b"\n"]
 FEATURES = 2 * len(_BYTE_KINDS) + 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -182,10 +192,33 @@ def fit_nnpu(unlabelled: DataFrame, positives: np.ndarray, prior: float, steps:
     return best[1], mean, scale
 
 
-def class_prior(labels: DataFrame) -> float:
-    """Share of good ones among rows (y), kept off 0 and 1."""
-    r = labels.agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")).first()
-    return min(0.99, max(0.01, ((r["good"] or 0) + 1) / (r["n"] + 2)))
+def _histogram(g: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip((g + 30) * (BINS / 60), 0, BINS - 1).astype(int), minlength=BINS).astype(float)
+
+
+def mixture_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from histograms of both over
+    the same bins of a score, the best last; kept off 0 and 1."""
+    n_p, n_u = positives.sum(), unlabelled.sum()
+    p, u = (np.cumsum(h[::-1]) for h in (positives, unlabelled))
+    p, u = p / max(n_p, 1), u / max(n_u, 1)
+    some = p > 0
+    if not some.any():
+        return 0.5
+    p, u = p[some], u[some]
+    error = np.sqrt(np.log(4 / DELTA) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    best = np.argmin((u + error) / p)
+    return float(min(0.99, max(0.01, u[best] / p[best])))
+
+
+def class_prior(table: DataFrame, positives: np.ndarray) -> float:
+    """Estimated share of positives among the rows of ``table`` (x)."""
+    if len(positives) < 4:  # too few to part
+        return 0.5
+    learn, held = positives[::2], positives[1::2]
+    w, mean, scale = fit_nnpu(table, learn, 0.5)
+    g = lambda x: np.clip(_design(x, mean, scale) @ w, -30, 30)
+    return mixture_prior(_histogram(g(held)), _summed(table, lambda x: _histogram(g(x))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
@@ -194,20 +227,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, sample: in
 
     Score is in 0..1, higher for good. Null and empty texts are scored as texts
     of no words. Repeated rows are scored each; a null doc_id is scored too.
-    Without learnable positives among the documents the score is the prior's
-    (a half without labels). Columns other than doc_id and text are not looked
+    Without learnable positives among the documents every score is a half.
+    Labels of the other class are not used. Columns other than doc_id and text are not looked
     at. No rows: no result."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     chosen = saved(labelled_sample(ids, "quality", learn, sample), "sample")
-    everyone = ids.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & learn).select(F.col("quality").alias("y"))
-    prior = class_prior(everyone)
     table = saved(feature_table(docs), "features")
     trusted = F.broadcast(chosen.where("y = 1").select("doc_id"))  # SAMPLE rows at most, about
-    good = table.join(trusted, "doc_id").dropDuplicates(["doc_id"]).select("x").toArrow()
+    good = table.join(trusted, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("x").toArrow()
     if not good.num_rows:
-        return table.select("doc_id", F.lit(prior).alias("score"))
+        return table.select("doc_id", F.lit(0.5).alias("score"))
     positives = np.asarray(good.column("x").combine_chunks().flatten(), np.float64).reshape(good.num_rows, -1)
-    w, mean, scale = fit_nnpu(table, positives, prior)
+    w, mean, scale = fit_nnpu(table, positives, class_prior(table, positives))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -91,21 +91,35 @@ def test_two_words_are_an_expression(spark):
     assert min(s for s, y in held if y) > max(s for s, y in held if not y)
 
 
+def test_one_text_a_hundred_thousand_times(spark):
+    """Copies of one text, labelled or not, are scored each, alike, and shuffled nowhere; the models stay within their bound."""
+    docs, labels = corpus(spark)
+    copies = spark.range(100_000).selectExpr("id + 10000 as doc_id", "'kiran lusel baran domin and the wretch of vermin' as text")
+    known = copies.where("doc_id % 3 = 0").selectExpr("doc_id", "1 as toxic").unionByName(labels.select("doc_id", "toxic"))
+    both = docs.select("doc_id", "text").unionByName(copies)
+    got = toxicity.toxicity_scores(both, known, F.col("doc_id") % 2 == 0)
+    assert got.count() == both.count()
+    same = got.where("doc_id >= 10000").select("score").distinct().collect()
+    assert len(same) == 1 and same[0]["score"] > 0.7
+    chosen = known.where("toxic is not null and doc_id is not null").selectExpr("doc_id", "toxic as y")
+    texts = toxicity.bounded_texts(both, chosen, 200_000).groupBy("y").agg(F.sum(F.octet_length("text")).alias("n"))
+    assert all(r["n"] < 220_000 for r in texts.collect())
+    table, shared = toxicity.model(both, chosen.limit(50))
+    plan = toxicity.features(both, table, shared)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_ratios_are_kneser_ney(spark):
     import math
     from collections import Counter
 
-    import numpy as np
     import pyarrow as pa
     from reviewlab.llm.common import word_chunks
     rng = random.Random(13)
     texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["", "only here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     table, shared = toxicity.model(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, y int"))
-    got = table.toArrow()
-    v = got.column("v").combine_chunks()
-    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    answers = toxicity.Answers(got.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
+    answers = toxicity.answers_of(table, shared)
     corpus = Counter(w for t in texts for w in t.split())
     take = lambda n, d: (min(n, d) if isinstance(d, float) else (0, *d)[min(n, 3)])
     grams = [Counter((a, b) for i in range(c, 30, 2) for a, b in zip(["^"] + texts[i].split(), texts[i].split())) for c in (0, 1)]
@@ -152,6 +166,40 @@ def test_unlabelled_risk_finds_the_prior(spark):
     assert ((g > 0) == (np.arange(2000) < 1400)).mean() > 0.99
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_without_labelled_negatives(spark, share):
+    """The share of positives among unlabelled rows, from rows alone; then the risk's minimum against plain descent."""
+    import numpy as np
+    rng = np.random.default_rng(int(share * 10))
+    d, n = quality.FEATURES, 3000
+    good = rng.random(n) < share
+    x = rng.normal(size=(n, d)) * 0.5
+    x[good, :2] += 1.5
+    p = rng.normal(size=(600, d)) * 0.5
+    p[:, :2] += 1.5
+    u = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, x array<double>").repartition(3).cache()
+    assert abs(quality.class_prior(u, p) - share) < 0.08
+    w, mean, scale = quality.fit_nnpu(u, p, share)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-3)
+    z, zp = quality._design(x, mean, scale), quality._design(p, mean, scale)
+    penalty = np.append(np.full(d, quality.RIDGE), 0)
+
+    def risk(v):
+        negative = np.logaddexp(0, z @ v).mean() - share * np.logaddexp(0, zp @ v).mean()
+        return share * np.logaddexp(0, -zp @ v).mean() + max(0, negative) + 0.5 * (penalty * v ** 2).sum()
+
+    plain, sigmoid = np.zeros(d + 1), lambda g: 1 / (1 + np.exp(-g))
+    for _ in range(4000):  # the estimator as written, on all rows at once
+        g, gp = z @ plain, zp @ plain
+        inner = z.T @ sigmoid(g) / n - share * zp.T @ sigmoid(gp) / len(p)
+        if np.logaddexp(0, g).mean() < share * np.logaddexp(0, gp).mean():
+            plain += 0.05 * inner
+        else:
+            plain -= 0.2 * (inner - share * zp.T @ sigmoid(-gp) / len(p) + penalty * plain)
+    assert risk(w) <= risk(plain) + 1e-3
+    assert ((z @ w > 0) == (z @ plain > 0)).mean() > 0.98
+
+
 # ----------------------------------------------------------------- archives
 
 def plain_pages(rows):

@@ -242,7 +242,6 @@ def test_shard_edges(spark, tmp_path):
 def check_pieces(rows, docs, window=1024):
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(tokenizer_file())
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in docs}
     by_doc, by_seq = {}, {}
     for r in rows:
