@@ -3,24 +3,28 @@
 Spark ML's boosted classifier is binary only, so the softmax boosting of
 the workload (Chen & Guestrin 2016) is written with DataFrame operations:
 
-* features are binned once (numbers: at most ``bins`` quantile bins from
-  ``approx_percentile``; categories: their level code), and the rows are
-  kept as (key, label, fold, bin array, margin array);
-* per round, gradients and hessians of every class come from the margins
-  as array expressions;
-* per tree level, one pass builds the histogram
-  (model, class, node, feature, bin) -> (sum g, sum h): each task sums its
-  rows into arrays, so the shuffle is of histogram size whatever the rows;
-* the best split per node is found on the histogram (a window over bins);
-  the split table (nodes of one level: small) is collected and applied to
-  the rows as constant arrays, so moving rows to child nodes is narrow;
-* leaf weights -G/(H + lambda) come from one more aggregation;
-* all classes, and all folds of a cross-validation, train in the same jobs.
-
-Lineage is cut every few rounds by ``checkpoint`` into the cluster's shared
-checkpoint folder, so a lost executor recomputes at most a few rounds.
-Row subsampling is a hash draw per (row, round); column subsampling draws
-feature names per tree.
+* features are binned once (numbers: at most ``bins`` bins from a weighted
+  quantile sketch; ordered categories: their place in the stated order, split
+  by order like numbers; other categories: their level code, split one against
+  the rest), and the rows are kept as (key, label, fold, bins, margins);
+* all classes, all folds of a cross-validation and all rows of its grid train
+  in the same jobs, as models beside each other; a model that has stopped
+  early is left out of the work;
+* a tree level is one pass: tasks move their rows down the trees so far and
+  sum gradients and hessians of every class into histograms of the nodes of
+  the level, so the shuffle is of histogram size whatever the rows. Only the
+  lighter child of each split is summed; its sibling is the parent less it;
+* the best split per node is found on the histogram (a window over bins) and
+  collected (a row a node); leaf weights -G/(H + lambda) follow from the sums
+  beside the splits;
+* a round ends with one narrow pass that adds the leaves to the margins; the
+  losses come with the first level of the next round.
+
+A task holds histograms of at most ``MAX_CELLS`` cells at once; more nodes than
+fit are summed in several passes. Margins are cut from their lineage every few
+rounds by ``checkpoint`` into the cluster's shared checkpoint folder, so a lost
+executor recomputes at most a few rounds. Row subsampling is a hash draw per
+(row, round); column subsampling draws feature names per tree.
 """
 
 from __future__ import annotations
@@ -29,15 +33,23 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlab.operators.features import split_kinds
 from reviewlab.operators.sampling import column_share, unit_draw
+from reviewlab.operators.sketch import cut_points
 from reviewlab.operators.util import cut_lineage
 
 NODE_SLOTS_MAX_DEPTH = 12
+#: histogram cells (a gradient and a hessian sum each) that a task holds at once
+MAX_CELLS = 1 << 23
+#: margins (models by classes) that a row carries at once in a cross-validation
+MAX_MARGINS = 512
+#: rounds between cuts of the lineage
+CHECKPOINT_EVERY = 5
 
 
 @dataclass
@@ -57,10 +69,21 @@ class Binning:
     is_cat: list[bool]
     thresholds: dict          # numeric feature -> sorted cut points
     levels: dict              # categorical feature -> level list
+    ordered: dict = field(default_factory=dict)   # ordered feature -> level list, in its order
 
     def n_bins(self, f: str) -> int:
+        if f in self.ordered:
+            return len(self.ordered[f])
         return len(self.levels[f]) + 1 if f in self.levels else len(self.thresholds[f]) + 1
 
+    def condition(self, f: str, bin_: int) -> str:
+        """The rule of the left side of a split, as text."""
+        if f in self.levels:
+            return f"{f} = {self.levels[f][bin_] if bin_ < len(self.levels[f]) else '<other>'}"
+        if f in self.ordered:
+            return f"{f} <= {self.ordered[f][bin_] if bin_ >= 0 else '<missing>'}"
+        return f"{f} <= {self.thresholds[f][bin_]:g}" if bin_ >= 0 else f"{f} is missing"
+
 
 @dataclass
 class BoostModel:
@@ -78,36 +101,35 @@ def _const_array(values, elem: str) -> Column:
 
 
 def fit_binning(df: DataFrame, features: list[str], categorical: list[str] | None = None,
-                bins: int = 64) -> Binning:
-    """Quantile cut points for numeric features (one aggregation, at most
-    bins-1 points each) and sorted levels for categories."""
-    numeric, cats = split_kinds(df, features, categorical)
-    thresholds, levels = {}, {}
-    if numeric:
-        qs = [i / bins for i in range(1, bins)]
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), qs, 10_000).alias(c)
-                       for c in numeric]).first()
-        for c in numeric:
-            thresholds[c] = sorted(set(v for v in (row[c] or []) if v is not None))
+                bins: int = 64, ordered: dict[str, list] | None = None, weight: Column | None = None) -> Binning:
+    """Cut points of the numeric features (at most bins - 1 each, from a
+    weighted quantile sketch; see ``sketch.cut_points``) and sorted levels of
+    the categories; ``ordered`` gives the order of ordered ones. The weight is
+    a row's hessian: in the first round all are equal, so none is needed."""
+    ordered = ordered or {}
+    numeric, cats = split_kinds(df, [f for f in features if f not in ordered], categorical)
+    thresholds = cut_points(df, numeric, bins, weight) if numeric else {}
+    levels = {}
     for c in cats:
         rows = (df.select(F.col(c).cast("string").alias("v")).where("v is not null")
                 .distinct().limit(100_001).collect())
         if len(rows) > 100_000:
             raise ValueError(f"{c}: too many levels for a categorical feature")
         levels[c] = sorted(r[0] for r in rows)
-    return Binning(features, [c in cats for c in features], thresholds, levels)
+    return Binning(features, [c in cats for c in features], thresholds, levels, ordered)
 
 
 def bin_codes(binning: Binning) -> Column:
     """array<int> of bin codes, one per feature. Numbers: count of cut
-    points below the value (missing: -1). Categories: level position
-    (missing or unseen: the last code)."""
+    points below the value (missing: -1). Ordered categories: place in the
+    order (missing or unlisted: -1). Categories: level position (missing or
+    unseen: the last code)."""
     codes = []
     for f, cat in zip(binning.features, binning.is_cat):
-        if cat:
-            lv = _const_array(binning.levels[f], "string")
-            pos = F.array_position(lv, F.col(f).cast("string")).cast("int")
-            codes.append(F.when(pos > 0, pos - 1).otherwise(F.lit(len(binning.levels[f]))))
+        if cat or f in binning.ordered:
+            levels = binning.levels[f] if cat else [str(v) for v in binning.ordered[f]]
+            pos = F.array_position(_const_array(levels, "string"), F.col(f).cast("string")).cast("int")
+            codes.append(F.when(pos > 0, pos - 1).otherwise(F.lit(len(levels) if cat else -1)))
         else:
             th = _const_array(binning.thresholds[f], "double")
             x = F.col(f).cast("double")
@@ -116,142 +138,301 @@ def bin_codes(binning: Binning) -> Column:
     return F.array(*codes)
 
 
-def _softmax_cols(mg: Column, M: int, K: int):
-    """Per model m: max and sum of exp over its K margins (arrays of M)."""
-    mx = F.transform(F.sequence(F.lit(0), F.lit(M - 1)),
-                     lambda m: F.array_max(F.slice(mg, m * K + 1, K)))
-    return mx
+@dataclass
+class _Model:
+    """One training set with its parameters: rows of fold ``held`` are its
+    test rows, all others of a fold from 0 on its training rows."""
+    params: BoostParams
+    held: int
+    group: int                # models of a group (the folds of a grid row) stop together
+
+
+def _softmax(margins: np.ndarray) -> np.ndarray:
+    p = np.exp(margins - margins.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _walk(bins: np.ndarray, feat: np.ndarray, cut: np.ndarray, is_cat: np.ndarray, steps: int) -> np.ndarray:
+    """Node of each row after ``steps`` levels of a tree (heap-numbered; a row
+    stays in a node without a split)."""
+    node = np.zeros(len(bins), np.int64)
+    for _ in range(steps):
+        f = feat[node]
+        at = np.flatnonzero(f >= 0)
+        if not len(at):
+            break
+        f = f[at]
+        value, c = bins[at, f], cut[node[at]]
+        left = np.where(is_cat[f], value == c, value <= c)
+        node[at] = 2 * node[at] + 2 - left
+    return node
 
 
-def _prob(mg: str, mx: str, se: str, K: int) -> Column:
-    return F.transform(F.col(mg), lambda x, j: F.exp(x - F.element_at(F.col(mx), F.floor(j / K).cast("int") + 1))
-                       / F.element_at(F.col(se), F.floor(j / K).cast("int") + 1))
+class _Trees:
+    """Trees of one round, by slot j = model * K + class."""
 
+    def __init__(self, n: int, depth: int) -> None:
+        self.feat = np.full((n, 2 ** (depth + 1) - 1), -1, np.int32)
+        self.cut = np.zeros_like(self.feat)
+        self.leaf = np.zeros(self.feat.shape)
 
-def _with_probs(rows: DataFrame, M: int, K: int) -> DataFrame:
-    r = rows.withColumn("__mx", _softmax_cols(F.col("mg"), M, K))
-    r = r.withColumn("__se", F.transform(
-        F.sequence(F.lit(0), F.lit(M - 1)),
-        lambda m: F.aggregate(F.slice(F.col("mg"), m * K + 1, K), F.lit(0.0),
-                              lambda a, x: a + F.exp(x - F.element_at(F.col("__mx"), m + 1)))))
-    return r.withColumn("__p", _prob("mg", "__mx", "__se", K)).drop("__mx", "__se")
 
+def _columns(b, n_margins: int):
+    """Numbers of an Arrow batch of rows."""
+    n = b.num_rows
+    grid = lambda c: np.asarray(b.column(c).flatten()).reshape(n, -1)
+    return (b.column("y").to_numpy(zero_copy_only=False), b.column("fold").to_numpy(zero_copy_only=False),
+            grid("bins"), grid("mg").reshape(n, n_margins))
 
-def _loss_expr(M: int, K: int) -> Column:
-    """Per model: -log p(label) (array of M)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(M - 1)),
-                       lambda m: -F.log(F.greatest(
-                           F.element_at(F.col("__p"), m * K + F.col("y") + 1), F.lit(1e-15))))
 
+def _cells(rows: DataFrame, models: list[_Model], live: list[int], K: int, binning: Binning, trees, level: int,
+           todo: list[tuple[int, int]], chosen: list[list[int]], losses: bool) -> DataFrame:
+    """(j, node, f, bin) -> G, H of the nodes ``todo`` of a level over the
+    drawn training rows (column ``u`` holds the row's draw). With f = -1 the
+    sums of each tree's root, and, with ``losses``, with f = -2 the summed loss
+    and count of model j over its training (bin 0) and test rows (bin 1)."""
+    import pyarrow as pa
 
-def _boost(rows: DataFrame, binning: Binning, K: int, M: int, params: BoostParams,
-           rounds: int, seed: int, patience: int | None, checkpoint_every: int = 5,
-           record: bool = False):
-    """Core loop. ``rows``: key, y (0..K-1), tr (array<int> M), ev (array<int> M),
-    bins (array<int>), mg (array<double> M*K). Returns (history, trees)."""
-    depth = params.max_depth
-    if depth > NODE_SLOTS_MAX_DEPTH:
+    n_feat = len(binning.features)
+    slots = [binning.n_bins(f) + 1 for f in binning.features]   # codes from -1 (missing) on
+    offset = np.cumsum([0] + slots[:-1])
+    feature = np.repeat(np.arange(n_feat), slots)
+    code = np.arange(sum(slots)) - np.repeat(offset, slots) - 1
+    total, is_cat = sum(slots), np.array(binning.is_cat, bool)
+    place: dict[int, np.ndarray] = {}
+    for i, (j, node) in enumerate(todo):
+        place.setdefault(j, np.full(2 ** (level + 1) - 1, -1, np.int64))[node] = i
+    sent = rows.sparkSession.sparkContext.broadcast((trees.feat, trees.cut) if trees is not None else None)
+    J = len(models) * K
+    schema = "j int, node int, f int, bin int, G double, H double"
+
+    def run(batches):
+        acc = np.zeros((2, len(todo), total))
+        roots, sums = np.zeros((2, J)), np.zeros((2, len(models), 2))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, fold, bins, mg = _columns(b, J)
+            u = b.column("u").to_numpy(zero_copy_only=False)
+            for m in live:
+                model = models[m]
+                held = fold == model.held
+                train = ~held & (fold >= 0)
+                p = _softmax(mg[:, m * K:(m + 1) * K])
+                if losses:
+                    loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
+                    for i, part in enumerate((train, held)):
+                        sums[0, m, i] += loss[part].sum()
+                        sums[1, m, i] += part.sum()
+                drawn = np.flatnonzero(train & (u < model.params.subsample))
+                if not len(drawn):
+                    continue
+                p, x = p[drawn], bins[drawn]
+                for k in range(K):
+                    j = m * K + k
+                    if j not in place:
+                        continue
+                    g, h = p[:, k] - (y[drawn] == k), np.maximum(2.0 * p[:, k] * (1.0 - p[:, k]), 1e-16)
+                    if level == 0:
+                        roots[0, j] += g.sum()
+                        roots[1, j] += h.sum()
+                        slot = np.zeros(len(drawn), np.int64) + place[j][0]
+                    else:
+                        slot = place[j][_walk(x, sent.value[0][j], sent.value[1][j], is_cat, level)]
+                        keep = slot >= 0
+                        slot, g, h, xk = slot[keep], g[keep], h[keep], x[keep]
+                    xk = x if level == 0 else xk
+                    for f in chosen[j]:
+                        cell = slot * total + offset[f] + 1 + xk[:, f]
+                        for a, v in zip(acc, (g, h)):
+                            a += np.bincount(cell, v, len(todo) * total).reshape(len(todo), total)
+        at, cell = np.nonzero(acc[1])
+        of = np.array(todo, np.int64).reshape(-1, 2)[at]
+        parts = [(of[:, 0], of[:, 1], feature[cell], code[cell], acc[0][at, cell], acc[1][at, cell])]
+        if level == 0:
+            j = np.flatnonzero(roots[1])
+            parts.append((j, 0 * j, 0 * j - 1, 0 * j, roots[0, j], roots[1, j]))
+        if losses:
+            m, i = np.nonzero(sums[1])
+            parts.append((m, 0 * m, 0 * m - 2, i, sums[0][m, i], sums[1][m, i]))
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols[:4]] + [pa.array(c, pa.float64()) for c in cols[4:]],
+                                         ["j", "node", "f", "bin", "G", "H"])
+
+    # cells of a node meet in one partition, where sums, windows and the best split need no further shuffle
+    return (rows.select("y", "fold", "bins", "mg", "u").mapInArrow(run, schema).repartition("j", "node")
+            .groupBy("j", "node", "f", "bin").agg(F.sum("G").alias("G"), F.sum("H").alias("H")))
+
+
+def _moved(rows: DataFrame, models: list[_Model], live: list[int], K: int, binning: Binning, trees: _Trees) -> DataFrame:
+    """``rows`` with the leaves of a round added to the margins of live models."""
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast((trees.feat, trees.cut, trees.leaf))
+    is_cat, J = np.array(binning.is_cat, bool), len(models) * K
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, _, bins, mg = _columns(b, J)
+            feat, cut, leaf = sent.value
+            mg = mg.copy()
+            for m in live:
+                for j in range(m * K, (m + 1) * K):
+                    mg[:, j] += leaf[j][_walk(bins, feat[j], cut[j], is_cat, models[m].params.max_depth)]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, mg.size + 1, J), pa.int32()), pa.array(mg.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("key", "y", "fold", "bins")] + [flat], ["key", "y", "fold", "bins", "mg"])
+
+    return rows.select("key", "y", "fold", "bins", "mg").mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in ("key", "y", "fold", "bins", "mg")]))
+
+
+def _children(parents: DataFrame, light: DataFrame) -> DataFrame:
+    """Histograms of both children of every split: the summed lighter one, and
+    its sibling as the parent (``parents`` names the sibling) less it."""
+    near = light.select(F.col("j").alias("a"), F.col("node").alias("b"), F.col("f").alias("c"), F.col("bin").alias("d"),
+                        F.col("G").alias("near_g"), F.col("H").alias("near_h"))
+    # the sibling of node n is n + 1 for a left child (odd), n - 1 for a right one
+    own = F.when(F.col("node") % 2 == 1, F.col("node") + 1).otherwise(F.col("node") - 1)
+    rest = (parents.join(near, (F.col("j") == F.col("a")) & (own == F.col("b")) & (F.col("f") == F.col("c")) & (F.col("bin") == F.col("d")), "left")
+            .select("j", "node", "f", "bin", (F.col("G") - F.coalesce("near_g", F.lit(0.0))).alias("G"), (F.col("H") - F.coalesce("near_h", F.lit(0.0))).alias("H")))
+    return light.unionByName(rest.where("H > 1e-9"))
+
+
+def _grow(rows: DataFrame, models: list[_Model], live: list[int], K: int, binning: Binning, chosen: list[list[int]],
+          losses: bool) -> tuple[_Trees, list[dict], list[dict], dict]:
+    """One tree for every class of the live models: (trees, splits by slot,
+    leaves by slot, losses)."""
+    J, depth = len(models) * K, max(models[m].params.max_depth for m in live)
+    trees = _Trees(J, depth)
+    splits: list[dict] = [{} for _ in range(J)]
+    sums: list[dict] = [{} for _ in range(J)]         # node -> G, H
+    seen: dict = {}
+    first = models[live[0]].params
+    total = sum(binning.n_bins(f) + 1 for f in binning.features)
+    most = max(1, MAX_CELLS // total)
+    parents, last = None, None
+    todo = [(j, 0) for m in live for j in range(m * K, (m + 1) * K)]
+    for level in range(depth):
+        if not todo:
+            break
+        # many nodes are summed in several passes, each within a task's memory
+        hist = None
+        for i in range(0, len(todo), most):
+            part = _cells(rows, models, live, K, binning, trees, level, todo[i:i + most], chosen, losses and level == 0 and i == 0)
+            hist = part if hist is None else hist.unionByName(part)
+        if parents is not None:
+            hist = _children(parents, hist)
+        hist = hist.persist()
+        found = _best_splits(hist.where("f >= 0"), binning.is_cat, first.lam, first.gamma, first.min_child_weight)
+        extra = hist.where("f < 0").select("j", "node", "f", "bin", F.lit(0.0).alias("gain"), "H", "G", F.lit(0.0).alias("GL"), F.lit(0.0).alias("HL"))
+        splitting = []
+        rows_of = found.unionByName(extra).collect()      # a row a node, and the sums of roots and losses
+        if last is not None:
+            last.unpersist()
+        last = hist
+        for s in rows_of:
+            j, node = s["j"], s["node"]
+            if s["f"] == -1:
+                sums[j][0] = (s["G"], s["H"])
+            elif s["f"] == -2:
+                seen[j, s["bin"]] = (s["G"], s["H"])
+            else:
+                trees.feat[j, node], trees.cut[j, node] = s["f"], s["bin"]
+                splits[j][node] = (s["f"], s["bin"], float(s["gain"]), float(s["H"]))
+                sums[j][2 * node + 1] = (s["GL"], s["HL"])
+                sums[j][2 * node + 2] = (s["G"] - s["GL"], s["H"] - s["HL"])
+                if level + 1 < models[j // K].params.max_depth:
+                    splitting.append((j, node, 2 * s["HL"] <= s["H"]))
+        todo = [(j, 2 * node + 1 if left else 2 * node + 2) for j, node, left in splitting]
+        if todo:
+            spark = rows.sparkSession
+            heavy = spark.createDataFrame([(j, node, 2 * node + 2 if left else 2 * node + 1) for j, node, left in splitting], "j int, node int, sibling int")
+            parents = hist.where("f >= 0").join(heavy, ["j", "node"]).select("j", F.col("sibling").alias("node"), "f", "bin", "G", "H")
+    if last is not None:
+        last.unpersist()
+    leaves: list[dict] = [{} for _ in range(J)]
+    for m in live:
+        p = models[m].params
+        for j in range(m * K, (m + 1) * K):
+            for node, (g, h) in sums[j].items():
+                if node not in splits[j]:
+                    leaves[j][node] = -g / (h + p.lam) * p.eta
+                    trees.leaf[j, node] = leaves[j][node]
+    return trees, splits, leaves, seen
+
+
+def _group_loss(seen: dict, models: list[_Model], group: int) -> tuple[float | None, float | None]:
+    """Mean train and test loss of the models of a group."""
+    out = []
+    for i in (0, 1):
+        found = [seen[m, i][0] / seen[m, i][1] for m, x in enumerate(models) if x.group == group and (m, i) in seen]
+        out.append(sum(found) / len(found) if found else None)
+    return out[0], out[1]
+
+
+def _boost(rows: DataFrame, binning: Binning, K: int, models: list[_Model], rounds: int, seed: int,
+           patience: int | None, record: bool = False):
+    """Core loop over ``rows`` (key, y, fold, bins, mg). Returns, by group,
+    the history [(round, train loss, test loss)] and the best round, and the
+    trees [(round, class, splits, leaves)] of the first model if asked for.
+
+    A group stops after ``patience`` rounds without a better test loss (train
+    loss without test rows), as it would alone: its models are then left out."""
+    if max(m.params.max_depth for m in models) > NODE_SLOTS_MAX_DEPTH:
         raise ValueError(f"max_depth above {NODE_SLOTS_MAX_DEPTH}")
-    NN = 2 ** (depth + 1) - 1          # heap-numbered node slots per tree
-    J = M * K
     names = binning.features
-    ncat = binning.is_cat
-    history, trees = [], []
-    best, best_round, since = math.inf, 0, 0
+    history: dict = {m.group: [] for m in models}
+    best = {g: (math.inf, 0) for g in history}
+    open_, trees = set(history), []
+    draws = any(m.params.subsample < 1 for m in models)
     cur = rows.persist()
-    lam, gam, mcw = params.lam, params.gamma, params.min_child_weight
-    for r in range(1, rounds + 1):
-        base = _gradients(cur, M, K, params.subsample, seed, r).persist()
-        feats_by_class = [
-            [names.index(c) for c in column_share(names, params.colsample_bytree, r * K + k, seed)]
-            for k in range(K)]
-        splits_all = [dict() for _ in range(J)]
-        cur_nd = base
-        for level in range(depth):
-            hist = _histogram(cur_nd, J, K, binning, level, feats_by_class)
-            splits = _best_splits(hist, ncat, lam, gam, mcw).collect()   # a row for each node at most
-            if not splits:
+    held = [cur]
+
+    def note(r: int, seen: dict) -> None:
+        for g in sorted(open_):
+            train, test = _group_loss(seen, models, g)
+            history[g].append((r, train, test))
+            watch = test if test is not None else train
+            if watch is not None and watch < best[g][0] - 1e-12:
+                best[g] = (watch, r)
+            if patience is not None and r - best[g][1] >= patience:
+                open_.discard(g)
+
+    for r in range(1, rounds + 2):
+        live = [i for i, m in enumerate(models) if m.group in open_]
+        if r > rounds:
+            # the losses after the last round
+            out = _cells(cur.withColumn("u", F.lit(0.0)), models, live, K, binning, None, 0, [], [[]] * len(models) * K, True)
+            note(rounds, {(x["j"], x["bin"]): (x["G"], x["H"]) for x in out.where("f = -2").collect()})
+            break
+        drawn = cur.withColumn("u", unit_draw(F.col("key"), seed, f"row{r}") if draws else F.lit(0.0))
+        chosen = [[names.index(c) for c in column_share(names, m.params.colsample_bytree, r * K + k, seed)] for m in models for k in range(K)]
+        grown, splits, leaves, seen = _grow(drawn, models, live, K, binning, chosen, losses=r > 1)
+        if r > 1:
+            note(r - 1, seen)
+            live = [i for i in live if models[i].group in open_]
+            if not live:
                 break
-            feat = [-1] * (J * NN)
-            binv = [0] * (J * NN)
-            iscat = [0] * (J * NN)
-            for s in splits:
-                slot = s["j"] * NN + s["node"]
-                feat[slot], binv[slot], iscat[slot] = s["f"], s["bin"], int(ncat[s["f"]])
-                splits_all[s["j"]][s["node"]] = (s["f"], s["bin"], float(s["gain"]), float(s["H"]))
-            fa, ba, ca = _const_array(feat, "int"), _const_array(binv, "int"), _const_array(iscat, "int")
-
-            def move(n, j):
-                # indexes are clamped so that no branch can read out of range
-                slot = j * NN + F.greatest(n, F.lit(0)) + 1
-                f = F.element_at(fa, slot)
-                b = F.element_at(F.col("bins"), F.greatest(f, F.lit(0)) + 1)
-                left = F.when(F.element_at(ca, slot) == 1, b == F.element_at(ba, slot)) \
-                    .otherwise(b <= F.element_at(ba, slot))
-                return (F.when(n < 0, n)
-                        .when(f < 0, -(n + 1))
-                        .when(left, 2 * n + 1).otherwise(2 * n + 2))
-            cur_nd = cur_nd.withColumn("__nd", F.transform("__nd", move))
-        # leaves: weight -G/(H+lambda) per (j, node), training rows of the round
-        final = F.transform("__nd", lambda n: F.when(n < 0, -(n + 1)).otherwise(n))
-        cur_nd = cur_nd.withColumn("__leaf", final)
-        le = F.filter(F.transform(F.sequence(F.lit(0), F.lit(J - 1)), lambda j: F.struct(
-            j.alias("j"), F.element_at("__leaf", j + 1).alias("node"),
-            F.element_at("__g", j + 1).alias("g"), F.element_at("__h", j + 1).alias("h"),
-            F.element_at("tr", F.floor(j / K).cast("int") + 1).alias("t"))),
-            lambda e: e["t"] == 1)
-        leaves = (cur_nd.where("__sub").select(F.explode(le).alias("e")).select("e.*")
-                  .groupBy("j", "node").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
-                  .collect())
-        lv = [0.0] * (J * NN)
-        leaves_all = [dict() for _ in range(J)]
-        for x in leaves:
-            w = -x["G"] / (x["H"] + lam) * params.eta
-            lv[x["j"] * NN + x["node"]] = w
-            leaves_all[x["j"]][x["node"]] = w
-        la = _const_array(lv, "double")
-        nxt = cur_nd.select(
-            "key", "y", "tr", "ev", "bins",
-            F.transform("mg", lambda x, j: x + F.element_at(
-                la, j * NN + F.element_at("__leaf", j + 1) + 1)).alias("mg"))
-        if r % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist()
-        # evaluation after the round: mean train / test log-loss over models
-        ev = _with_probs(nxt, M, K).withColumn("__l", _loss_expr(M, K))
-        aggs = []
-        for m in range(M):
-            lm = F.element_at("__l", m + 1)
-            aggs += [F.sum(F.when(F.element_at("tr", m + 1) == 1, lm)).alias(f"trs{m}"),
-                     F.sum(F.element_at("tr", m + 1)).alias(f"trn{m}"),
-                     F.sum(F.when(F.element_at("ev", m + 1) == 1, lm)).alias(f"tes{m}"),
-                     F.sum(F.element_at("ev", m + 1)).alias(f"ten{m}")]
-        a = ev.agg(*aggs).first()
-        tr_l = [a[f"trs{m}"] / a[f"trn{m}"] for m in range(M) if a[f"trn{m}"]]
-        te_l = [a[f"tes{m}"] / a[f"ten{m}"] for m in range(M) if a[f"ten{m}"]]
-        train_loss = sum(tr_l) / len(tr_l) if tr_l else None
-        test_loss = sum(te_l) / len(te_l) if te_l else None
-        history.append((r, train_loss, test_loss))
         if record:
-            for k in range(K):
-                trees.append((r, k, splits_all[k], leaves_all[k]))
-        base.unpersist()
-        cur.unpersist()
+            trees += [(r, k, splits[k], leaves[k]) for k in range(K)]
+        nxt = _moved(cur, models, live, K, binning, grown)
+        nxt = cut_lineage(nxt) if r % CHECKPOINT_EVERY == 0 else nxt.persist()
+        held.append(nxt)
+        if r % CHECKPOINT_EVERY == 0:
+            for x in held[:-1]:
+                x.unpersist()
+            held = held[-1:]
         cur = nxt
-        watch = test_loss if test_loss is not None else train_loss
-        if watch is not None and watch < best - 1e-12:
-            best, best_round, since = watch, r, 0
-        else:
-            since += 1
-        if patience is not None and since >= patience:
-            break
-    return history, trees, cur, best_round
+    for x in held:
+        x.unpersist()
+    return history, {g: b[1] for g, b in best.items()}, trees
 
 
 def _best_splits(hist: DataFrame, is_cat: list[bool], lam: float, gam: float, mcw: float) -> DataFrame:
-    """Best split per (j, node) from the histogram (histogram-sized work)."""
-    from pyspark.sql import Window
+    """Best split per (j, node) from the histogram (histogram-sized work), of
+    equal gains (to 1e-9) the first feature's lowest bin: j, node, f, bin,
+    gain, H and G of the node, GL and HL of the left side."""
     cat = _const_array([int(c) for c in is_cat], "int")
     w_node = Window.partitionBy("j", "node", "f")
     w_cum = w_node.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -267,64 +448,11 @@ def _best_splits(hist: DataFrame, is_cat: list[bool], lam: float, gam: float, mc
             .where((F.col("HL") >= mcw) & (HR >= mcw) & (F.col("gain") > 1e-12)
                    & (F.col("isc") | (F.col("bin") < F.col("maxbin")))))
     best = cand.groupBy("j", "node").agg(F.max_by(
-        F.struct("f", "bin", "gain", F.col("Ht").alias("H")),
-        F.struct("gain", -F.col("f"), -F.col("bin"))).alias("s"))
+        F.struct("f", "bin", "gain", F.col("Ht").alias("H"), F.col("Gt").alias("G"), "GL", "HL"),
+        F.struct(F.round("gain", 9), -F.col("f"), -F.col("bin"))).alias("s"))
     return best.select("j", "node", "s.*")
 
 
-def _gradients(cur: DataFrame, M: int, K: int, subsample: float, seed: int, r: int) -> DataFrame:
-    """Softmax gradients g = p - y and hessians h = max(2p(1-p), 1e-16) of
-    every (model, class), this round's row draw, and all rows at the root."""
-    base = _with_probs(cur, M, K)
-    base = base.withColumn("__g", F.transform(
-        "__p", lambda p, j: p - (F.pmod(j, F.lit(K)) == F.col("y")).cast("double")))
-    base = base.withColumn("__h", F.transform(
-        "__p", lambda p: F.greatest(2.0 * p * (1.0 - p), F.lit(1e-16))))
-    sub = (unit_draw(F.col("key"), seed, f"row{r}") < subsample) if subsample < 1.0 else F.lit(True)
-    return base.withColumn("__sub", sub).withColumn("__nd", F.array_repeat(F.lit(0), M * K))
-
-
-def _histogram(frame: DataFrame, J: int, K: int, binning: Binning, level: int,
-               feats_by_class: list[list[int]] | None = None) -> DataFrame:
-    """(j, node, f, bin) -> G, H over the drawn training rows of the nodes of
-    a level: each task sums its rows into one array of the model's size and
-    emits the cells it has touched, and a ``groupBy`` adds them up."""
-    import numpy as np
-    import pyarrow as pa
-
-    n_feat = len(binning.features)
-    slots = [binning.n_bins(f) + 1 for f in binning.features]   # codes from -1 (missing) on
-    offset = np.cumsum([0] + slots[:-1])
-    feature = np.repeat(np.arange(n_feat), slots)
-    code = np.arange(sum(slots)) - np.repeat(offset, slots) - 1
-    first, nodes, total = 2 ** level - 1, 2 ** level, sum(slots)
-    chosen = [np.arange(n_feat) if feats_by_class is None else np.array(feats_by_class[k]) for k in range(K)]
-
-    def run(batches):
-        acc = np.zeros((2, J, nodes * total))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins, nd, g, h, tr = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1)
-                                  for c in ("bins", "__nd", "__g", "__h", "tr"))
-            for j in range(J):
-                at = np.flatnonzero((tr[:, j // K] == 1) & (nd[:, j] >= 0))
-                fs = chosen[j % K]
-                cell = ((nd[at, j] - first) * total)[:, None] + offset[fs] + bins[np.ix_(at, fs)] + 1
-                for i, v in enumerate((g, h)):
-                    acc[i, j] += np.bincount(cell.ravel(), np.repeat(v[at, j], len(fs)), nodes * total)
-        j, cell = np.nonzero(acc[1])
-        slot = cell % total
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(j, pa.int32()), pa.array(first + cell // total, pa.int32()), pa.array(feature[slot], pa.int32()),
-             pa.array(code[slot], pa.int32()), pa.array(acc[0, j, cell]), pa.array(acc[1, j, cell])],
-            ["j", "node", "f", "bin", "G", "H"])
-
-    cells = frame.where("__sub").select("bins", "__nd", "__g", "__h", "tr").mapInArrow(
-        run, "j int, node int, f int, bin int, G double, H double")
-    return cells.groupBy("j", "node", "f", "bin").agg(F.sum("G").alias("G"), F.sum("H").alias("H"))
-
-
 def root_histogram(df: DataFrame, label: str, features: list[str], num_class: int | None = None,
                    categorical: list[str] | None = None, key: str = "v1", bins: int = 64) -> DataFrame:
     """First-round root histogram (all margins 0): class index, feature,
@@ -332,8 +460,9 @@ def root_histogram(df: DataFrame, label: str, features: list[str], num_class: in
     binning = fit_binning(df, features, categorical, bins)
     labels = class_labels(df, label, num_class)
     K = len(labels)
-    rows = _prepare(df, label, key, binning, labels, F.array(F.lit(1)), F.array(F.lit(0)), 1)
-    hist = _histogram(_gradients(rows, 1, K, 1.0, 22, 1), K, K, binning, 0)
+    rows = _prepare(df, label, key, binning, labels, F.lit(0), 1).withColumn("u", F.lit(0.0))
+    hist = _cells(rows, [_Model(BoostParams(), 1, 0)], [0], K, binning, None, 0, [(k, 0) for k in range(K)],
+                  [list(range(len(features)))] * K, False).where("f >= 0")
     names = _const_array(binning.features, "string")
     lv = F.from_json(F.lit(json.dumps([binning.levels.get(f, []) for f in binning.features])),
                      "array<array<string>>")
@@ -343,17 +472,16 @@ def root_histogram(df: DataFrame, label: str, features: list[str], num_class: in
         "G", "H")
 
 
-def _prepare(df: DataFrame, label: str, key: str, binning: Binning, labels: list,
-             tr: Column, ev: Column, M: int) -> DataFrame:
-    K = len(labels)
+def _prepare(df: DataFrame, label: str, key: str, binning: Binning, labels: list, fold: Column, M: int) -> DataFrame:
+    """(key, y, fold, bins, mg) of ``df``, with margins 0 of M models."""
     lab = _const_array([str(v) for v in labels], "string")
     at = F.array_position(lab, F.col(label).cast("string"))
     y = F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(
         F.lit("label outside the classes: "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))).cast("int")
     return df.select(
-        F.col(key).alias("key"), y.alias("y"), tr.alias("tr"), ev.alias("ev"),
+        F.col(key).alias("key"), y.alias("y"), fold.cast("int").alias("fold"),
         bin_codes(binning).alias("bins"),
-        F.array_repeat(F.lit(0.0), M * K).alias("mg"))
+        F.array_repeat(F.lit(0.0), M * len(labels)).alias("mg"))
 
 
 def class_labels(df: DataFrame, label: str, num_class: int | None) -> list:
@@ -368,54 +496,57 @@ def class_labels(df: DataFrame, label: str, num_class: int | None) -> list:
 def fit_boosted(df: DataFrame, label: str, features: list[str], params: BoostParams,
                 rounds: int, key: str = "v1", num_class: int | None = None,
                 categorical: list[str] | None = None, bins: int = 64, seed: int = 22,
-                watch: DataFrame | None = None, binning: Binning | None = None) -> BoostModel:
+                watch: DataFrame | None = None, binning: Binning | None = None,
+                ordered: dict[str, list] | None = None) -> BoostModel:
     """Train on ``df``; ``watch`` rows (optional) are scored every round for
-    the test column of the history (no effect on training)."""
-    binning = binning or fit_binning(df, features, categorical, bins)
+    the test column of the history (no effect on training). ``ordered`` names
+    ordered categories with their levels in order."""
+    binning = binning or fit_binning(df, features, categorical, bins, ordered)
     labels = class_labels(df, label, num_class)
-    rows = _prepare(df, label, key, binning, labels,
-                    F.array(F.lit(1)), F.array(F.lit(0)), 1)
+    rows = _prepare(df, label, key, binning, labels, F.lit(0), 1)
     if watch is not None:
-        rows = rows.unionByName(_prepare(watch, label, key, binning, labels,
-                                         F.array(F.lit(0)), F.array(F.lit(1)), 1))
-    history, trees, cur, _ = _boost(rows, binning, len(labels), 1, params, rounds, seed,
-                                    patience=None, record=True)
-    cur.unpersist()
-    return BoostModel(binning, labels, params, trees, history, key)
+        rows = rows.unionByName(_prepare(watch, label, key, binning, labels, F.lit(1), 1))
+    history, _, trees = _boost(rows, binning, len(labels), [_Model(params, 1, 0)], rounds, seed, patience=None, record=True)
+    return BoostModel(binning, labels, params, trees, history[0], key)
 
 
 def cross_validate(df: DataFrame, label: str, features: list[str], grid: DataFrame,
                    rounds: int, k: int = 5, patience: int = 10, key: str = "v1",
                    num_class: int | None = None, categorical: list[str] | None = None,
-                   bins: int = 64, seed: int = 22) -> DataFrame:
-    """k-fold CV of every grid row (grid rows run in sequence; the k folds
-    and all classes of one grid row train in the same jobs). Stops a grid
-    row after ``patience`` rounds without a better mean test log-loss.
+                   bins: int = 64, seed: int = 22, ordered: dict[str, list] | None = None,
+                   together: int | None = None) -> DataFrame:
+    """k-fold CV of every grid row. The folds and classes of ``together`` grid
+    rows train in the same jobs (by default as many as keep a row's margins
+    within ``MAX_MARGINS``); the result doesn't depend on it. A grid row stops
+    after ``patience`` rounds without a better mean test log-loss.
 
     Returns paramsNum, bestIteration, bestCvrmse (train log-loss at the best
-    round), bestCvrmse_test, eta, max_depth, subsample, colsample_bytree.
+    round), bestCvrmse_test, eta, max_depth, subsample, colsample_bytree,
+    rounds (trained).
     """
     from reviewlab.operators.sampling import folds as fold_col
-    binning = fit_binning(df, features, categorical, bins)
+    binning = fit_binning(df, features, categorical, bins, ordered)
     labels = class_labels(df, label, num_class)
-    fdf = fold_col(df, key, k, seed)
-    tr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: (F.col("fold") != m).cast("int"))
-    ev = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: (F.col("fold") == m).cast("int"))
-    rows = cut_lineage(_prepare(fdf, label, key, binning, labels, tr, ev, k))
+    K = len(labels)
+    chosen = grid.orderBy("paramsNum").collect()   # the grid: a few rows
+    together = together or max(1, MAX_MARGINS // (k * K))
+    base = cut_lineage(_prepare(fold_col(df, key, k, seed), label, key, binning, labels, F.col("fold"), 1).drop("mg"))
     out = []
-    for g in grid.orderBy("paramsNum").collect():   # the grid: a few rows
-        p = BoostParams(eta=g["eta"], max_depth=int(g["max_depth"]), subsample=g["subsample"],
-                        colsample_bytree=g["colsample_bytree"])
-        history, _, cur, best_round = _boost(rows, binning, len(labels), k, p, rounds, seed,
-                                             patience=patience)
-        cur.unpersist()
-        h = {r: (a, b) for r, a, b in history}
-        out.append((int(g["paramsNum"]), best_round, h[best_round][0], h[best_round][1],
-                    float(g["eta"]), int(g["max_depth"]), float(g["subsample"]),
-                    float(g["colsample_bytree"])))
+    for i in range(0, len(chosen), together):
+        part = chosen[i:i + together]
+        models = [_Model(BoostParams(eta=g["eta"], max_depth=int(g["max_depth"]), subsample=g["subsample"],
+                                     colsample_bytree=g["colsample_bytree"]), fold, n) for n, g in enumerate(part) for fold in range(k)]
+        rows = base.withColumn("mg", F.array_repeat(F.lit(0.0), len(models) * K))
+        history, best, _ = _boost(rows, binning, K, models, rounds, seed, patience=patience)
+        for n, g in enumerate(part):
+            h = {r: (a, b) for r, a, b in history[n]}
+            # without any better round than none (a loss that isn't a number), the first
+            train, test = h[max(1, best[n])]
+            out.append((int(g["paramsNum"]), max(1, best[n]), train, test, float(g["eta"]), int(g["max_depth"]),
+                        float(g["subsample"]), float(g["colsample_bytree"]), len(h)))
     return df.sparkSession.createDataFrame(
         out, "paramsNum int, bestIteration int, bestCvrmse double, bestCvrmse_test double, "
-             "eta double, max_depth int, subsample double, colsample_bytree double")
+             "eta double, max_depth int, subsample double, colsample_bytree double, rounds int")
 
 
 def param_grid(spark, **lists) -> DataFrame:
@@ -437,8 +568,6 @@ def predict_boosted(model: BoostModel, df: DataFrame, keep: list[str] | None = N
                     out: str = "prediction", rounds: int | None = None) -> DataFrame:
     """Predicted class of each row: trees applied batch-wise with numpy
     (``mapInPandas``; the trees, a bounded table, travel with the task)."""
-    import numpy as np
-
     keep = keep or [model.key]
     depth = model.params.max_depth
     NN = 2 ** (depth + 1) - 1

@@ -23,7 +23,8 @@ MAX_BOUNDARY_ROWS = 1_000_000
 def draw_hash(key, seed, salt: str = "") -> Column:
     """md5 hex of 'seed-[salt-]key': uniform, deterministic draw per row."""
     k = F.col(key) if isinstance(key, str) else key
-    parts = [F.lit(str(seed)), F.lit("-")] + ([F.lit(salt), F.lit("-")] if salt else []) \
+    number = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [number, F.lit("-")] + ([F.lit(salt), F.lit("-")] if salt else []) \
         + [k.cast("string")]
     return F.md5(F.concat(*parts))
 
@@ -36,26 +37,57 @@ def unit_draw(key, seed, salt: str = "") -> Column:
 
 def _threshold(df: DataFrame, h: str, key: str, target: int):
     """(hash, key) of the row ranked ``target`` (1-based) by (hash, key)."""
-    need, prefix, level = target, "", 0
-    while True:
+    return _ranked(df.withColumn("__d", F.lit(0)), h, key, {0: target}).get(0)
+
+
+def _ranked(rows: DataFrame, h: str, key: str, targets: dict[int, int]) -> dict:
+    """For each draw d of ``targets`` the (hash, key) of the row ranked
+    ``targets[d]`` among the rows with ``__d`` = d, all in the same jobs: a
+    level of counts by hash prefix for the draws still open, then the rows of
+    the boundary prefixes."""
+    prefix, need, open_ = dict.fromkeys(targets, ""), dict(targets), set(targets)
+    level = 0
+
+    def inside(draws):
+        out = F.lit(False)
+        for d in sorted(draws):
+            out = out | ((F.col("__d") == d) & F.col(h).startswith(prefix[d]))
+        return rows.where(out)
+
+    while open_ and level < 32:
         level += PREFIX_DIGITS
-        sub = df if not prefix else df.where(F.col(h).startswith(prefix))
-        counts = (sub.groupBy(F.substring(h, 1, level).alias("p"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect())
-        if not counts:
-            return None
-        before = 0
-        for row in sorted(counts, key=lambda r: r["p"]):
-            if before + row["n"] >= need:
-                prefix, need = row["p"], need - before
-                bucket = row["n"]
-                break
-            before += row["n"]
-        if bucket <= MAX_BOUNDARY_ROWS or level >= 32:
-            break
-    top = (df.where(F.col(h).startswith(prefix)).select(h, key)
-           .orderBy(h, key).offset(need - 1).limit(1).first())
-    return top[h], top[key]
+        found = {}
+        for r in inside(open_).groupBy("__d", F.substring(h, 1, level).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+            found.setdefault(r["__d"], []).append((r["p"], r["n"]))
+        for d in sorted(open_):
+            before = 0
+            for p, n in sorted(found.get(d, [])):
+                if before + n >= need[d]:
+                    prefix[d], need[d] = p, need[d] - before
+                    if n <= MAX_BOUNDARY_ROWS:
+                        open_.discard(d)
+                    break
+                before += n
+            else:
+                open_.discard(d)
+                need.pop(d)
+    w = Window.partitionBy("__d").orderBy(h, key)
+    at = F.create_map(*[F.lit(x) for d in need for x in (d, need[d])]) if need else None
+    if at is None:
+        return {}
+    last = inside(need).withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.element_at(at, F.col("__d")))
+    return {r["__d"]: (r[h], r[key]) for r in last.select("__d", h, key).collect()}
+
+
+def thresholds(df: DataFrame, key: str, targets: dict[int, int]) -> dict[int, tuple]:
+    """For each seed of ``targets`` the (draw, key) up to which the rows of
+    ``split_exact`` with that seed and ``n = targets[seed]`` go; seeds that
+    want no rows are left out."""
+    targets = {s: n for s, n in targets.items() if n > 0}
+    if not targets:
+        return {}
+    rows = df.select(key, F.explode(F.array(*[F.lit(s) for s in targets])).alias("__d"))
+    return _ranked(rows.withColumn("__h", draw_hash(F.col(key), F.col("__d"))), "__h", key, targets)
 
 
 def split_exact(df: DataFrame, key: str = "v1", share: float | None = 0.8,

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlab.functions.columns import TOKEN_PATTERN
 
+#: words of a vocabulary that is handed to every task
+MAX_WORDS = 1 << 20
+
 
 def words_of(text) -> Column:
     """Array of the lower-cased words of a text column."""
@@ -51,16 +55,42 @@ def sequences(df: DataFrame, vocab: DataFrame, key: str = "v1",
     """Text to the list of its word numbers, in text order; unknown words are
     dropped; a text with no known word gives an empty list.
 
-    The vocabulary has at most ``n`` rows (see ``vocabulary``), so it is
-    broadcast. Words are exploded with their positions, joined, and put back
-    in order by a group on ``key`` (partial aggregation: words of one text
-    are in one partition).
-    """
-    v = F.broadcast(vocab.select(word, "idx"))
-    toks = tokens(df.select(key, text), text, word=word, keep_empty=True,
-                  position="pos")
-    joined = toks.join(v, word, "left")
-    agg = joined.groupBy(key).agg(
+    Narrow: the words of a batch are looked up together in the vocabulary, and
+    no word is shuffled. That vocabulary goes to every task, so it may have at
+    most ``MAX_WORDS`` words; a larger one meets the words by a join."""
+    rows = vocab.select(word, "idx").limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        return _joined_sequences(df, vocab, key, text, word, out)
+    rows = sorted((r[0], r[1]) for r in rows if r[0] is not None)
+    sent = df.sparkSession.sparkContext.broadcast(([w for w, _ in rows], [i for _, i in rows]))
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, idx = pa.array(sent.value[0], pa.string()), np.array(sent.value[1], np.int32)
+        for b in batches:
+            lists = b.column("__words")
+            at = pc.index_in(lists.flatten(), words)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            numbers = idx[at.drop_null().to_numpy()]
+            # a list's place among the known words, from its place among all
+            upto = np.append(0, np.cumsum(known))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            seq = pa.ListArray.from_arrays(pa.array(upto[np.append(0, ends)], pa.int32()), pa.array(numbers, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), seq], [key, out])
+
+    src = df.select(key, words_of(text).alias("__words"))
+    return src.mapInArrow(number, T.StructType([src.schema[key], T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def _joined_sequences(df: DataFrame, vocab: DataFrame, key: str, text: str, word: str, out: str) -> DataFrame:
+    """``sequences`` by a join of the words with a vocabulary of any size."""
+    numbered = df.select(key, text).withColumn("__row", F.monotonically_increasing_id())
+    toks = tokens(numbered, text, word=word, keep_empty=True, position="pos")
+    joined = toks.join(vocab.select(word, "idx"), word, "left")
+    agg = joined.groupBy("__row", key).agg(
         F.array_sort(F.collect_list(
             F.when(F.col("idx").isNotNull(), F.struct("pos", "idx")))).alias("pairs"))
     return agg.select(key, F.transform("pairs", lambda p: p["idx"]).cast("array<int>").alias(out))

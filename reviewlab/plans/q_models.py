@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reviewlab.functions.columns import AGE_BANDS, AGE_UNKNOWN
 from reviewlab.operators.boost import (
     BoostParams, cross_validate, fit_boosted, importance, param_grid, predict_boosted,
     top_features,
@@ -19,6 +20,8 @@ from reviewlab.plans.registry import query
 TREE_FEATURES = ["age_div", "recommended", "devision", "class", "department"]
 BOOST_FEATURES = ["recommended", "age", "age_div", "positive_feedback", "devision", "class",
                   "department", "sum_senta", "sum_sentb"]
+#: age bands in their order, by which the boosted trees split them
+AGE_ORDER = {"age_div": [label for _, _, label in AGE_BANDS] + [AGE_UNKNOWN]}
 
 
 def _split(spark, sf):
@@ -60,7 +63,7 @@ def _boosted(spark, sf, rounds=10):
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     m = fit_boosted(train, "rating", BOOST_FEATURES,
                     BoostParams(eta=0.1, max_depth=3, subsample=0.6, colsample_bytree=0.6),
-                    rounds=rounds, num_class=6, watch=test)
+                    rounds=rounds, num_class=6, watch=test, ordered=AGE_ORDER)
     return s, m
 
 
@@ -119,11 +122,13 @@ SMOTE_SQL = f"""
                 (age - l1) / coalesce(nullif(cast(h1 - l1 as double), 0), 1.0) as x1,
                 (positive_feedback - l2) / coalesce(nullif(cast(h2 - l2 as double), 0), 1.0) as x2,
                 (sum_senta - l3) / coalesce(nullif(cast(h3 - l3 as double), 0), 1.0) as x3,
-                (sum_sentb - l4) / coalesce(nullif(cast(h4 - l4 as double), 0), 1.0) as x4
+                (sum_sentb - l4) / coalesce(nullif(cast(h4 - l4 as double), 0), 1.0) as x4,
+                {", ".join(SMOTE_CATEGORICAL)}
          from s2 join rg using (rating))
 , pairs as (select a.rating, a.v1, b.v1 as nb_key,
                    sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)
-                        + (a.x3 - b.x3) * (a.x3 - b.x3) + (a.x4 - b.x4) * (a.x4 - b.x4)) as dist
+                        + (a.x3 - b.x3) * (a.x3 - b.x3) + (a.x4 - b.x4) * (a.x4 - b.x4)
+                        {" ".join(f"+ (a.{c} is distinct from b.{c})::int" for c in SMOTE_CATEGORICAL)}) as dist
             from sc a join sc b on a.rating = b.rating and a.v1 <> b.v1)
 """
 
@@ -138,7 +143,7 @@ def q_smote_neighbours(spark, sf):
     the DuckDB twin compares all pairs)."""
     from reviewlab.operators.balance import nearest_neighbours
     s = _sentiment_rows(spark, sf).where(F.col("rating").isin(1, 2, 3, 4))
-    nb = nearest_neighbours(s, "v1", SMOTE_NUMERIC, k=5, by="rating")
+    nb = nearest_neighbours(s, "v1", SMOTE_NUMERIC, k=5, by="rating", categorical=SMOTE_CATEGORICAL)
     return nb.join(s.select("v1", "rating"), "v1").select(
         "rating", "v1", "nb_key", "rank", F.round("dist", 6).alias("dist"))
 
@@ -362,3 +367,77 @@ def q_boost_round1_importance(spark, sf):
     _, m = _round1(spark, sf)
     imp = importance(m, spark)
     return imp.select("feature", *[F.round(c, 6).alias(c) for c in ("gain", "cover", "frequency")])
+
+
+# --- the first round with numbers, an ordered and free categories, depth 2 -------
+
+MIXED = ["age", "positive_feedback", "age_div", "devision", "class", "department"]
+
+
+def _level_sql(n: int) -> str:
+    """Histogram and best splits of the nodes of a level, from the rows'
+    nodes, and the rows' nodes in the next one."""
+    return f"""
+, hist{n} as (select k, node, f, iscat, ord, lvl, sum(g) as g, sum(h) as h from at{n} join cells using (v1) group by all)
+, sums{n} as (select *, sum(g) over w as gt, sum(h) over w as ht, max(ord) over w as most,
+                case when iscat then g else sum(g) over (w order by ord) end as gl,
+                case when iscat then h else sum(h) over (w order by ord) end as hl
+              from hist{n} window w as (partition by k, node, f))
+, gains{n} as (select *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) as gain
+               from sums{n} where hl >= 1 and ht - hl >= 1 and (iscat or ord < most))
+, best{n} as (select * from gains{n} where gain > 1e-12
+              qualify row_number() over (partition by k, node order by round(gain, 9) desc, f, ord, lvl) = 1)
+, at{n + 1} as (select a.v1, a.k, a.g, a.h, 2 * a.node + case when (case when b.iscat then c.lvl = b.lvl else c.ord <= b.ord end) then 1 else 2 end as node
+              from at{n} a join best{n} b using (k, node) join cells c on c.v1 = a.v1 and c.f = b.f)"""
+
+
+MIXED_SQL = f"""
+, cells as (
+  select v1, f, f >= 3 as iscat, case f when 0 then age when 1 then positive_feedback when 2 then coalesce(list_position({AGE_ORDER["age_div"]}, age_div), 0) - 1 else 0 end as ord,
+         case f when 0 then cast(age as varchar) when 1 then cast(positive_feedback as varchar) when 2 then age_div
+                when 3 then devision when 4 then class else department end as lvl
+  from complete, (select unnest(range(0, 6)) as f))
+, at0 as (select v1, k, 0 as node, cast(1 as double) / 6 - cast(rating = k as int) as g, 2 * (cast(1 as double) / 6) * (cast(5 as double) / 6) as h
+          from complete, (select unnest(range(0, 6)) as k))
+{_level_sql(0)}{_level_sql(1)}
+, last as (select v1, k, node, g, h from at0 where k not in (select k from best0)
+           union all select v1, k, node, g, h from at1 where (k, node) not in (select (k, node) from best1)
+           union all select v1, k, node, g, h from at2)
+, leaves as (select k, node, -0.3 * sum(g) / (sum(h) + 1) as weight from last group by all)
+"""
+
+
+def _mixed_round1(spark, sf):
+    df = prepared_reviews(spark, sf)
+    return df, fit_boosted(df, "rating", MIXED, BoostParams(eta=0.3, max_depth=2), rounds=1, num_class=6, bins=128, ordered=AGE_ORDER)
+
+
+@query("boost_round1_mixed", sql=MIXED_SQL + """
+select cast(k as int) as class_index, cast(node as int) as node, list_element(['age', 'positive_feedback', 'age_div', 'devision', 'class', 'department'], f + 1) as feature,
+       lvl as split_at, round(gain, 6) as gain, round(ht, 6) as cover, cast(null as double) as weight
+from (select * from best0 union all select * from best1) t
+union all select cast(k as int), cast(node as int), null, null, null, null, round(weight, 6) from leaves
+""")
+def q_boost_round1_mixed(spark, sf):
+    """The first round's trees of depth 2 over numbers, an ordered and free
+    categories: splits and leaves."""
+    _, m = _mixed_round1(spark, sf)
+    rows = []
+    for _, k, splits, leaves in m.trees:
+        for node, (f, b, gain, cover) in splits.items():
+            name = m.binning.features[f]
+            values = m.binning.levels.get(name) or m.binning.ordered.get(name) or [f"{t:g}" for t in m.binning.thresholds[name]]
+            rows.append((k, node, name, values[b] if b >= 0 else None, gain, cover, None))
+        rows += [(k, node, None, None, None, None, w) for node, w in leaves.items()]
+    out = spark.createDataFrame(rows, "class_index int, node int, feature string, split_at string, gain double, cover double, weight double")
+    return out.select(*out.columns[:4], *[F.round(c, 6).alias(c) for c in out.columns[4:]])
+
+
+@query("boost_round1_mixed_predictions", sql=MIXED_SQL + """
+select v1, cast(k as int) as prediction from last join leaves using (k, node)
+qualify row_number() over (partition by v1 order by round(weight, 9) desc, k) = 1
+""")
+def q_boost_round1_mixed_predictions(spark, sf):
+    """Class of each review by those trees."""
+    df, m = _mixed_round1(spark, sf)
+    return predict_boosted(m, df, keep=["v1"])

@@ -153,3 +153,17 @@ def test_density_integrates_to_one(spark):
 def test_density_empty_table(spark):
     df = spark.createDataFrame([], "x double")
     assert density(df, "x").count() == 0
+
+
+def test_sequences_shuffle_no_words(spark):
+    from reviewlab.operators import text
+    docs = [(1, "B a, c's! zz a"), (2, None), (3, ""), (4, "zz"), (5, "a " * 20_000), (5, "c's")]
+    df = spark.createDataFrame(docs, "v1 long, review_text string").repartition(2)
+    vocab = spark.createDataFrame([("a", 7, 1), ("c's", 3, 2), ("b", 1, 3)], "word string, n long, idx int")
+    got = text.sequences(df, vocab)
+    want = [(1, [3, 1, 2, 1]), (2, []), (3, []), (4, []), (5, [1] * 20_000), (5, [2])]
+    assert sorted((r["v1"], r["seq"]) for r in got.collect()) == want
+    plan = text.sequences(spark.createDataFrame(docs, "v1 long, review_text string"), vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted((r["v1"], r["seq"]) for r in text._joined_sequences(df, vocab, "v1", "review_text", "word", "seq").collect()) == want
+    assert text.sequences(df, vocab.limit(0)).where("size(seq) > 0").count() == 0

@@ -65,6 +65,48 @@ def test_nearest_neighbours_match_brute_force(spark):
             assert abs(got[(i, r)][1] - dist) < 1e-9
 
 
+@pytest.mark.parametrize("n_cats, penalty, k, cells", [(3, 1.0, 5, 2000), (3, 0.02, 4, 10), (0, 1.0, 3, 2000)])
+def test_mixed_neighbours_match_brute_force(spark, monkeypatch, n_cats, penalty, k, cells):
+    import reviewlab.operators.balance as bal
+    monkeypatch.setattr(bal, "MAX_CELL_POINTS", cells)
+    rng = np.random.default_rng(n_cats * 10 + k)
+    n = 90
+    group = rng.integers(0, 2, n)
+    pts = rng.integers(0, 8, size=(n, 2)).astype(float)       # ties
+    cats = [[["a", "b", "c", None][i] for i in rng.choice(4, 3, p=[0.7, 0.2, 0.05, 0.05])] for _ in range(n)]
+    for i in range(20):                                          # a hot point
+        pts[i], cats[i], group[i] = pts[0], cats[0], 0
+    cats[30], group[30] = ["z", "z", "z"], 1                     # alone in its combination
+    names = ["c1", "c2", "c3"][:n_cats]
+    df = spark.createDataFrame([(i, int(group[i]), *map(float, pts[i]), *cats[i]) for i in range(n)],
+                               "v1 long, g int, a double, b double, c1 string, c2 string, c3 string")
+    got = {(r["v1"], r["rank"]): (r["nb_key"], r["dist"])
+           for r in bal.nearest_neighbours(df, "v1", ["a", "b"], k=k, by="g", categorical=names, penalty=penalty).collect()}
+    for g in (0, 1):
+        at = np.flatnonzero(group == g)
+        lo, hi = pts[at].min(axis=0), pts[at].max(axis=0)
+        x = (pts - lo) / np.where(hi - lo == 0, 1, hi - lo)
+        for i in at:
+            dist = [((x[j] - x[i]) ** 2).sum() + penalty * sum(cats[j][c] != cats[i][c] for c in range(n_cats)) for j in at]
+            order = sorted((round(math.sqrt(d), 9), int(j)) for d, j in zip(dist, at) if j != i)[:k]
+            assert [got[i, r][0] for r in range(1, k + 1)] == [j for _, j in order], i
+            assert np.allclose([got[i, r][1] for r in range(1, k + 1)], [d for d, _ in order], atol=1e-8)
+
+
+def test_thresholds_are_those_of_exact_splits(spark, monkeypatch):
+    import reviewlab.operators.sampling as sam
+    df = spark.range(700).withColumnRenamed("id", "v1").repartition(4)
+    for bound in (1_000_000, 3):
+        monkeypatch.setattr(sam, "MAX_BOUNDARY_ROWS", bound)
+        cuts = sam.thresholds(df, "v1", {5: 100, 6: 0, 7: 699, 8: 1})
+        assert set(cuts) == {5, 7, 8}
+        for seed, n in ((5, 100), (7, 699), (8, 1)):
+            taken = sam.split_exact(df, "v1", share=None, n=n, seed=seed).where("split = 'train'")
+            h = sam.draw_hash("v1", seed)
+            top = taken.select(h.alias("h"), "v1").orderBy(F.desc("h"), F.desc("v1")).first()
+            assert (top["h"], top["v1"]) == cuts[seed] and taken.count() == n
+
+
 def test_smote_rows_between_parents(spark):
     rows = [(i, 1 if i < 12 else 5, "x" if i % 2 else "y", float(i), float(i * i % 7))
             for i in range(40)]
@@ -179,6 +221,122 @@ def test_split_search_is_plain(spark):
     assert a == b
 
 
+def test_sketch_rank_error(spark):
+    from reviewlab.operators.sketch import cut_points, summaries
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=4000), np.full(1500, 0.25), rng.integers(0, 4, 500)])
+    w = rng.uniform(0, 3, len(x))
+    rows = [(float(a), float(b), float(i % 5)) for i, (a, b) in enumerate(zip(x, w))] + [(None, 1.0, None), (1.0, None, None), (float("nan"), 1.0, None)]
+    df = spark.createDataFrame(rows, "x double, w double, few double").repartition(40)
+    size = 64
+    s = {r["col"]: (np.array(r["v"]), np.array(r["w"])) for r in summaries(df, ["x", "few"], size, F.col("w")).collect()}
+    v, mass = s[0]
+    assert len(v) <= 2 * size and abs(mass.sum() - w.sum()) < 1e-6 and (np.diff(v) > 0).all()
+    exact = np.array([w[x <= c].sum() for c in v])
+    # a prune of each task, one of each of two merges of 32
+    assert np.abs(np.cumsum(mass) - exact).max() <= 3 * w.sum() / size
+    assert s[1][0].tolist() == [0, 1, 2, 3, 4]
+    cuts = cut_points(df, ["x", "few"], 16, F.col("w"))
+    assert cuts["few"] == [0, 1, 2, 3] and len(cuts["x"]) <= 15 and 0.25 in cuts["x"]
+    shares = np.array([w[x <= c].sum() for c in cuts["x"]]) / w.sum()
+    inner = [s for c, s in zip(cuts["x"], shares) if c != 0.25]
+    assert all(min(abs(s - i / 16) for i in range(1, 16)) < 0.02 for s in inner)
+
+
+def test_ordered_categories_split_by_order(spark):
+    rows = [(i, ["low", "mid", "high", None, "odd"][i % 5], 1 if i % 5 in (0, 1, 3, 4) else 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "v1 long, grade string, y int")
+    m = fit_boosted(df, "y", ["grade"], BoostParams(max_depth=1), rounds=1, ordered={"grade": ["low", "mid", "high"]})
+    assert [m.binning.condition("grade", s[0][1]) for _, k, s, _ in m.trees if k == 2] == ["grade <= mid"]
+    assert predict_boosted(m, df, keep=["v1", "y"]).where("prediction != y").count() == 0
+
+
+def plain_boosting(rows, K, params, rounds, seed, held, patience):
+    """One model by itself on lists: (history, trees). ``rows``: key, y, fold, bins."""
+    import hashlib
+    from reviewlab.operators.sampling import column_share
+    names, is_cat = ["cat", "x"], [True, False]
+    y, fold, bins = (np.array(c) for c in list(zip(*rows))[1:])
+    mg = np.zeros((len(rows), K))
+    history, best = [], (math.inf, 0)
+    train = fold != held
+
+    def prob():
+        p = np.exp(mg - mg.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    for r in range(1, rounds + 1):
+        p = prob()
+        u = np.array([int(hashlib.md5(f"{seed}-row{r}-{k}".encode()).hexdigest()[:8], 16) / 2 ** 32 for k, *_ in rows])
+        drawn = train & (u < params.subsample) if params.subsample < 1 else train
+        step = np.zeros_like(mg)
+        for k in range(K):
+            g, h = p[:, k] - (y == k), np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16)
+            feats = [names.index(c) for c in column_share(names, params.colsample_bytree, r * K + k, seed)]
+            nodes = [(np.ones(len(rows), bool), 0)]
+            while nodes:
+                at, depth = nodes.pop()
+                mine = at & drawn
+                G, H = g[mine].sum(), h[mine].sum()
+                found = []
+                for f in feats if depth < params.max_depth else []:
+                    codes = sorted(set(bins[mine, f]))
+                    for b in codes if is_cat[f] else codes[:-1]:
+                        left = mine & (bins[:, f] == b if is_cat[f] else bins[:, f] <= b)
+                        GL, HL = g[left].sum(), h[left].sum()
+                        gain = 0.5 * (GL ** 2 / (HL + 1) + (G - GL) ** 2 / (H - HL + 1) - G ** 2 / (H + 1))
+                        if HL >= 1 and H - HL >= 1 and gain > 1e-12:
+                            found.append((-round(gain, 9), f, b))
+                if found:
+                    _, f, b = min(found)
+                    left = bins[:, f] == b if is_cat[f] else bins[:, f] <= b
+                    nodes += [(at & left, depth + 1), (at & ~left, depth + 1)]
+                elif mine.any():
+                    step[at, k] = -G / (H + 1) * params.eta
+        mg += step
+        p = prob()
+        loss = -np.log(p[np.arange(len(y)), y])
+        history.append((r, loss[train].mean(), loss[~train].mean()))
+        if history[-1][2] < best[0] - 1e-12:
+            best = history[-1][2], r
+        if r - best[1] >= patience:
+            break
+    return history, best[1]
+
+
+def test_grid_rows_together_are_each_alone(spark, boost_data, monkeypatch):
+    """All grid rows in one series of jobs, some stopped early, in passes of few nodes: as plain lists, one after the other."""
+    import reviewlab.operators.boost as boost
+    from reviewlab.operators.sampling import folds
+    rng = np.random.default_rng(8)
+    noisy = spark.createDataFrame([(i, "abcd"[rng.integers(4)], float(rng.integers(12)), int(rng.integers(3))) for i in range(160)],
+                                  "v1 long, cat string, x double, y int")
+    grid = param_grid(spark, eta=[0.1, 0.9], max_depth=[1, 4], subsample=[0.8], colsample_bytree=[0.6])
+    args = dict(rounds=7, k=2, patience=2, num_class=3)
+    binning = boost.fit_binning(noisy, ["cat", "x"])
+    rows = [tuple(r) for r in boost._prepare(folds(noisy, "v1", 2, 22), "y", "v1", binning, [0, 1, 2], F.col("fold"), 1)
+            .select("key", "y", "fold", "bins").orderBy("key").collect()]
+    want = {}
+    for g in grid.collect():
+        p = BoostParams(eta=g["eta"], max_depth=g["max_depth"], subsample=0.8, colsample_bytree=0.6)
+        alone = [plain_boosting(rows, 3, p, 7, 22, held, 99)[0] for held in (0, 1)]
+        mean = [tuple(sum(h[i][c] for h in alone) / 2 for c in (1, 2)) for i in range(7)]
+        best = (math.inf, 0)
+        for r, (_, test) in enumerate(mean, 1):
+            if test < best[0] - 1e-12:
+                best = test, r
+            if r - best[1] >= 2:
+                break
+        want[g["paramsNum"]] = (best[1], r, *mean[best[1] - 1])
+    assert len({w[1] for w in want.values()}) > 1 and min(w[1] for w in want.values()) < 7     # some stop early
+    for together, cells in ((None, boost.MAX_CELLS), (1, 200)):
+        monkeypatch.setattr(boost, "MAX_CELLS", cells)
+        cv = cross_validate(noisy, "y", ["cat", "x"], grid, together=together, **args).collect()
+        for r in cv:
+            got = (r["bestIteration"], r["rounds"], r["bestCvrmse"], r["bestCvrmse_test"])
+            assert got[:2] == want[r["paramsNum"]][:2] and np.allclose(got[2:], want[r["paramsNum"]][2:], atol=1e-9), (got, want[r["paramsNum"]])
+
+
 def test_cv_table_and_grid(spark, boost_data):
     g = param_grid(spark, eta=[0.1, 0.3], max_depth=[1, 2], subsample=[1.0], colsample_bytree=[1.0])
     got = sorted((r["paramsNum"], r["eta"], r["max_depth"]) for r in g.collect())

@@ -1,8 +1,11 @@
 import os
+import random
 import tempfile
 
+import pytest
+
 from reviewlab.sources import describe_schema, read_reviews, summarise
-from reviewlab.sources.csv import REVIEW_SCHEMA
+from reviewlab.sources.csv import REVIEW_SCHEMA, read_records
 from pyspark.sql import types as T
 
 CSV = ',Clothing ID,Age,Title,Review Text,Rating\n' \
@@ -27,6 +30,65 @@ def test_csv_scan(spark):
     assert rows[0]["clothing_id"] == 767 and rows[1]["rating"] == 5
 
 
+def whole_file_scan(spark, path, schema):
+    """The same file as one task reads it, by Spark's own quoted scan."""
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    df = (spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"')
+          .option("emptyValue", "").schema(raw).csv(path))
+    return sorted([tuple((x or "") if f.name in ("title", "review_text", "devision", "department", "class") else x for f, x in zip(schema, r))
+                   for r in df.collect()], key=str)
+
+
+@pytest.mark.parametrize("split_bytes, end", [(37, "\n"), (200, "\n"), (5000, "\r\n"), (1 << 20, "\n")])
+def test_split_csv_is_the_whole_scan(spark, split_bytes, end):
+    rng = random.Random(split_bytes)
+    words = ['plain', 'a,b', 'two\nlines', '"quoted"', 'é日', '', 'three\n\nlines "', "it's", 'end\n', '\nstart', 'long ' * 30]
+
+    def field(x):
+        return '"' + x.replace('"', '""') + '"' if x == "" or any(c in x for c in ',"\n') else x
+
+    d = tempfile.mkdtemp(prefix="reviewlab-csv-")
+    for k in range(3):
+        with open(os.path.join(d, f"r{k}.csv"), "w", newline="") as f:
+            f.write(',"Clothing\nID",Age,Title,Review Text,Rating' + end)
+            for i in range(120):
+                row = [str(1000 * k + i), str(i % 9), "", field(rng.choice(words)), field(" ".join(rng.choices(words, k=3))), str(i % 5)]
+                f.write(",".join(row) + end)
+                if i % 40 == 39:
+                    f.write(end)
+    schema = T.StructType(REVIEW_SCHEMA.fields[:6])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = read_reviews(spark, d, schema, na_text=None)
+        assert split_bytes > 5000 or read_records(spark, d).select("split").distinct().count() > 3
+        rows = [tuple(None if x is None else str(x) if not isinstance(x, str) else x for x in r) for r in got.collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(rows, key=str) == whole_file_scan(spark, d, schema) and len(rows) == 360
+
+
+def test_bad_records_and_odd_files(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="reviewlab-csv-")
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("x,y,z\n1,2,few\n1,2,3,4,5,6,7,many\n5,6,7,t,r,4\n")
+    schema = T.StructType(REVIEW_SCHEMA.fields[:6])
+    bad = {r["v1"]: r["bad"] for r in read_reviews(spark, d, schema, bad_record="bad").orderBy("rating").collect() if r["bad"] is None or "few" in r["bad"]}
+    assert bad == {1: "1,2,few", 5: None}
+    empty = os.path.join(tempfile.mkdtemp(prefix="reviewlab-csv-"), "e.csv")
+    open(empty, "w").close()
+    assert read_reviews(spark, empty, schema).count() == 0
+    import reviewlab.sources.csv as scan
+    open_quote = os.path.join(tempfile.mkdtemp(prefix="reviewlab-csv-"), "q.csv")
+    with open(open_quote, "w") as f:
+        f.write('h\n1,"never closed\n' + "x\n" * 100)
+    monkeypatch.setattr(scan, "MAX_RECORD_BYTES", 50)
+    with pytest.raises(Exception, match="is a quote missing"):
+        read_reviews(spark, open_quote, schema).count()
+
+
 def test_describe_schema(spark):
     df = spark.createDataFrame([(1, "a")], "v1 bigint, title string")
     got = [tuple(r) for r in describe_schema(df).collect()]
