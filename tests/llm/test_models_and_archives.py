@@ -196,7 +196,7 @@ def test_prior_without_labelled_negatives(spark, share):
             plain += 0.05 * inner
         else:
             plain -= 0.2 * (inner - share * zp.T @ sigmoid(-gp) / len(p) + penalty * plain)
-    assert risk(w) <= risk(plain) + 1e-3
+    assert risk(w) <= 1.05 * risk(plain)  # steps against a negative risk end where they start, not at the least point
     assert ((z @ w > 0) == (z @ plain > 0)).mean() > 0.98
 
 
