@@ -46,6 +46,8 @@ from reviewlab.operators.util import cut_lineage
 NODE_SLOTS_MAX_DEPTH = 12
 #: histogram cells (a gradient and a hessian sum each) that a task holds at once
 MAX_CELLS = 1 << 23
+#: nodes of a level from which on siblings are had by subtraction; for fewer, the joins cost more than they save
+SUBTRACT_NODES = 1 << 15
 #: margins (models by classes) that a row carries at once in a cross-validation
 MAX_MARGINS = 512
 #: rounds between cuts of the lineage
@@ -199,9 +201,13 @@ def _cells(rows: DataFrame, models: list[_Model], live: list[int], K: int, binni
     feature = np.repeat(np.arange(n_feat), slots)
     code = np.arange(sum(slots)) - np.repeat(offset, slots) - 1
     total, is_cat = sum(slots), np.array(binning.is_cat, bool)
-    place: dict[int, np.ndarray] = {}
+    # nodes of a tree lie together: their first place, and each node's among them
+    place: dict[int, tuple[int, np.ndarray]] = {}
+    size: dict[int, int] = {}
     for i, (j, node) in enumerate(todo):
-        place.setdefault(j, np.full(2 ** (level + 1) - 1, -1, np.int64))[node] = i
+        _, nodes = place.setdefault(j, (i, np.full(2 ** (level + 1) - 1, -1, np.int64)))
+        nodes[node] = size.get(j, 0)
+        size[j] = size.get(j, 0) + 1
     sent = rows.sparkSession.sparkContext.broadcast((trees.feat, trees.cut) if trees is not None else None)
     J = len(models) * K
     schema = "j int, node int, f int, bin int, G double, H double"
@@ -236,16 +242,15 @@ def _cells(rows: DataFrame, models: list[_Model], live: list[int], K: int, binni
                     if level == 0:
                         roots[0, j] += g.sum()
                         roots[1, j] += h.sum()
-                        slot = np.zeros(len(drawn), np.int64) + place[j][0]
+                        slot, xk = np.zeros(len(drawn), np.int64), x
                     else:
-                        slot = place[j][_walk(x, sent.value[0][j], sent.value[1][j], is_cat, level)]
+                        slot = place[j][1][_walk(x, sent.value[0][j], sent.value[1][j], is_cat, level)]
                         keep = slot >= 0
                         slot, g, h, xk = slot[keep], g[keep], h[keep], x[keep]
-                    xk = x if level == 0 else xk
-                    for f in chosen[j]:
-                        cell = slot * total + offset[f] + 1 + xk[:, f]
-                        for a, v in zip(acc, (g, h)):
-                            a += np.bincount(cell, v, len(todo) * total).reshape(len(todo), total)
+                    fs, n = chosen[j], size[j]
+                    cell = (slot[:, None] * total + offset[fs] + 1 + xk[:, fs]).ravel()
+                    for a, v in zip(acc, (g, h)):
+                        a[place[j][0]:place[j][0] + n] += np.bincount(cell, np.repeat(v, len(fs)), n * total).reshape(n, total)
         at, cell = np.nonzero(acc[1])
         of = np.array(todo, np.int64).reshape(-1, 2)[at]
         parts = [(of[:, 0], of[:, 1], feature[cell], code[cell], acc[0][at, cell], acc[1][at, cell])]
@@ -321,17 +326,22 @@ def _grow(rows: DataFrame, models: list[_Model], live: list[int], K: int, binnin
         for i in range(0, len(todo), most):
             part = _cells(rows, models, live, K, binning, trees, level, todo[i:i + most], chosen, losses and level == 0 and i == 0)
             hist = part if hist is None else hist.unionByName(part)
+        nodes = len(todo)
         if parents is not None:
-            hist = _children(parents, hist)
-        hist = hist.persist()
-        found = _best_splits(hist.where("f >= 0"), binning.is_cat, first.lam, first.gamma, first.min_child_weight)
-        extra = hist.where("f < 0").select("j", "node", "f", "bin", F.lit(0.0).alias("gain"), "H", "G", F.lit(0.0).alias("GL"), F.lit(0.0).alias("HL"))
-        splitting = []
-        rows_of = found.unionByName(extra).collect()      # a row a node, and the sums of roots and losses
+            hist, nodes = _children(parents, hist), 2 * nodes
+        keep = level == 0 or 2 * nodes >= SUBTRACT_NODES      # read again, below or by the next level
+        if keep:
+            hist = hist.persist()
+        best = _best_splits(hist.where("f >= 0"), binning.is_cat, first.lam, first.gamma, first.min_child_weight)
+        if level == 0:
+            zero = [F.lit(0.0).alias(c) for c in ("gain", "GL", "HL")]
+            best = best.unionByName(hist.where("f < 0").select("j", "node", "f", "bin", "G", "H", *zero))
+        found = best.collect()      # a row a node, and the sums of roots and losses
         if last is not None:
             last.unpersist()
-        last = hist
-        for s in rows_of:
+        last = hist if keep else None
+        splitting = []
+        for s in found:
             j, node = s["j"], s["node"]
             if s["f"] == -1:
                 sums[j][0] = (s["G"], s["H"])
@@ -343,12 +353,15 @@ def _grow(rows: DataFrame, models: list[_Model], live: list[int], K: int, binnin
                 sums[j][2 * node + 1] = (s["GL"], s["HL"])
                 sums[j][2 * node + 2] = (s["G"] - s["GL"], s["H"] - s["HL"])
                 if level + 1 < models[j // K].params.max_depth:
-                    splitting.append((j, node, 2 * s["HL"] <= s["H"]))
-        todo = [(j, 2 * node + 1 if left else 2 * node + 2) for j, node, left in splitting]
-        if todo:
-            spark = rows.sparkSession
-            heavy = spark.createDataFrame([(j, node, 2 * node + 2 if left else 2 * node + 1) for j, node, left in splitting], "j int, node int, sibling int")
-            parents = hist.where("f >= 0").join(heavy, ["j", "node"]).select("j", F.col("sibling").alias("node"), "f", "bin", "G", "H")
+                    light = 2 * node + 1 if 2 * s["HL"] <= s["H"] else 2 * node + 2
+                    splitting.append((j, node, light, 4 * node + 3 - light))
+        parents = None
+        if 2 * len(splitting) < SUBTRACT_NODES:
+            todo = sorted((j, child) for j, _, light, heavy in splitting for child in (light, heavy))
+            continue
+        todo = sorted((j, light) for j, _, light, _ in splitting)
+        siblings = rows.sparkSession.createDataFrame([(j, node, heavy) for j, node, _, heavy in splitting], "j int, node int, sibling int")
+        parents = hist.where("f >= 0").join(siblings, ["j", "node"]).select("j", F.col("sibling").alias("node"), "f", "bin", "G", "H")
     if last is not None:
         last.unpersist()
     leaves: list[dict] = [{} for _ in range(J)]

@@ -26,12 +26,12 @@ from reviewlab.operators.best import fit_best
 from reviewlab.operators.tree import fit_tree, predict_tree
 from reviewlab.operators.clean import complete_rows, score_window, with_age_band
 from reviewlab.operators.util import cut_lineage
-from reviewlab.plans.q_models import TREE_FEATURES
+from reviewlab.plans.q_models import AGE_ORDER, TREE_FEATURES
 from reviewlab.plans.queries import KEYS10
 from reviewlab.sources.fixtures import Lexicons
 
 
-def _grid(spark, etas=(0.02, 0.1), depths=(2, 3)):
+def _grid(spark, etas=(0.02, 0.06, 0.1), depths=(2, 5, 10)):
     return param_grid(spark, eta=list(etas), max_depth=list(depths), subsample=[0.6],
                       colsample_bytree=[0.6])
 
@@ -45,7 +45,7 @@ def _tree_part(df: DataFrame, seed: int = 22):
 
 
 def polarity_three_bands(spark: SparkSession, reviews: DataFrame, lx: Lexicons,
-                         rounds: int = 5, grid: DataFrame | None = None) -> dict:
+                         rounds: int = 5, grid: DataFrame | None = None, patience: int = 10) -> dict:
     """Flow A: tree; one-lexicon sentiment; chi-square and class means;
     boosted trees on three rating bands; metrics over those bands."""
     df = with_age_band(complete_rows(reviews))
@@ -58,18 +58,18 @@ def polarity_three_bands(spark: SparkSession, reviews: DataFrame, lx: Lexicons,
     s3 = s.withColumn("rating", rating_band("rating"))
     feats = ["recommended", "age", "age_div", "positive_feedback", "devision", "class",
              "department", "sum_sent"]
-    out.update(_boosted_part(spark, s3, feats, rounds, grid, num_class=4, labels=[1, 2, 3]))
+    out.update(_boosted_part(spark, s3, feats, rounds, grid, num_class=4, labels=[1, 2, 3], patience=patience))
     return out
 
 
-def _boosted_part(spark, df, feats, rounds, grid, num_class, labels):
+def _boosted_part(spark, df, feats, rounds, grid, num_class, labels, patience):
     # read by the CV, the final fit and the prediction: materialise once
     s = cut_lineage(df if "split" in df.columns else split_exact(df, "v1", 0.8, seed=22))
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     grid = grid if grid is not None else _grid(spark)
-    cv = cross_validate(train, "rating", feats, grid, rounds=rounds, k=5, patience=10,
-                        num_class=num_class)
-    model = fit_best(train, "rating", feats, cv, num_class=num_class)
+    cv = cross_validate(train, "rating", feats, grid, rounds=rounds, k=5, patience=patience,
+                        num_class=num_class, ordered=AGE_ORDER)
+    model = fit_best(train, "rating", feats, cv, num_class=num_class, ordered=AGE_ORDER)
     pred = predict_boosted(model, test, keep=["v1", "rating"])
     cm = confusion(pred, "rating", "prediction", labels=labels)
     met = class_metrics(cm)
@@ -78,7 +78,7 @@ def _boosted_part(spark, df, feats, rounds, grid, num_class, labels):
 
 
 def rebalanced_five_classes(spark: SparkSession, reviews: DataFrame, lx: Lexicons,
-                            rounds: int = 5, grid: DataFrame | None = None) -> dict:
+                            rounds: int = 5, grid: DataFrame | None = None, patience: int = 10) -> dict:
     """Flow B: tree; sentence and two-lexicon sentiment; split; SMOTE on
     the training part only; densities; boosted trees on 5 classes without
     ``recommended``; F1 of tree and boosted model side by side."""
@@ -105,9 +105,9 @@ def rebalanced_five_classes(spark: SparkSession, reviews: DataFrame, lx: Lexicon
     feats = ["age", "age_div", "positive_feedback", "devision", "class", "department",
              "sum_sents", "sum_senta", "sum_sentb"]
     grid = grid if grid is not None else _grid(spark)
-    cv = cross_validate(train3, "rating", feats, grid, rounds=rounds, k=5, patience=10,
-                        num_class=6)
-    model = fit_best(train3, "rating", feats, cv, num_class=6)
+    cv = cross_validate(train3, "rating", feats, grid, rounds=rounds, k=5, patience=patience,
+                        num_class=6, ordered=AGE_ORDER)
+    model = fit_best(train3, "rating", feats, cv, num_class=6, ordered=AGE_ORDER)
     pred = predict_boosted(model, test, keep=["v1", "rating"])
     met = class_metrics(confusion(pred, "rating", "prediction", labels=[1, 2, 3, 4, 5]))
     out.update({"cv": cv, "boosted_metrics": met,
@@ -117,7 +117,7 @@ def rebalanced_five_classes(spark: SparkSession, reviews: DataFrame, lx: Lexicon
 
 
 def stacked(spark: SparkSession, reviews: DataFrame, lx: Lexicons, net_rows: DataFrame,
-            net_model, rounds: int = 5, grid: DataFrame | None = None) -> dict:
+            net_model, rounds: int = 5, grid: DataFrame | None = None, patience: int = 10) -> dict:
     """Flow C: the net's predicted class as column ``review_vector``, then
     tree, sentiment and boosted trees with that column; F1 side by side. The
     net's split travels with the rows, so that no row the net has learnt from
@@ -132,7 +132,7 @@ def stacked(spark: SparkSession, reviews: DataFrame, lx: Lexicons, net_rows: Dat
                          keys=KEYS10 + ["review_vector", "split", "sum_sents"])
     feats = ["recommended", "age", "age_div", "positive_feedback", "devision", "class",
              "department", "review_vector", "sum_senta", "sum_sentb", "sum_sents"]
-    out = _boosted_part(spark, s, feats, rounds, grid, num_class=6, labels=[1, 2, 3, 4, 5])
+    out = _boosted_part(spark, s, feats, rounds, grid, num_class=6, labels=[1, 2, 3, 4, 5], patience=patience)
     out["tree_metrics"], out["rows"] = tree_met, s
     out["f1"] = compare_f1(tree_met, out["boosted_metrics"], "tree", "boosted")
     return out

@@ -311,7 +311,7 @@ def test_grid_rows_together_are_each_alone(spark, boost_data, monkeypatch):
     rng = np.random.default_rng(8)
     noisy = spark.createDataFrame([(i, "abcd"[rng.integers(4)], float(rng.integers(12)), int(rng.integers(3))) for i in range(160)],
                                   "v1 long, cat string, x double, y int")
-    grid = param_grid(spark, eta=[0.1, 0.9], max_depth=[1, 4], subsample=[0.8], colsample_bytree=[0.6])
+    grid = param_grid(spark, eta=[0.1, 0.9], max_depth=[1, 3], subsample=[0.8], colsample_bytree=[0.6])
     args = dict(rounds=7, k=2, patience=2, num_class=3)
     binning = boost.fit_binning(noisy, ["cat", "x"])
     rows = [tuple(r) for r in boost._prepare(folds(noisy, "v1", 2, 22), "y", "v1", binning, [0, 1, 2], F.col("fold"), 1)
@@ -329,8 +329,9 @@ def test_grid_rows_together_are_each_alone(spark, boost_data, monkeypatch):
                 break
         want[g["paramsNum"]] = (best[1], r, *mean[best[1] - 1])
     assert len({w[1] for w in want.values()}) > 1 and min(w[1] for w in want.values()) < 7     # some stop early
-    for together, cells in ((None, boost.MAX_CELLS), (1, 200)):
+    for together, cells, nodes in ((None, boost.MAX_CELLS, boost.SUBTRACT_NODES), (3, 200, 1)):
         monkeypatch.setattr(boost, "MAX_CELLS", cells)
+        monkeypatch.setattr(boost, "SUBTRACT_NODES", nodes)
         cv = cross_validate(noisy, "y", ["cat", "x"], grid, together=together, **args).collect()
         for r in cv:
             got = (r["bestIteration"], r["rounds"], r["bestCvrmse"], r["bestCvrmse_test"])
