@@ -44,51 +44,55 @@ MAX_RECORD_BYTES = 64 << 20
 _PIECES = "file string, split long, n long, kind string, text string"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(most: int):
     """Lines of splits, in order, to records (kind ``record``) and pieces: the
     end of a record begun before (``end``), a split that lies all within one
-    (``inside``), the start of one that goes on (``start``)."""
-    out: list[tuple] = []
-    at, held, size, inside, begun_before, n = None, [], 0, False, False, 0
-
-    def put(kind: str) -> None:
-        nonlocal held, size, n
-        text = "\n".join(held)
-        held, size = [], 0
-        if kind != "record" or text.strip():      # blank lines are no records
-            out.append((*at, n, kind, text))
-            n += 1
-
-    def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                                          ["file", "split", "n", "kind", "text"])
-        out.clear()
-        return made
-
-    for b in batches:
-        for file, split, odd, line in zip(*(b.column(c).to_pylist() for c in ("file", "split", "odd", "value"))):
-            if (file, split) != at:
-                if held:
-                    put("inside" if begun_before else "start")
-                at, inside, begun_before, n = (file, split), bool(odd), bool(odd), 0
-            held.append(line)
-            size += len(line)
-            if size > MAX_RECORD_BYTES:
-                raise ValueError(f"{file}: a record of more than {MAX_RECORD_BYTES} bytes near byte {split}; is a quote missing?")
-            if line.count('"') % 2:
-                inside = not inside
-            if not inside:
-                put("end" if begun_before else "record")
-                begun_before = False
-        if len(out) > 10_000:
+    (``inside``), the start of one that goes on (``start``). A record of more
+    than ``most`` bytes is an error."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        at, held, size, inside, begun_before, n = None, [], 0, False, False, 0
+
+        def put(kind: str) -> None:
+            nonlocal held, size, n
+            text = "\n".join(held)
+            held, size = [], 0
+            if kind != "record" or text.strip():      # blank lines are no records
+                out.append((*at, n, kind, text))
+                n += 1
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                                              ["file", "split", "n", "kind", "text"])
+            out.clear()
+            return made
+
+        for b in batches:
+            for file, split, odd, line in zip(*(b.column(c).to_pylist() for c in ("file", "split", "odd", "value"))):
+                if (file, split) != at:
+                    if held:
+                        put("inside" if begun_before else "start")
+                    at, inside, begun_before, n = (file, split), bool(odd), bool(odd), 0
+                held.append(line)
+                size += len(line)
+                if size > most:
+                    raise ValueError(f"{file}: a record of more than {most} bytes near byte {split}; is a quote missing?")
+                if line.count('"') % 2:
+                    inside = not inside
+                if not inside:
+                    put("end" if begun_before else "record")
+                    begun_before = False
+            if len(out) > 10_000:
+                yield batch()
+        if held:
+            put("inside" if begun_before else "start")
+        if out:
             yield batch()
-    if held:
-        put("inside" if begun_before else "start")
-    if out:
-        yield batch()
 
+    return run
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+
+def read_records(spark: SparkSession, path: str, max_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """(file, split, n, text): the records of CSV file(s) as text, quoted line
     ends included, without the files' header records. Files are cut into byte
     splits as Spark cuts text files (compressed ones aren't cut).
@@ -111,7 +115,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     met = numbered.join(small, on, "left").select("file", "split", "row", F.coalesce("odd", F.lit(0)).alias("odd"), "value")
     if small is starts:
         met = met.repartition("file", "split").sortWithinPartitions("file", "split", "row")
-    pieces = cut_lineage(met.drop("row").mapInArrow(_pieces, _PIECES))
+    pieces = cut_lineage(met.drop("row").mapInArrow(_pieces(max_bytes), _PIECES))
     parts = pieces.where("kind <> 'record'")
     number = F.sum((F.col("kind") == "start").cast("int")).over(Window.partitionBy("file").orderBy("split", "n"))   # at most two rows a split
     joined = (parts.withColumn("number", number).groupBy("file", "number")
