@@ -40,7 +40,7 @@ SHARD = 256
 #: BM25 parameters
 K1, B = 1.2, 0.75
 #: pieces of text whose ids a task remembers
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 #: the pattern that byte-level BPE files of this kind split text by (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

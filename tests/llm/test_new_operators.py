@@ -152,7 +152,7 @@ def odd_texts():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 900, "STEP": 300, "WIDE": 6, "NEAR": 1, "REMEMBERED": 40}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 900, "STEP": 300}])
 def test_alignment_of_odd_texts(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(align, k, v)
@@ -162,8 +162,11 @@ def test_alignment_of_odd_texts(spark, monkeypatch, limits):
     assert {r[0]: tuple(r[1:]) for r in got} == plain_alignment(docs) and len(got) == len(docs)
 
 
-def test_alignment_of_parts_is_of_whole_texts():
+@pytest.mark.parametrize("limits", [{}, {"WIDE": 6, "NEAR": 1, "REMEMBERED": 2}])
+def test_alignment_of_parts_is_of_whole_texts(monkeypatch, limits):
     """Also where no text is cut, and where what is remembered is forgotten between steps."""
+    for k, v in limits.items():
+        monkeypatch.setattr(align, k, v)
     texts = [t for _, t in odd_texts()]
     cut, whole = align.Parts(align.Tokenizers(FILE, MODEL)), align.Parts(align.Tokenizers(FILE, MODEL))
     whole.of.whole = True
