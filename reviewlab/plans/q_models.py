@@ -40,6 +40,94 @@ def q_tree_nodes(spark, sf):
     return tree_nodes(m, spark)
 
 
+#: levels of the tree that the twin grows, and the levels of a category up to which it tries all partitions
+TWIN_DEPTH, TWIN_EXHAUSTIVE = 3, 10
+
+
+def _levels_sql(depth: int = TWIN_DEPTH, exhaustive: int = TWIN_EXHAUSTIVE, cp: float = 0.001) -> str:
+    """The unpruned tree of the first levels, level by level: all partitions of
+    a category's levels (or cuts of their order by each class's share) with the
+    Gini gain of each, and rows moved by the best one; a row without a value
+    (an age between two bands) by the surrogates. A node is named by its way
+    from the root, as in 1, 1L, 1LR."""
+    values = ", ".join(f"cast({c} as varchar)" for c in TREE_FEATURES)
+    per_class = lambda e: "[" + ", ".join(f"coalesce(sum(n) filter (where {e.format(k)}), 0)" for k in range(1, 6)) + "]"
+    squares = lambda c: f"list_sum(list_transform({c}, lambda v: v * v * 1.0))"
+    both = "list_transform(list_zip(cl, cr), lambda p: coalesce(p[1], 0) + coalesce(p[2], 0))"
+    out = [f"""
+, cut as (select *, row_number() over (order by md5('22-' || cast(v1 as varchar)), v1) <= ceil(0.8 * count(*) over ()) as train from complete)
+, r0 as (select v1, '1' as node, rating as y, [{values}] as x from cut where train)
+, root as (select {cp} * (count(*) - (select max(n) from (select count(*) as n from r0 group by y))) as floor_ from r0)"""]
+    for d in range(depth + 1):
+        out.append(f"""
+, n{d} as (select node, sum(n) as n, {per_class("y = {}")} as c from (select node, y, count(*) as n from r{d} group by all) group by node)""")
+        if d == depth:
+            break
+        out.append(f"""
+, v{d} as (select node, f, lv, sum(n) as n, {per_class("y = {}")} as c
+           from (select node, y, f, lv, count(*) as n
+                 from (select node, y, unnest(range({len(TREE_FEATURES)})) as f, unnest(x) as lv from r{d}) where lv is not null group by all)
+           group by node, f, lv)
+, p{d} as (select v.*, row_number() over (partition by v.node, f order by lv) - 1 as pos, count(*) over (partition by v.node, f) as m
+           from v{d} v join n{d} t using (node), root where t.n >= 20 and t.n - list_max(t.c) > floor_)
+, o{d} as (select *, row_number() over (partition by node, f, k order by c[k + 1] / n, pos) - 1 as spot
+           from (select *, unnest(range(5)) as k from p{d} where m > {exhaustive}))
+, s{d} as (select node, f, ord, lv, n, c, pos, pos = 0 or (ord >> (pos - 1)) & 1 = 1 as is_left
+           from (select *, unnest(range((1 << (m - 1)) - 1)) as ord from p{d} where m between 2 and {exhaustive})
+           union all
+           select node, f, k * 1000 + cut, lv, n, c, pos, spot <= cut from (select *, unnest(range(m - 1)) as cut from o{d}))
+, g{d} as (select node, f, ord, sum(n) filter (where is_left) as nl, sum(n) filter (where not is_left) as nr,
+                  {"[" + ", ".join(f"sum(c[{k}]) filter (where is_left)" for k in range(1, 6)) + "]"} as cl,
+                  {"[" + ", ".join(f"sum(c[{k}]) filter (where not is_left)" for k in range(1, 6)) + "]"} as cr,
+                  list(lv order by pos) filter (where is_left) as a, list(lv order by pos) filter (where not is_left) as b
+           from s{d} group by node, f, ord)
+, b{d} as (select node, f, gain, case when a[1] < b[1] then a else b end as lefts
+           from (select g.node, f, a, b, gain, row_number() over (partition by g.node order by gain desc, f, ord) as rn
+                 from (select g.*, round({squares("cl")} / nl + {squares("cr")} / nr - {squares(both)} / (nl + nr), 6) as gain
+                       from g{d} g where nl >= 7 and nr >= 7) g where gain > 0) where rn = 1)
+, w{d} as (select v1, node, f, y, x, case when x[f + 1] is null then null when list_contains(lefts, x[f + 1]) then 'L' else 'R' end as way
+           from r{d} join b{d} using (node))
+, t{d} as (select node, count(*) filter (where way = 'L') as wl, count(*) filter (where way = 'R') as wr from w{d} group by node)
+, q{d} as (select node, g, lv, count(*) filter (where way = 'L') as cl, count(*) filter (where way = 'R') as cr
+           from (select node, f, way, unnest(range({len(TREE_FEATURES)})) as g, unnest(x) as lv from w{d} where way is not null)
+           where g <> f and lv is not null group by node, g, lv)
+, k{d} as (select node, g, row_number() over (partition by node order by agree desc, g) as rank
+           from (select node, g, sum(greatest(cl, cr)) + case when wr > wl then wr - sum(cr) else wl - sum(cl) end as agree, greatest(wl, wr) as most,
+                        coalesce(sum(cl + cr) filter (where cl > cr), 0) as nl, coalesce(sum(cl + cr) filter (where cl <= cr), 0) as nr
+                 from q{d} join t{d} using (node) group by node, g, wl, wr) where agree > most and nl >= 2 and nr >= 2
+           qualify rank <= 5)
+, m{d} as (select v1, min_by(case when cl > cr then 'L' else 'R' end, rank) as way
+           from w{d} w join k{d} using (node) join q{d} q using (node, g) where w.way is null and q.lv = x[g + 1] group by v1)
+, r{d + 1} as (select v1, node || coalesce(w.way, m.way, case when wr > wl then 'R' else 'L' end) as node, y, x
+               from w{d} w join t{d} using (node) left join m{d} m using (v1))""")
+    names = "[" + ", ".join(f"'{c}'" for c in TREE_FEATURES) + "]"
+    rows = [f"select t.node, t.n, t.c, b.f, b.lefts, b.gain from n{d} t left join b{d} b using (node)" for d in range(depth)]
+    rows.append(f"select node, n, c, null, null, null from n{depth}")
+    out.append(f"""
+select node, cast(n as bigint) as n, cast(n - list_max(c) as bigint) as loss, list_position(c, list_max(c)) as class,
+       {names}[f + 1] as feature, array_to_string(lefts, ',') as lefts, gain
+from ({" union all ".join(rows)})""")
+    return "".join(out)
+
+
+@query("tree_levels", sql=_levels_sql())
+def q_tree_levels(spark, sf):
+    """Every node of the first levels of the tree before pruning: rows, errors,
+    class, split feature, its left levels and Gini gain."""
+    s = _split(spark, sf).where("split = 'train'")
+    m = fit_tree(s, "rating", TREE_FEATURES, cp=0.001, max_depth=TWIN_DEPTH, categorical=TREE_FEATURES, exhaustive=TWIN_EXHAUSTIVE)
+    way, rows = {0: "1"}, []
+    for n in m.nodes:
+        feature = lefts = gain = None
+        if n["leftChild"] >= 0:
+            way[n["leftChild"]], way[n["rightChild"]] = way[n["id"]] + "L", way[n["id"]] + "R"
+            r = n["rules"][0]
+            feature, gain = TREE_FEATURES[r.feature], n["gain"]
+            lefts = ",".join(m.binning.levels[feature][c] for c in r.left)
+        rows.append((way[n["id"]], int(n["n"]), int(n["err"]), int(m.labels[n["cls"]]), feature, lefts, gain))
+    return spark.createDataFrame(rows, "node string, n long, loss long, class int, feature string, lefts string, gain double")
+
+
 @query("tree_predictions")
 def q_tree_predictions(spark, sf):
     s, m = _tree(spark, sf)

@@ -47,6 +47,149 @@ def test_tree_fits_a_clean_rule(spark):
     assert nodes[0]["n"] == 120
 
 
+def _plain_tree(rows, is_cat, cp, min_bucket, min_split):
+    """CART on lists of (values, class): dict way -> (counts, split, surrogates, majority); values None are missing."""
+    K = max(y for _, y in rows) + 1
+
+    def counts(part):
+        return [sum(1 for _, y in part if y == k) for k in range(K)]
+
+    def gini(c):
+        return sum(c) - sum(v * v for v in c) / sum(c) if sum(c) else 0.0
+
+    def candidates(f, part):
+        values = sorted({x[f] for x, _ in part if x[f] is not None})
+        if is_cat[f]:
+            for m in range((1 << max(0, len(values) - 1)) - 1):
+                yield {v for j, v in enumerate(values) if j == 0 or m >> (j - 1) & 1}, set(values)
+        else:
+            for v in values[:-1]:
+                yield v, None
+
+    def side(split, x):
+        f, cut, known = split[:3]
+        if x[f] is None or (known is not None and x[f] not in known):
+            return None
+        left = x[f] in cut if known is not None else (x[f] <= cut) != (len(split) > 3)
+        return "L" if left else "R"
+
+    def surrogates(part, split):
+        part = [(x, side(split, x)) for x, _ in part if side(split, x)]
+        whole = {d: sum(1 for _, w in part if w == d) for d in "LR"}
+        major = "R" if whole["R"] > whole["L"] else "L"
+        found = []
+        for f in range(len(is_cat)):
+            if f == split[0]:
+                continue
+            values = sorted({x[f] for x, _ in part if x[f] is not None})
+            if is_cat[f]:
+                to = {v: [sum(1 for x, w in part if x[f] == v and w == d) for d in "LR"] for v in values}
+                tries = [(f, {v for v in values if to[v][0] > to[v][1]}, set(values))]
+            else:
+                tries = [t for v in values[:-1] for t in ((f, v, None), (f, v, None, "turned"))]
+            best = None
+            for t in tries:
+                ways = [(side(t, x), w) for x, w in part]
+                agree = sum(1 for a, w in ways if (a or major) == w)
+                bare = sum(1 for a, w in ways if a == w)
+                if best is None or bare > best[0]:
+                    best = bare, agree, t, min(sum(1 for a, _ in ways if a == d) for d in "LR")
+            if best and best[1] > max(whole.values()) and best[3] >= 2:
+                found.append((-best[1], f, best[2]))
+        return [t for _, _, t in sorted(found, key=lambda t: t[:2])[:5]], major
+
+    def way(node, x):
+        for split in [node[1], *node[2]]:
+            if side(split, x):
+                return side(split, x)
+        return node[3]
+
+    root = counts(rows)
+    limit, out, todo = cp * (sum(root) - max(root)), {}, [("", rows)]
+    while todo:
+        name, part = todo.pop()
+        c = counts(part)
+        best = None
+        if sum(c) >= min_split and sum(c) - max(c) > limit:
+            for f in range(len(is_cat)):
+                known = [(x, y) for x, y in part if x[f] is not None]
+                for cut, values in candidates(f, part):
+                    a = [(x, y) for x, y in known if side((f, cut, values), x) == "L"]
+                    b = [(x, y) for x, y in known if side((f, cut, values), x) == "R"]
+                    if min(len(a), len(b)) < min_bucket:
+                        continue
+                    gain = round(gini(counts(known)) - gini(counts(a)) - gini(counts(b)), 6)
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = gain, (f, cut, values)
+        if best is None:
+            out[name] = (c, None, [], None)
+            continue
+        others, major = surrogates(part, best[1])
+        out[name] = node = (c, best[1], others, major)
+        for d in "LR":
+            todo.append((name + d, [(x, y) for x, y in part if way(node, x) == d]))
+
+    def leaf(x):
+        name = ""
+        while out[name][1]:
+            name += way(out[name], x)
+        return name
+    return out, leaf
+
+
+def test_tree_is_the_plain_one(spark):
+    """Same nodes, and the same leaf for rows with missing and unknown values."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        a, g = int(rng.integers(0, 9)), "pqrst"[rng.integers(0, 5)]
+        h = {"p": "u", "q": "u"}.get(g, "v") if rng.random() < 0.9 else "w"
+        b = a + float(rng.integers(0, 3))
+        y = (a > 4) + (g in "pr") if rng.random() < 0.85 else int(rng.integers(0, 3))
+        drop = lambda v, p: None if rng.random() < p else v
+        rows.append((i, drop(a, 0.15), drop(g, 0.15), drop(h, 0.1), drop(b, 0.1), int(y)))
+    schema = "v1 long, a int, g string, h string, b double, y int"
+    df = spark.createDataFrame(rows, schema)
+    m = fit_tree(df, "y", ["a", "g", "h", "b"], cp=0.001)
+    plain, leaf = _plain_tree([(r[1:5], r[5]) for r in rows], [False, True, True, False], 0.001, 7, 20)
+    names = {0: ""}
+    for n in m.nodes:
+        if n["leftChild"] >= 0:
+            names[n["leftChild"]], names[n["rightChild"]] = names[n["id"]] + "L", names[n["id"]] + "R"
+    assert {names[n["id"]]: n["impurityStats"] for n in m.nodes} == {k: v[0] for k, v in plain.items()}
+    assert any(v[2] for v in plain.values())  # some node has surrogates
+    by_name = {names[n["id"]]: n for n in m.nodes}
+
+    def expected(x):
+        name = leaf(x)
+        while not by_name[name]["kept"]:
+            name = name[:-1]
+        return int(m.labels[by_name[name]["cls"]])
+
+    odd = [(1000 + i, *x, 0) for i, x in enumerate([(None, None, None, None), (3, "new", "u", None), (None, "p", "zz", 2.5),
+                                                    (99, None, None, -7.0), (None, None, "v", 6.0), (4, "t", None, None)])]
+    got = {r["v1"]: r["prediction"] for r in predict_tree(m, spark.createDataFrame(rows + odd, schema)).collect()}
+    assert got == {r[0]: expected(r[1:5]) for r in rows + odd}
+
+
+def test_tree_grows_as_deep_as_it_pays(spark):
+    """Blocks of alternating classes, each half as long again as the one
+    before: every split peels one off."""
+    rows, x = [], 0
+    for b in range(18):
+        rows += [(x + i, b, b % 2) for i in range(int(10 * 1.35 ** b))]
+        x = len(rows)
+    df = spark.createDataFrame(rows, "v1 long, x int, y int")
+    m = fit_tree(df, "y", ["x"], cp=0.0005)
+    assert max(n["depth"] for n in m.nodes) > 12
+    assert predict_tree(m, df).where("y != prediction").count() == 0
+    assert sum(n["pruned_leaf"] for n in m.nodes) == 18
+    with pytest.raises(ValueError):
+        fit_tree(df, "y", ["x"], cp=0.0)
+    one = fit_tree(df.where("y = 1"), "y", ["x"])  # one class: the root alone
+    assert len(one.nodes) == 1 and predict_tree(one, df).where("prediction != 1").count() == 0
+
+
 def test_nearest_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(3)
     pts = rng.integers(0, 6, size=(60, 3)).astype(float)   # many ties and duplicates
