@@ -17,6 +17,7 @@ densified: a row is its list of word positions.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from dataclasses import dataclass
@@ -65,6 +66,20 @@ def _init(width, hidden, classes, seed):
     return ws
 
 
+def md5_weights(width: int, hidden=(16, 16), classes: int = 5, seed: int = 22) -> list:
+    """Weights and biases that any engine can draw again: parameter (i, j) of
+    layer l (1, 2, 3; a bias has i = -1) is the Glorot limit times 2u - 1, with
+    u the first 8 hexadecimal digits of md5('seed-l-i-j') over 2^32."""
+    sizes = [width, *hidden, classes]
+    ws = []
+    for layer, (a, b) in enumerate(zip(sizes[:-1], sizes[1:]), 1):
+        u = np.array([int(hashlib.md5(f"{seed}-{layer}-{i}-{j}".encode()).hexdigest()[:8], 16)
+                      for i in range(-1, a) for j in range(b)]).reshape(a + 1, b) / 2.0 ** 32
+        drawn = np.sqrt(6.0 / (a + b)) * (2 * u - 1)
+        ws += [drawn[1:], drawn[0]]
+    return ws
+
+
 def _forward(ws, idx_lists):
     W1, b1, W2, b2, W3, b3 = ws
     n = len(idx_lists)
@@ -89,9 +104,10 @@ LANES = 16
 GRAD_SCHEMA = "block long, " + ", ".join(f"g{i} double" for i in range(LANES))
 
 
-def gradient(ws, idx, y) -> np.ndarray:
+def gradient(ws, idx, y, into: np.ndarray | None = None) -> np.ndarray:
     """Summed gradient of the cross-entropy over rows, all parameters in one
-    vector, with the number of rows as last value."""
+    vector, with the number of rows as last value; added to ``into`` if given,
+    where only the first-layer rows of words that occur are touched."""
     W1, b1, W2, b2, W3, b3 = ws
     flat, owner, h1, h2, p = _forward(ws, idx)
     n = len(y)
@@ -99,10 +115,11 @@ def gradient(ws, idx, y) -> np.ndarray:
     d3[np.arange(n), y] -= 1.0
     d2 = (d3 @ W3.T) * (h2 > 0)
     d1 = (d2 @ W2.T) * (h1 > 0)
-    gW1 = np.zeros_like(W1)
-    np.add.at(gW1, flat, d1[owner])
-    parts = [gW1, d1.sum(axis=0), h1.T @ d2, d2.sum(axis=0), h2.T @ d3, d3.sum(axis=0)]
-    return np.concatenate([g.ravel() for g in parts] + [[float(n)]])
+    out = np.zeros(sum(w.size for w in ws) + 1) if into is None else into
+    np.add.at(out[:W1.size].reshape(W1.shape), flat, d1[owner])
+    rest = [d1.sum(axis=0), h1.T @ d2, d2.sum(axis=0), h2.T @ d3, d3.sum(axis=0), np.array([float(n)])]
+    out[W1.size:] += np.concatenate([g.ravel() for g in rest])
+    return out
 
 
 def _grad_fn(bc, idx_col, label_col):
@@ -111,8 +128,7 @@ def _grad_fn(bc, idx_col, label_col):
         total = None
         for pdf in batches:
             if len(pdf):
-                g = gradient(bc.value, list(pdf[idx_col]), pdf[label_col].to_numpy().astype(np.int64))
-                total = g if total is None else total + g
+                total = gradient(bc.value, list(pdf[idx_col]), pdf[label_col].to_numpy().astype(np.int64), total)
         if total is not None:
             # one emission a task: blocks of parameters that some row touched
             blocks = np.pad(total, (0, -len(total) % LANES)).reshape(-1, LANES)
@@ -121,6 +137,19 @@ def _grad_fn(bc, idx_col, label_col):
     return run
 
 
+def summed_gradient(df: DataFrame, ws: list, idx: str, label: str) -> np.ndarray:
+    """``gradient`` over all rows of ``df``: summed per parameter in Spark, so
+    at most the model's size comes back."""
+    bc = df.sparkSession.sparkContext.broadcast(ws)
+    g = (df.select(idx, label).mapInPandas(_grad_fn(bc, idx, label), T.StructType.fromDDL(GRAD_SCHEMA))
+         .groupBy("block").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(LANES)]).toPandas())
+    bc.unpersist()
+    n = sum(w.size for w in ws) + 1
+    total = np.zeros((-(-n // LANES), LANES))
+    total[g["block"].to_numpy(dtype=np.int64)] = g.iloc[:, 1:].to_numpy(dtype=float)
+    return total.ravel()[:n]
+
+
 def _score_fn(bc, idx_col, keep, classes):
     def run(batches):
         for pdf in batches:
@@ -148,7 +177,6 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
     by a hash of the key and written once, partitioned by step; each epoch
     visits the steps in an order of its own. The files are removed at the end."""
     spark = df.sparkSession
-    sc = spark.sparkContext
     steps = steps_per_epoch
     h = F.conv(F.substring(draw_hash(F.col(key), seed, "step"), 1, 8), 16, 10).cast("bigint")
     run_dir = os.path.join(ensure_checkpoint_dir(spark), f"mlp-{uuid.uuid4().hex}")
@@ -160,19 +188,10 @@ def fit_mlp(df: DataFrame, idx: str, label: str, width: int, key: str = "v1",
     sizes = [w.size for w in ws]
     offsets = np.cumsum([0] + sizes)
     history = []
-    out_schema = T.StructType.fromDDL(GRAD_SCHEMA)
     for epoch in range(1, epochs + 1):
         order = np.random.default_rng([seed, epoch]).permutation(steps).tolist()
         for step in order:
-            bc = sc.broadcast(ws)
-            # summed per parameter in Spark: at most the model size comes back
-            g = (data.where(F.col("__step") == step).select(idx, label)
-                 .mapInPandas(_grad_fn(bc, idx, label), out_schema)
-                 .groupBy("block").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(LANES)]).toPandas())
-            bc.unpersist()
-            total = np.zeros((-(-(offsets[-1] + 1) // LANES), LANES))
-            total[g["block"].to_numpy(dtype=np.int64)] = g.iloc[:, 1:].to_numpy(dtype=float)
-            total = total.ravel()
+            total = summed_gradient(data.where(F.col("__step") == step), ws, idx, label)
             m = total[offsets[-1]]
             if m == 0:
                 continue

@@ -14,6 +14,7 @@ from reviewlab.operators.metrics import class_metrics, confusion
 from reviewlab.operators.sampling import split_exact
 from reviewlab.operators.sentiment import review_sentiment
 from reviewlab.operators.tree import fit_tree, predict_tree, tree_nodes
+from reviewlab.plans.q_features import VOCAB_SQL
 from reviewlab.plans.queries import KEYS10, prepared, prepared_reviews
 from reviewlab.plans.registry import query
 
@@ -345,6 +346,86 @@ def q_stacked_column(spark, sf):
     return stack(rows.where("split = 'train'"), rows.where("split = 'test'"), m, "idx")
 
 
+def _given_net_sql(width: int = WIDTH, hidden: int = 16, classes: int = 5, seed: int = 22) -> str:
+    """Forward pass of the net with the weights of ``md5_weights`` on the
+    word positions of every review: hidden values, probabilities."""
+    sizes = [width, hidden, hidden, classes]
+    out = [VOCAB_SQL, """
+, idx as (select distinct t.v1, v.idx - 1 as i from (select v1, unnest(ws) as word from tv) t join vocab10k v using (word))
+, a0 as (select v1, i, 1.0 as a from idx)"""]
+    for n, (a, b) in enumerate(zip(sizes[:-1], sizes[1:]), 1):
+        act = "greatest(z, 0.0)" if n < 3 else "z"
+        out.append(f"""
+, w{n} as (select i, j, sqrt(6.0 / {a + b}) * (2 * cast('0x' || substr(md5('{seed}-{n}-' || i || '-' || j), 1, 8) as bigint) / 4294967296.0 - 1) as w
+           from (select unnest(range(-1, {a})) as i), (select unnest(range({b})) as j))
+, a{n} as (select v1, i, {act} as a
+           from (select v1, j as i, w + coalesce(s, 0) as z
+                 from (select v1, j, w from tv, w{n} where i = -1)
+                 left join (select v1, j, sum(a * w) as s from a{n - 1} join w{n} using (i) group by v1, j) using (v1, j)))""")
+    out.append("""
+, p as (select v1, i as k, exp(a - max(a) over (partition by v1)) / sum(exp(a - top)) over (partition by v1) as p
+        from (select *, max(a) over (partition by v1) as top from a3))
+""")
+    return "".join(out)
+
+
+GRADIENT_SQL = """
+, d3 as (select v1, k as i, p - cast(k = rating - 1 as int) as d from p join (select v1, rating from reviews) using (v1))
+, d2 as (select v1, w.i, sum(d * w) * cast(any_value(h.a) > 0 as int) as d
+         from d3 join w3 w on w.j = d3.i join a2 h using (v1) where h.i = w.i group by v1, w.i)
+, d1 as (select v1, w.i, sum(d * w) * cast(any_value(h.a) > 0 as int) as d
+         from d2 join w2 w on w.j = d2.i join a1 h using (v1) where h.i = w.i group by v1, w.i)
+select layer, cast(i as int) as i, cast(j as int) as j, round(g, 6) + 0.0 as grad from (
+  select 1 as layer, a.i, d.i as j, sum(a * d) as g from a0 a join d1 d using (v1) group by a.i, d.i
+  union all select 1, -1, i, sum(d) from d1 group by i
+  union all select 2, a.i, d.i, sum(a * d) from a1 a join d2 d using (v1) group by a.i, d.i
+  union all select 2, -1, i, sum(d) from d2 group by i
+  union all select 3, a.i, d.i, sum(a * d) from a2 a join d3 d using (v1) group by a.i, d.i
+  union all select 3, -1, i, sum(d) from d3 group by i)
+"""
+
+
+def _given_net(spark, sf):
+    """All reviews with text as word positions and label, and a net of md5 weights."""
+    from reviewlab.operators.clean import non_blank
+    from reviewlab.operators.mlp import MLPModel, md5_weights
+    from reviewlab.operators.text import multi_hot_indices, sequences, tokens, vocabulary
+    from reviewlab.sources.fixtures import reviews
+    r = non_blank(reviews(spark, sf)).select("v1", "review_text", (F.col("rating") - 1).alias("label"))
+    vocab = vocabulary(tokens(r.select("review_text"), "review_text"), WIDTH)
+    rows = sequences(r, vocab).select("v1", multi_hot_indices("seq", WIDTH).alias("idx")).join(r.select("v1", "label"), "v1")
+    return rows, MLPModel(WIDTH, (16, 16), 5, md5_weights(WIDTH), [])
+
+
+@query("mlp_given_probabilities", sql=_given_net_sql() + "select v1, cast(k as int) as k, round(p, 6) as prob from p")
+def q_mlp_given(spark, sf):
+    """Class probabilities of every review by a net of given weights."""
+    from reviewlab.operators.mlp import predict_mlp
+    rows, m = _given_net(spark, sf)
+    return predict_mlp(m, rows, "idx", keep=["v1"]).select("v1", F.posexplode("prob").alias("k", "prob")) \
+        .select("v1", "k", F.round("prob", 6).alias("prob"))
+
+
+@query("mlp_given_gradient", sql=_given_net_sql() + GRADIENT_SQL)
+def q_mlp_gradient(spark, sf):
+    """Gradient of that net's summed cross-entropy over all reviews, by
+    parameter (a bias has i = -1; first-layer rows of words that occur)."""
+    import numpy as np
+    import pandas as pd
+    from reviewlab.operators.mlp import summed_gradient
+    rows, m = _given_net(spark, sf)
+    g, at, parts = summed_gradient(rows, m.weights, "idx", "label"), 0, []
+    for n, w in enumerate(m.weights):
+        block = g[at:at + w.size].reshape(-1, w.shape[-1])
+        at += w.size
+        i, j = (x.ravel() for x in np.indices(block.shape))
+        parts.append(pd.DataFrame({"layer": n // 2 + 1, "i": i if n % 2 == 0 else i - 1, "j": j, "grad": block.ravel()}))
+    table = spark.createDataFrame(pd.concat(parts), "layer int, i int, j int, grad double")
+    met = rows.select(F.explode("idx").alias("i")).distinct().select(F.lit(1).alias("layer"), F.col("i").cast("int").alias("i"))
+    first = table.join(met, ["layer", "i"], "left_semi")
+    return first.unionByName(table.where("layer > 1 or i < 0")).select("layer", "i", "j", (F.round("grad", 6) + F.lit(0.0)).alias("grad"))
+
+
 # --- the three flows end to end -------------------------------------------------
 
 #: boosting rounds of the registered flows (a cross-validation and a fit each)
