@@ -7,9 +7,11 @@ the unbiased risk of a classifier that has seen no negatives is
     pi E_p[loss(g)] + ( E_u[loss(-g)] - pi E_p[loss(-g)] )
 
 The bracket is the risk on negatives, which can't be below zero; where an
-estimate is, the model fits noise. So Newton steps minimise the whole while the
-bracket is not negative, and a step that makes it so is undone by steps along
-the bracket's own gradient, as in the non-negative estimator.
+estimate is, the model fits noise. So Newton steps minimise the whole, and one
+that would make the bracket negative is turned along the edge where it is zero:
+that is where the non-negative estimator's steps, against the risk above the
+edge and up the bracket's gradient below, settle too. A negative bracket costs
+``CLIFF`` times its size, so that no step is accepted that gains by it.
 
 Features are counts of a text's bytes and words as shares of its length: kinds
 of characters, word lengths, repeated words, bigrams and lines, casing and
@@ -39,7 +41,7 @@ from reviewlab.llm.common import Words, labelled_sample, mix, per_text, saved, s
 
 #: labelled documents of each class, about
 SAMPLE = 50_000
-STEPS, RIDGE = 25, 0.03
+STEPS, RIDGE, CLIFF = 40, 0.03, 10.0
 #: bins of the scores, and the odds of an error beyond the margin that is allowed for
 BINS, DELTA = 1024, 0.1
 _BYTE_KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"|", b"#$%&*@^~_=+<>\\/", b"\"'()[]{}-", b"\n"]
@@ -164,32 +166,29 @@ def fit_nnpu(unlabelled: DataFrame, positives: np.ndarray, prior: float, steps:
         v = _summed(unlabelled, of) / n
         return v[0], v[1:d + 2], v[d + 2:].reshape(d + 1, d + 1)
 
-    best, rate = (np.inf, w), 1.0
+    best, at, rate, step = np.inf, w, 1.0, 0 * w
     for _ in range(steps):
         u_risk, u_grad, u_second = parts(w)
         g = np.clip(p @ w, -30, 30)
         s = 1 / (1 + np.exp(-g))
         negative = u_risk - prior * np.logaddexp(0, g).mean()
-        risk = prior * np.logaddexp(0, -g).mean() + max(0.0, negative) + 0.5 * (penalty * w ** 2).sum()
-        if risk < best[0] - 1e-7:
-            best = risk, w
-            rate = min(1.0, rate * 2)
-        elif rate < 1e-3 or abs(risk - best[0]) <= 1e-7:
-            break
-        else:  # a step too long: go back and take a shorter one
-            rate /= 4
-            w = best[1] + rate * last
+        risk = prior * np.logaddexp(0, -g).mean() + negative + 0.5 * (penalty * w ** 2).sum() + CLIFF * max(0.0, -negative)
+        if risk > best - 1e-7:
+            if rate < 1e-3 or risk <= best + 1e-7:
+                break
+            rate /= 4  # a step too long: go back and take a shorter one
+            w = at + rate * step
             continue
-        if negative < 0:  # only away from a negative risk on negatives
-            gradient = -(u_grad - prior * (p * s[:, None]).mean(0))
-            last = -0.1 * gradient / max(1e-9, np.linalg.norm(gradient))
-        else:
-            gradient = u_grad - prior * p.mean(0) + penalty * w
-            last = -np.linalg.solve(u_second + np.diag(penalty + 1e-6), gradient)
-            length = np.linalg.norm(last)
-            last = last * min(1.0, 10 / max(length, 1e-9))
-        w = w + rate * last
-    return best[1], mean, scale
+        best, at, rate = risk, w, min(1.0, rate * 2)
+        gradient = u_grad - prior * p.mean(0) + penalty * w
+        inward = u_grad - prior * (p * s[:, None]).mean(0)  # gradient of the risk on negatives
+        step, turn = -np.linalg.solve(u_second + np.diag(penalty + 1e-6), np.column_stack([gradient, -inward])).T
+        reached = negative + inward @ step
+        if reached < 0:  # go along the edge where the risk on negatives is zero
+            step = step - reached / max(1e-12, inward @ turn) * turn
+        step *= min(1.0, 10 / max(np.linalg.norm(step), 1e-9))
+        w = at + rate * step
+    return at, mean, scale
 
 
 def _histogram(g: np.ndarray) -> np.ndarray:
