@@ -7,9 +7,11 @@ snapshot and goes (anti-join), as do all but the smallest id of equal
 conversations. What is left is rendered.
 
 The rolling hash is an md5 over the digests of the turns so far: first within
-blocks of ``BLOCK`` turns, then over the digests of the blocks before. So the
-turns of one very long conversation are dealt over tasks by block, and only
-one row a block meets in a window over the conversation. Hashes that very many
+blocks of ``BLOCK`` turns, then over the digests of the blocks before within
+groups of ``BLOCK`` blocks, and so on up. So one very long conversation is dealt
+over tasks by block, a task meets at most ``BLOCK`` digests at once, and every
+row is of fixed size. Turns get their places by a sort over range partitions,
+so many turns of one number are dealt over tasks too. Hashes that very many
 conversations share (a common first turn) are pre-aggregated to one row each
 before the anti-join."""
 
@@ -34,30 +36,52 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, at, role, text): distinct turns with their place from 0 on,
     by turn number, role, text (nulls first)."""
     rows = (conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                                 F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-            .distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60)))))
-    rows = saved(rows, "turns")
-    sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    ranked = rows.withColumn("k", F.row_number().over(inside) - 1)
-    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
-    return ranked.join(offsets, on).select("conv_id", (F.col("offset") + F.col("k")).alias("at"), "role", "text")
+                                 F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct())
+    # sorted over range partitions and written, each row with its partition and place there
+    row = F.monotonically_increasing_id()
+    rows = saved(rows.sort(*[F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]).withColumn("row", row), "turns")
+    rows = rows.withColumn("part", F.shiftrightunsigned("row", 33))
+    # a conversation's rows in a partition are neighbours: few rows tell where they begin
+    pieces = rows.groupBy("conv_id", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    return rows.join(pieces, on).select("conv_id", (F.col("row") + F.col("shift")).alias("at"), "role", "text")
+
+
+def _grouped(digests: DataFrame) -> DataFrame:
+    """(conv_id, up, ds): digests d of up to ``BLOCK`` neighbours, in order."""
+    return (digests.select("conv_id", F.floor(F.col("at") / BLOCK).alias("up"), F.struct("at", "d").alias("t"))
+            .groupBy("conv_id", "up").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", "up", F.col("ts.d").alias("ds")))
+
+
+def _heads(blocks: DataFrame) -> DataFrame:
+    """(c, b, head): digest of all before each block (conv_id, at, d) of its
+    conversation, '' for a first one. A call for each power of ``BLOCK`` that the
+    longest conversation has."""
+    groups = saved(_grouped(blocks), "groups")
+    before = F.transform(F.sequence(F.lit(0), F.size("ds") - 1), lambda k: F.struct(
+        (F.col("up") * BLOCK + k).alias("at"), F.concat_ws("", F.slice("ds", F.lit(1), k)).alias("ds")))
+    rows = groups.select("conv_id", "up", F.explode(before).alias("x")).select(
+        F.col("conv_id").alias("c"), F.col("x.at").alias("b"), "up", F.when(F.col("x.ds") != "", F.md5(F.col("x.ds").cast("binary"))).otherwise(F.lit("")).alias("head"))
+    if not (groups.agg(F.max("up")).first()[0] or 0):
+        return rows.select("c", "b", "head")
+    above = _heads(groups.select("conv_id", F.col("up").alias("at"), F.md5(F.concat_ws("", "ds").cast("binary")).alias("d")))
+    above = above.select(F.col("c").alias("c2"), F.col("b").alias("up2"), F.col("head").alias("head2"))
+    whole = F.when(F.col("head2") == "", F.col("head")).otherwise(F.md5(F.concat("head2", F.lit("/"), "head").cast("binary")))
+    return (rows.join(above, F.col("c").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("up2")))
+            .select("c", "b", whole.alias("head")))
 
 
 def rolling_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, len, hash) of every prefix of every conversation."""
-    blocks = (turns.select("conv_id", F.floor(F.col("at") / BLOCK).alias("block"), F.struct("at", turn_digest().alias("d")).alias("t"))
-              .groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-              .select("conv_id", "block", F.col("ts.d").alias("ds")))
-    so_far = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.md5(F.concat_ws("", "ds").cast("binary"))
-    heads = blocks.withColumn("head", F.concat_ws("", F.collect_list(whole).over(so_far)))
+    blocks = saved(_grouped(turns.select("conv_id", "at", turn_digest().alias("d"))), "blocks")
+    heads = _heads(blocks.select("conv_id", F.col("up").alias("at"), F.md5(F.concat_ws("", "ds").cast("binary")).alias("d")))
     prefix = F.transform(F.sequence(F.lit(1), F.size("ds")), lambda k: F.struct(
-        (F.col("block") * BLOCK + k).alias("len"),
+        (F.col("up") * BLOCK + k).alias("len"),
         F.md5(F.concat("head", F.lit("/"), F.concat_ws("", F.slice("ds", F.lit(1), k))).cast("binary")).alias("hash")))
-    return heads.select("conv_id", F.explode(prefix).alias("p")).select("conv_id", "p.len", "p.hash")
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("b"))
+    return blocks.join(heads, on).select("conv_id", F.explode(prefix).alias("p")).select("conv_id", "p.len", "p.hash")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
