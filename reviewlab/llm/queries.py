@@ -66,8 +66,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return shards.extendible_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
+    docs = read(spark, sf_dir, "documents")
+    path = shared_path(spark, "shards")
+    shards.write_shards(shards.extendible_shards(docs, "doc_id", F.octet_length("text"), SHARD_BYTES), path)
+    back = shards.read_shards(spark, path, docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard")
+    sizes = back.groupBy("shard").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return back.join(sizes, "shard").select("doc_id", "n_bytes", "shard", "shard_bytes", "shard_rows")
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

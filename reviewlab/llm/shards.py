@@ -15,8 +15,9 @@ there are as many rounds as the deepest shard needs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reviewlab.llm.common import saved
 
@@ -82,8 +83,16 @@ def directory(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows as Parquet, one folder shard=... a shard."""
+    """Write the rows as Parquet, one folder shard=... a shard. A shard is
+    written by one task (its bytes are bounded), a task writes many."""
     sharded.drop("shard_bytes", "shard_rows").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-__all__ = ["extendible_shards", "directory", "write_shards", "hash_bits"]
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows that ``write_shards`` wrote (``schema``: of the rows without their
+    shard), with shard as text; the undivided shard is ''."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("shard", StringType())])).parquet(path)
+    return rows.withColumn("shard", F.coalesce("shard", F.lit("")))
+
+
+__all__ = ["extendible_shards", "directory", "write_shards", "read_shards", "hash_bits"]

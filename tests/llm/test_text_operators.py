@@ -186,6 +186,31 @@ def test_chat_edges(spark):
     assert chat.chat_documents(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_of_many_levels(spark, monkeypatch):
+    """Blocks of three turns, so that heads are made over several levels, and a
+    conversation of a third of the rows whose turns share one number."""
+    rows = [(c, i, "user", f"t{i % 7}") for c, n in ((1, 40), (2, 41), (3, 27), (4, 28), (5, 81), (6, 9), (7, 3)) for i in range(n)]
+    rows += [(8, i, "user", f"t{i % 7}" if i != 13 else "else") for i in range(40)] + [(9, i, "user", f"t{i % 7}" if i != 13 else "else") for i in range(14)]
+    rows += [(10, None if i % 2 else 5, "user", f"u{i:04}") for i in range(300)]
+    rows += [(11, 1, "user", f"u{i:04}") for i in range(1, 300, 2)]
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    turns = chat.ordered_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by_conv = {}
+    for c, t, _, x in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[3])):
+        by_conv.setdefault(c, []).append(x)
+    for c, texts in by_conv.items():
+        assert [r["text"] for r in sorted((r for r in turns if r["conv_id"] == c), key=lambda r: r["at"])] == texts
+        assert sorted(r["at"] for r in turns if r["conv_id"] == c) == list(range(len(texts)))
+    hashes = chat.rolling_hashes(spark.createDataFrame(turns)).collect()
+    seen = {}
+    for r in hashes:  # equal hashes are equal prefixes, and the other way round
+        seen.setdefault(r["hash"], set()).add(tuple(by_conv[r["conv_id"]][:r["len"]]))
+    assert all(len(v) == 1 for v in seen.values()) and len(hashes) == sum(map(len, by_conv.values()))
+    assert len(seen) == len({tuple(x[:i + 1]) for x in by_conv.values() for i in range(len(x))})
+    best = chat.maximal_conversations(spark.createDataFrame(turns)).collect()
+    assert sorted(r["conv_id"] for r in best) == [5, 8, 10]
+
+
 # ----------------------------------------------------------------- sharding
 
 def check_shards(rows, limit):
@@ -237,6 +262,23 @@ def test_shard_edges(spark, tmp_path):
     assert SHARD_BYTES == 1 << 20
 
 
+def test_shards_come_back_whole(spark, tmp_path):
+    """A key with a third of the bytes, long texts, empty and null ones: rows
+    read back are those written, each shard's folder within the limit."""
+    rows = [(7, "hot", "x" * (i % 90)) for i in range(300)] + [(i, None, "y" * 50) for i in range(100, 400)] + [(1, "long", "z" * 5000), (None, "n", None), (2, "e", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for limit, name in ((2000, "many"), (1 << 30, "one")):
+        shards.write_shards(shards.extendible_shards(df, "doc_id", F.octet_length("text"), limit), str(tmp_path / name))
+        back = shards.read_shards(spark, str(tmp_path / name), df.schema).collect()
+        assert sorted((tuple(r)[:3] for r in back), key=str) == sorted(rows, key=str)
+        sizes = Counter()
+        for r in back:
+            sizes[r["shard"]] += len(r["text"] or "")
+        assert all(b <= limit or b == 5000 for b in sizes.values())
+        assert (len(sizes) > 10 and all(set(s) <= set("01") for s in sizes)) if name == "many" else set(sizes) == {""}
+
+
+
 # ------------------------------------------------------------------ packing
 
 def check_pieces(rows, docs, window=1024):
