@@ -11,7 +11,9 @@ The tree is grown ``STEP`` bits at a time. One aggregation sums the bytes of
 each STEP-bit slice within the buckets that are still too large, the sums of
 all shorter prefixes follow from those few slices, and rows of buckets that
 fit are done. So a round shuffles partial sums only, whatever the skew, and
-there are as many rounds as the deepest shard needs."""
+there are as many rounds as the deepest shard needs. The rows themselves meet
+the finished directory in one pass, with no copy of them made; only rows of keys
+that alone exceed the limit are written, to fix their numbers."""
 
 from __future__ import annotations
 
@@ -37,23 +39,13 @@ def hash_bits(key: Column) -> Column:
     return _bits(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15))
 
 
-def extendible_shards(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
-    """``rows`` with shard (text of 0 and 1: the bucket's prefix), shard_bytes
-    and shard_rows (of the whole shard). ``size`` is a row's bytes; null counts
-    as 0. Clashing columns of those names are replaced. ``limit`` must be
-    positive. No rows: no rows.
-
-    Every shard holds at most ``limit`` bytes, or is one row, or rows that
-    share all 120 bits (never seen but for a row number hash of equal bits)."""
-    if limit <= 0:
-        raise ValueError("limit must be positive")
-    rows = rows.drop("shard", "shard_bytes", "shard_rows")
-    bits = F.concat(hash_bits(F.col(key)), _bits(F.substring(F.md5(F.monotonically_increasing_id().cast("string").cast("binary")), 1, 15)))
-    # written once, so that the number of a row can't change between rounds
-    todo = saved(rows.select(F.struct(*rows.columns).alias("row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), bits.alias("bits")), "rows")
-    done, depth = None, 0
-    while depth < KEY_BITS + ROW_BITS:
-        fine = todo.groupBy(F.substring("bits", 1, depth + STEP).alias("slice")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+def _grown(sizes: DataFrame, depth: int, end: int, limit: int) -> tuple[list[tuple[int, DataFrame]], bool]:
+    """Directory over the bits from ``depth`` to ``end`` of ``sizes`` (bits,
+    size, n): tables (slice, shard, shard_bytes, shard_rows) with the length of
+    their slices, and whether some bucket is still too large at the end."""
+    found = []
+    while depth < end:
+        fine = sizes.groupBy(F.substring("bits", 1, depth + STEP).alias("slice")).agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
         fine = saved(fine, "slices")
         lengths = F.array(*[F.lit(d) for d in range(depth, depth + STEP + 1)])
         prefix = fine.select("slice", "size", "n", F.explode(lengths).alias("d")).select("slice", "size", "n", F.expr("substring(slice, 1, d)").alias("shard"), "d")
@@ -64,16 +56,55 @@ def extendible_shards(rows: DataFrame, key: str, size: Column, limit: int) -> Da
                   .groupBy("slice").agg(F.min(F.struct("d", "shard", "shard_bytes", "shard_rows")).alias("b"))
                   .select("slice", "b.shard", "b.shard_bytes", "b.shard_rows"))
         bucket = saved(bucket, "directory")
-        met = todo.withColumn("slice", F.substring("bits", 1, depth + STEP)).join(bucket, "slice", "left")
-        fit = met.where("shard is not null").select("row", "shard", "shard_bytes", "shard_rows")
-        done = fit if done is None else done.unionByName(fit)
         depth += STEP
+        found.append((depth, bucket))
         if fine.count() == bucket.count():
-            return done.select("row.*", "shard", "shard_bytes", "shard_rows")
-        todo = saved(met.where("shard is null").select("row", "size", "bits"), "rest")
-    rest = todo.groupBy("bits").agg(F.sum("size").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
-    last = todo.join(rest, "bits").select("row", F.col("bits").alias("shard"), "shard_bytes", "shard_rows")
-    return done.unionByName(last).select("row.*", "shard", "shard_bytes", "shard_rows")
+            return found, False
+        sizes = saved(sizes.withColumn("slice", F.substring("bits", 1, depth)).join(bucket.select("slice"), "slice", "left_anti")
+                      .select("bits", "size", "n"), "rest")
+    return found, True
+
+
+def _placed(rows: DataFrame, tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` (row, size, bits) with the bucket of each, null where there is none."""
+    for i, (depth, bucket) in enumerate(tables):
+        mine = bucket.select(F.col("slice").alias(f"s{i}"), F.struct("shard", "shard_bytes", "shard_rows").alias(f"b{i}"))
+        rows = rows.join(mine, F.substring("bits", 1, depth) == F.col(f"s{i}"), "left")
+    return rows.select("row", "size", "bits", F.coalesce(*[F.col(f"b{i}") for i in range(len(tables))]).alias("b"))
+
+
+def extendible_shards(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
+    """``rows`` with shard (text of 0 and 1: the bucket's prefix), shard_bytes
+    and shard_rows (of the whole shard). ``size`` is a row's bytes; null counts
+    as 0. Clashing columns of those names are replaced. ``limit`` must be
+    positive. No rows: no rows. ``rows`` are read twice, so they must be the
+    same both times, as those of a table are.
+
+    Every shard holds at most ``limit`` bytes, or is one row, or rows that
+    share all 120 bits (never seen but for a row number hash of equal bits)."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    rows = rows.drop("shard", "shard_bytes", "shard_rows")
+    rows = rows.select(F.struct(*rows.columns).alias("row"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), hash_bits(F.col(key)).alias("bits"))
+    # one narrow row a key, whatever its rows; the rows themselves are not copied
+    keys = saved(rows.groupBy("bits").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "keys")
+    tables, more = _grown(keys, 0, KEY_BITS, limit)
+    placed = _placed(rows, tables)
+    out = lambda df: df.select("row.*", "b.shard", "b.shard_bytes", "b.shard_rows")
+    done = out(placed.where("b is not null"))
+    if not more:
+        return done
+    # keys that alone exceed the limit: their rows are written once, with numbers that can't change
+    number = _bits(F.substring(F.md5(F.monotonically_increasing_id().cast("string").cast("binary")), 1, 15))
+    big = saved(placed.where("b is null").select("row", "size", F.concat("bits", number).alias("bits")), "big")
+    tables, more = _grown(big.select("bits", "size", F.lit(1).cast("long").alias("n")), KEY_BITS, KEY_BITS + ROW_BITS, limit)
+    placed = _placed(big, tables)
+    done = done.unionByName(out(placed.where("b is not null")))
+    if not more:
+        return done
+    alike = placed.where("b is null").select("row", "size", "bits")
+    rest = alike.groupBy("bits").agg(F.struct(F.first("bits").alias("shard"), F.sum("size").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows")).alias("b"))
+    return done.unionByName(out(alike.join(rest, "bits")))
 
 
 def directory(sharded: DataFrame) -> DataFrame:
