@@ -24,14 +24,15 @@ function of these, fitted on labelled documents that the models have not seen,
 gives the score. It takes the estimated discounts and, of the larger ones,
 none, one pair or all, whichever predicts best there.
 
-The class models are fitted on labelled documents that don't fit the logistic
-function, chosen by a hash of the id, of about ``MODEL_BYTES`` of text a class
-at most; so their bigrams and words are bounded, and go to all tasks. The shared
-backoff counts cover all words of all documents, by the whole 64-bit hash, in
-a table that grows with the input. P(w) cancels out of the ratio of a word that
-neither class knows, so only the words of the class models are looked up in
-it. Texts are then scored where they are read: no text and no word of a text
-that is only scored is shuffled, and copies or a hot source meet nowhere."""
+The class models are counted over all labelled documents that don't fit the
+logistic function, and the shared backoff counts over all words of all documents,
+by the whole 64-bit hash, in tables that grow with the input. P(w) cancels out of
+the ratio of a word that neither class knows, so only the words of the class
+models are looked up in it. A table of up to ``SENT_ROWS`` words and bigrams goes
+to all tasks, and texts are scored where they are read. With a larger one texts
+are dealt by a hash of id and text to chunks of about ``CHUNK`` bytes, and the
+distinct words and bigrams of a chunk are joined with the table; copies or a hot
+source meet nowhere."""
 
 from __future__ import annotations
 
@@ -48,8 +49,10 @@ from reviewlab.llm.common import labelled_sample, saved, sums, word_chunks
 #: one labelled document in CALIBRATE fits the logistic function (of those at
 #: most about SAMPLE / CALIBRATE of each class), the others make the models
 SAMPLE, CALIBRATE = 20_000, 4
-#: bytes of labelled text of a class that its model is made from, about
-MODEL_BYTES = 8 << 20
+#: rows of the models' table that are sent to all tasks; a larger one is joined
+SENT_ROWS = 4_000_000
+#: bytes of text in a chunk, whose distinct words and bigrams are looked up together
+CHUNK = 16 << 20
 #: larger discounts of bigrams and words
 SMOOTHER = ((2.0, 1.0), (5.0, 2.0), (20.0, 5.0))
 CLIP, CLEAR = 6.0, 3.0
@@ -178,7 +181,8 @@ WIDTH = 2 + 2 * READINGS + 3
 def bounded_texts(docs: DataFrame, labelled: DataFrame, bound: int) -> DataFrame:
     """(doc_id, text, y) of the documents of ``labelled`` (doc_id, y) that have
     a text, those of a class with more than ``bound`` bytes thinned by a hash of
-    the id. Ids whose texts together exceed the bound are left out.
+    the id. Ids whose texts together exceed the bound are left out. No query
+    uses it: the class models are of all labelled texts.
 
     Only ids and sizes are shuffled. The chosen ids, of at least a byte of text
     each, are broadcast: at most about ``bound`` a class."""
@@ -193,11 +197,13 @@ def bounded_texts(docs: DataFrame, labelled: DataFrame, bound: int) -> DataFrame
     return docs.where(size > 0).join(F.broadcast(sizes.where(draw < share).select("doc_id", "y")), "doc_id")
 
 
-def model(docs: DataFrame, for_model: DataFrame, bound: int = MODEL_BYTES) -> tuple[DataFrame, Shared]:
-    """The table (key, v) of the models and their shared numbers. v of a bigram
-    is its occurrences in class 0 and 1; of a word, the same as a context, the
-    sums of discounts there, its contexts and its P(w)."""
-    bigrams = saved(bigram_counts(bounded_texts(docs, for_model, bound)), "bigrams")
+def model(docs: DataFrame, for_model: DataFrame) -> tuple[DataFrame, Shared]:
+    """The table (key, v) of the models and their shared numbers, counted over
+    all texts of ``for_model`` (doc_id, y). v of a bigram is its occurrences in
+    class 0 and 1; of a word, the same as a context, the sums of discounts there,
+    its contexts and its P(w)."""
+    ids = F.broadcast(for_model) if for_model.limit(SENT_ROWS + 1).count() <= SENT_ROWS else for_model
+    bigrams = saved(bigram_counts(docs.join(ids, "doc_id")), "bigrams")
     d = [_estimated(bigrams, ("n0", "n1")), *[[x, x] for x, _ in SMOOTHER]]
     over = {f"o{i}{c}": _discount(F.col(f"n{c}"), d[i][c]) for i in range(READINGS) for c in (0, 1)}
     no, zero = F.lit(0).cast("long"), F.lit(0.0)
@@ -280,7 +286,7 @@ def text_features(answers: Answers, words: np.ndarray, bounds: np.ndarray) -> np
 
 
 def answers_of(table: DataFrame, shared: Shared) -> Answers:
-    """The models' table, bounded by ``MODEL_BYTES``, at the driver."""
+    """A models' table of up to ``SENT_ROWS`` rows, at the driver."""
     found = table.toArrow()
     v = found.column("v").combine_chunks()
     if isinstance(v, pa.ChunkedArray):
@@ -288,8 +294,46 @@ def answers_of(table: DataFrame, shared: Shared) -> Answers:
     return Answers(found.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
 
 
+def _joined_features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
+    """``features`` by a table of any size: texts are dealt to chunks, and the
+    distinct words and bigrams of a chunk are joined with the table."""
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1 + size // CHUNK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+
+    def asked(chunk: pa.Table) -> pa.Table:
+        keys = []
+        for b in chunk.combine_chunks().to_batches():
+            for w in word_chunks(b.column("text"), letters_only=True):
+                before, key = bigram_hashes(w.hash, w.bounds)
+                keys += [np.unique(w.hash), np.unique(key)]
+        if not keys:
+            keys = [np.zeros(0, np.uint64)]
+        keys = np.unique(np.concatenate([*keys, np.array([_FIRST])]))
+        return pa.table({"chunk": pa.array(np.full(len(keys), chunk.column("chunk")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+
+    def scored(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        v = found.combine_chunks().column("v")
+        v = v.chunk(0) if v.num_chunks else pa.array([], pa.list_(pa.float32()))
+        answers = Answers(found.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
+        ids, out = [], [np.zeros((0, READINGS * FEATURES))]
+        for b in chunk.combine_chunks().to_batches():
+            ids.append(b.column("doc_id"))
+            out += [text_features(answers, w.hash, w.bounds) for w in word_chunks(b.column("text"), letters_only=True)]
+        x = np.concatenate(out)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "x": flat})
+
+    answers = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, key long").join(table, "key").select("chunk", "key", "v")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, x array<double>")
+
+
 def features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
-    """(doc_id, x) of each row of ``docs`` (doc_id, text), in one narrow pass."""
+    """(doc_id, x) of each row of ``docs`` (doc_id, text): in one narrow pass if
+    the table has up to ``SENT_ROWS`` rows, else by joins."""
+    if table.count() > SENT_ROWS:
+        return _joined_features(docs, table, shared)
     sent = docs.sparkSession.sparkContext.broadcast(answers_of(table, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
