@@ -50,9 +50,11 @@ from reviewlab.llm.common import labelled_sample, saved, sums, word_chunks
 #: most about SAMPLE / CALIBRATE of each class), the others make the models
 SAMPLE, CALIBRATE = 20_000, 4
 #: rows of the models' table that are sent to all tasks; a larger one is joined
-SENT_ROWS = 4_000_000
+SENT_ROWS = 1_000_000
 #: bytes of text in a chunk, whose distinct words and bigrams are looked up together
 CHUNK = 16 << 20
+#: bits that a chunk asks by beyond those that number the table's rows
+SPARE_BITS = 5
 #: larger discounts of bigrams and words
 SMOOTHER = ((2.0, 1.0), (5.0, 2.0), (20.0, 5.0))
 CLIP, CLEAR = 6.0, 3.0
@@ -236,42 +238,54 @@ def _discounted(n: np.ndarray, d: Discounts) -> np.ndarray:
 
 
 class Answers:
-    """The models' rows of words and bigrams, sorted by key."""
+    """The models' rows of words and bigrams, and what follows from them for
+    any text: for each reading and class, backoff by context and word."""
 
     def __init__(self, key: np.ndarray, size: np.ndarray, values: np.ndarray, shared: Shared) -> None:
-        self.shared = shared
         begin = np.cumsum(size) - size
-        self.tables = []
+        known = []
         for width in (2, WIDTH):
             rows = np.flatnonzero(size == width)
             rows = rows[np.argsort(key[rows], kind="stable")]
-            v = values[(begin[rows][:, None] + np.arange(width)).ravel()].reshape(-1, width).astype(np.float32)
-            # the last row stands for what isn't known
-            self.tables.append((key[rows], np.concatenate([v, np.zeros((1, width), np.float32)])))
+            known.append((key[rows], values[(begin[rows][:, None] + np.arange(width)).ravel()].reshape(-1, width).astype(np.float64)))
+        (self.bigrams, self.counts), (self.words, v) = known
+        self.shared = shared
+        v = np.concatenate([v, np.zeros((1, WIDTH))])  # the last row stands for what isn't known
+        p = np.where(v[:, -1] > 0, v[:, -1], 1.0)  # cancels out where no class knows the word
+        self.total = np.where(v[:, :2] > 0, v[:, :2], 1.0)
+        self.word, self.backoff = np.empty((len(v), 2 * READINGS)), np.empty((len(v), 2 * READINGS))
+        for i in range(READINGS):
+            for c in (0, 1):
+                n = shared.contexts[c]
+                self.word[:, 2 * i + c] = (_discounted(v[:, c - 3], shared.word[i][c]) / n if n else 0.0) + shared.backoff[i][c] * p
+                self.backoff[:, 2 * i + c] = np.where(v[:, c] > 0, v[:, 2 + 2 * i + c] / self.total[:, c], 1.0)
 
-    def rows(self, width: int, keys: np.ndarray) -> np.ndarray:
-        known, v = self.tables[0 if width == 2 else 1]
+    @staticmethod
+    def places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where ``keys`` stand in ``known``; len(known) if nowhere."""
         if not len(known):
-            return np.zeros((len(keys), width))
+            return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return v[np.where(known[at] == keys, at, len(known))].astype(np.float64)
+        return np.where(known[at] == keys, at, len(known))
 
     def log_ratios(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         """log P_toxic(w|h) - log P_ordinary(w|h) of each word, for the
         estimated and for each of the larger discounts."""
         before, key = bigram_hashes(words, bounds)
-        bigram, context, word = self.rows(2, key), self.rows(WIDTH, before), self.rows(WIDTH, words)
-        shared = np.where(word[:, -1] > 0, word[:, -1], 1.0)  # cancels out where no class knows the word
-        seen = context[:, :2] > 0
-        total = np.where(seen, context[:, :2], 1.0)
+        types, inverse = np.unique(words, return_inverse=True)
+        word = self.places(self.words, types)[inverse]
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        context[starts] = self.places(self.words, before[starts])
+        bigram = self.places(self.bigrams, key)
+        at = np.flatnonzero(bigram < len(self.bigrams))
+        n, total = self.counts[bigram[at]], self.total[context[at]]
+        p = self.backoff[context] * self.word[word]
         for i in range(READINGS):
-            logs = []
             for c in (0, 1):
-                n = self.shared.contexts[c]
-                p = (_discounted(word[:, c - 3], self.shared.word[i][c]) / n if n else 0.0) + self.shared.backoff[i][c] * shared
-                backoff = np.where(seen[:, c], context[:, 2 + 2 * i + c] / total[:, c], 1.0)
-                logs.append(np.log(_discounted(bigram[:, c], self.shared.bigram[i][c]) / total[:, c] + backoff * p))
-            yield logs[1] - logs[0]
+                p[at, 2 * i + c] += _discounted(n[:, c], self.shared.bigram[i][c]) / total[:, c]
+            yield np.log(p[:, 2 * i + 1] / p[:, 2 * i])
 
 
 def text_features(answers: Answers, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -288,35 +302,126 @@ def text_features(answers: Answers, words: np.ndarray, bounds: np.ndarray) -> np
 def answers_of(table: DataFrame, shared: Shared) -> Answers:
     """A models' table of up to ``SENT_ROWS`` rows, at the driver."""
     found = table.toArrow()
-    v = found.column("v").combine_chunks()
-    if isinstance(v, pa.ChunkedArray):
-        v = v.chunk(0) if v.num_chunks else pa.array([], pa.list_(pa.float32()))
-    return Answers(found.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
+    return Answers(found.column("key").to_numpy().view(np.uint64), *_of_lists(found.column("v")), shared)
+
+
+def _packed(sorted_numbers: np.ndarray) -> bytes:
+    """Ascending unsigned numbers by their gaps, equal bytes of the gaps side by side."""
+    gaps = np.diff(sorted_numbers, prepend=np.uint64(0))
+    return pa.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+#: some of the table's rows, of bigrams (width 2) or words: keys in ascending order and values
+ROWS = "width int, n int, keys binary, v binary"
+
 
+def _packed_rows(keys: np.ndarray, v: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    planes = np.ascontiguousarray(v.T, np.float32).view(np.uint8).reshape(-1, 4).T
+    return v.shape[1], len(keys), _packed(keys), pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-def _joined_features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
+
+def _unpacked_rows(width: int, n: int, keys: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(v, 4 * n * width, "zstd", asbytes=True), np.uint8).reshape(4, n * width)
+    return _unpacked(keys, n), np.ascontiguousarray(planes.T).view(np.float32).reshape(width, n).T
+
+
+def _of_lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values) of a column of lists."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return (np.concatenate([np.zeros(0, np.int64), *[np.diff(p.offsets.to_numpy()) for p in parts]]),
+            np.concatenate([np.zeros(0, np.float32), *[p.flatten().to_numpy() for p in parts]]))
+
+
+def _table_rows(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unpacked rows of bigrams and of words, each in ascending order of key."""
+    found = {2: [], WIDTH: []}
+    for r in zip(*[t.column(c).to_pylist() for c in ("width", "n", "keys", "v")]):
+        found[r[0]].append(_unpacked_rows(*r))
+    out = []
+    for width, parts in found.items():
+        keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in parts]])
+        v = np.concatenate([np.zeros((0, width), np.float32), *[x for _, x in parts]])
+        order = np.argsort(keys, kind="stable")
+        out.append((keys[order], v[order]))
+    return out
+
+
+def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Shared) -> DataFrame:
     """``features`` by a table of any size: texts are dealt to chunks, and the
-    distinct words and bigrams of a chunk are joined with the table."""
+    distinct words and bigrams of a chunk are looked up in the table.
+
+    A chunk asks by the first bits of its keys, some more than tell the table's
+    rows apart; what it gets are whole keys, so that a few rows too many come
+    and none counts for another. Keys and values go packed, a row for each
+    chunk and range of keys."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1 + size // CHUNK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(rows.bit_length() + SPARE_BITS, 40)
+    shift = np.uint64(64 - bits)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
+    def part_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> shift) * np.uint64(n)) >> np.uint64(bits)
+
     def asked(chunk: pa.Table) -> pa.Table:
-        keys = []
+        first = [np.array([_FIRST]) >> shift]
         for b in chunk.combine_chunks().to_batches():
             for w in word_chunks(b.column("text"), letters_only=True):
-                before, key = bigram_hashes(w.hash, w.bounds)
-                keys += [np.unique(w.hash), np.unique(key)]
-        if not keys:
-            keys = [np.zeros(0, np.uint64)]
-        keys = np.unique(np.concatenate([*keys, np.array([_FIRST])]))
-        return pa.table({"chunk": pa.array(np.full(len(keys), chunk.column("chunk")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+                first += [np.unique(w.hash >> shift), np.unique(bigram_hashes(w.hash, w.bounds)[1] >> shift)]
+        first = np.unique(np.concatenate(first))
+        part, begin = np.unique((first * np.uint64(n)) >> np.uint64(bits), return_index=True)
+        pieces = np.split(first, begin[1:])
+        return pa.table({"part": pa.array(part.astype(np.int64)), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(part), pa.int64()),
+                         "n": pa.array([len(x) for x in pieces], pa.int32()), "first": pa.array([_packed(x) for x in pieces], pa.binary())})
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, sizes, v = (np.concatenate(x) for x in zip(*held))
+            begin, out = np.cumsum(sizes) - sizes, []
+            for width in (2, WIDTH):
+                rows = np.flatnonzero(sizes == width)
+                rows = rows[np.argsort(key[rows], kind="stable")]
+                names, at = np.unique(part_of(key[rows]), return_index=True)
+                out += [(int(p), *_packed_rows(key[r], v[(begin[r][:, None] + np.arange(width)).ravel()].reshape(-1, width)))
+                        for p, r in zip(names, np.split(rows, at[1:]))]
+            return pa.RecordBatch.from_pylist([dict(zip(("part", "width", "n", "keys", "v"), r)) for r in out], schema=schema)
+
+        schema = pa.schema([("part", pa.int64()), ("width", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("v", pa.binary())])
+        for b in batches:
+            held.append((b.column("key").to_numpy().view(np.uint64), *_of_lists(b.column("v"))))
+            count += b.num_rows
+            if count >= 1_000_000:  # bounded memory
+                yield flush()
+                held, count = [], 0
+        if count:
+            yield flush()
+
+    def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
+        tables = [(k >> shift, k, v) for k, v in _table_rows(known)]
+        out = []
+        for chunk, many, data in zip(*[asks.column(c).to_pylist() for c in ("chunk", "n", "first")]):
+            first = _unpacked(data, many)
+            for known_first, keys, v in tables:
+                begin = np.searchsorted(known_first, first)
+                count = np.searchsorted(known_first, first, "right") - begin
+                rows = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                if len(rows):
+                    out.append((chunk, *_packed_rows(keys[rows], v[rows])))
+        names = ("chunk", "width", "n", "keys", "v")
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, types))})
 
     def scored(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        v = found.combine_chunks().column("v")
-        v = v.chunk(0) if v.num_chunks else pa.array([], pa.list_(pa.float32()))
-        answers = Answers(found.column("key").to_numpy().view(np.uint64), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(), shared)
+        (bigrams, counts), (words, v) = _table_rows(found)
+        answers = Answers(np.concatenate([bigrams, words]), np.repeat([2, WIDTH], [len(bigrams), len(words)]), np.concatenate([counts.ravel(), v.ravel()]), shared)
         ids, out = [], [np.zeros((0, READINGS * FEATURES))]
         for b in chunk.combine_chunks().to_batches():
             ids.append(b.column("doc_id"))
@@ -325,15 +430,18 @@ def _joined_features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataF
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "x": flat})
 
-    answers = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, key long").join(table, "key").select("chunk", "key", "v")
+    asks = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, n int, first binary")
+    known = table.mapInArrow(parts, f"part long, {ROWS}")
+    answers = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answered, f"chunk long, {ROWS}")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, x array<double>")
 
 
 def features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
     """(doc_id, x) of each row of ``docs`` (doc_id, text): in one narrow pass if
     the table has up to ``SENT_ROWS`` rows, else by joins."""
-    if table.count() > SENT_ROWS:
-        return _joined_features(docs, table, shared)
+    rows = table.count()
+    if rows > SENT_ROWS:
+        return _joined_features(docs, table, rows, shared)
     sent = docs.sparkSession.sparkContext.broadcast(answers_of(table, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

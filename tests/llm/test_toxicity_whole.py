@@ -29,3 +29,29 @@ def test_joined_features_are_those_of_the_sent_table(spark, monkeypatch):
     joined = found()
     assert sent.keys() == joined.keys() and len(sent) == len(texts)
     assert all(np.allclose(sent[k], joined[k]) for k in sent)
+
+
+def test_lookups_go_packed_and_by_whole_keys(spark, monkeypatch):
+    """A key asked for and its answer take a few bytes, no row each; first bits
+    that many keys share give the same features."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1))
+    v = rng.integers(0, 3, (len(keys), 2)).astype(np.float32)
+    row = toxicity._packed_rows(keys, v)
+    got = toxicity._unpacked_rows(*row)
+    assert (got[0] == keys).all() and (got[1] == v).all() and len(row[2]) + len(row[3]) < 8 * len(keys)
+    first = np.unique(keys >> np.uint64(64 - 22))
+    assert (toxicity._unpacked(toxicity._packed(first), len(first)) == first).all() and len(toxicity._packed(first)) < 1.5 * len(first)
+    assert len(toxicity._unpacked(toxicity._packed(keys[:0]), 0)) == 0
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(0, id % 40), i -> concat('w', (i * id) % 60)))").alias("text"))
+    table, shared = toxicity.model(docs, docs.where("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y")))
+    sent = {r["doc_id"]: r["x"] for r in toxicity.features(docs, table, shared).collect()}
+    monkeypatch.setattr(toxicity, "SENT_ROWS", 0)
+    for spare in (5, -7):
+        monkeypatch.setattr(toxicity, "SPARE_BITS", spare)
+        joined = toxicity.features(docs, table, shared)
+        # a chunk's questions and answers are rows of many keys
+        assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        found = {r["doc_id"]: r["x"] for r in joined.collect()}
+        assert found.keys() == sent.keys() and all(np.allclose(found[k], sent[k]) for k in sent)
