@@ -52,7 +52,7 @@ SAMPLE, CALIBRATE = 20_000, 4
 #: rows of the models' table that are sent to all tasks; a larger one is joined
 SENT_ROWS = 1_000_000
 #: bytes of text in a chunk, whose distinct words and bigrams are looked up together
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: bits that a chunk asks by beyond those that number the table's rows
 SPARE_BITS = 5
 #: larger discounts of bigrams and words
@@ -247,18 +247,28 @@ class Answers:
         for width in (2, WIDTH):
             rows = np.flatnonzero(size == width)
             rows = rows[np.argsort(key[rows], kind="stable")]
-            known.append((key[rows], values[(begin[rows][:, None] + np.arange(width)).ravel()].reshape(-1, width).astype(np.float64)))
+            known.append((key[rows], values[(begin[rows][:, None] + np.arange(width)).ravel()].reshape(-1, width)))
+        self._set(known, shared)
+
+    @classmethod
+    def of_rows(cls, known: list[tuple[np.ndarray, np.ndarray]], shared: Shared) -> Answers:
+        """From rows of bigrams and of words in ascending order of key."""
+        answers = cls.__new__(cls)
+        answers._set(known, shared)
+        return answers
+
+    def _set(self, known: list[tuple[np.ndarray, np.ndarray]], shared: Shared) -> None:
         (self.bigrams, self.counts), (self.words, v) = known
         self.shared = shared
-        v = np.concatenate([v, np.zeros((1, WIDTH))])  # the last row stands for what isn't known
+        v = np.concatenate([v.astype(np.float64), np.zeros((1, WIDTH))])  # the last row stands for what isn't known
         p = np.where(v[:, -1] > 0, v[:, -1], 1.0)  # cancels out where no class knows the word
         self.total = np.where(v[:, :2] > 0, v[:, :2], 1.0)
-        self.word, self.backoff = np.empty((len(v), 2 * READINGS)), np.empty((len(v), 2 * READINGS))
+        self.word, self.backoff = np.empty((READINGS, len(v), 2)), np.empty((READINGS, len(v), 2))
         for i in range(READINGS):
             for c in (0, 1):
                 n = shared.contexts[c]
-                self.word[:, 2 * i + c] = (_discounted(v[:, c - 3], shared.word[i][c]) / n if n else 0.0) + shared.backoff[i][c] * p
-                self.backoff[:, 2 * i + c] = np.where(v[:, c] > 0, v[:, 2 + 2 * i + c] / self.total[:, c], 1.0)
+                self.word[i, :, c] = (_discounted(v[:, c - 3], shared.word[i][c]) / n if n else 0.0) + shared.backoff[i][c] * p
+                self.backoff[i, :, c] = np.where(v[:, c] > 0, v[:, 2 + 2 * i + c] / self.total[:, c], 1.0)
 
     @staticmethod
     def places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -280,12 +290,12 @@ class Answers:
         context[starts] = self.places(self.words, before[starts])
         bigram = self.places(self.bigrams, key)
         at = np.flatnonzero(bigram < len(self.bigrams))
-        n, total = self.counts[bigram[at]], self.total[context[at]]
-        p = self.backoff[context] * self.word[word]
+        n, total = self.counts[bigram[at]].astype(np.float64), self.total[context[at]]
         for i in range(READINGS):
+            p = self.backoff[i][context] * self.word[i][word]
             for c in (0, 1):
-                p[at, 2 * i + c] += _discounted(n[:, c], self.shared.bigram[i][c]) / total[:, c]
-            yield np.log(p[:, 2 * i + 1] / p[:, 2 * i])
+                p[at, c] += _discounted(n[:, c], self.shared.bigram[i][c]) / total[:, c]
+            yield np.log(p[:, 1] / p[:, 0])
 
 
 def text_features(answers: Answers, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -370,11 +380,12 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         return ((keys >> shift) * np.uint64(n)) >> np.uint64(bits)
 
     def asked(chunk: pa.Table) -> pa.Table:
-        first = [np.array([_FIRST]) >> shift]
-        for b in chunk.combine_chunks().to_batches():
+        kind = np.uint32 if bits <= 32 else np.uint64
+        first = [(np.array([_FIRST]) >> shift).astype(kind)]
+        for b in chunk.to_batches():
             for w in word_chunks(b.column("text"), letters_only=True):
-                first += [np.unique(w.hash >> shift), np.unique(bigram_hashes(w.hash, w.bounds)[1] >> shift)]
-        first = np.unique(np.concatenate(first))
+                first += [np.unique((h >> shift).astype(kind)) for h in (w.hash, bigram_hashes(w.hash, w.bounds)[1])]
+        first = np.unique(np.concatenate(first)).astype(np.uint64)
         part, begin = np.unique((first * np.uint64(n)) >> np.uint64(bits), return_index=True)
         pieces = np.split(first, begin[1:])
         return pa.table({"part": pa.array(part.astype(np.int64)), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(part), pa.int64()),
@@ -420,10 +431,9 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, types))})
 
     def scored(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        (bigrams, counts), (words, v) = _table_rows(found)
-        answers = Answers(np.concatenate([bigrams, words]), np.repeat([2, WIDTH], [len(bigrams), len(words)]), np.concatenate([counts.ravel(), v.ravel()]), shared)
+        answers = Answers.of_rows(_table_rows(found), shared)
         ids, out = [], [np.zeros((0, READINGS * FEATURES))]
-        for b in chunk.combine_chunks().to_batches():
+        for b in chunk.to_batches():
             ids.append(b.column("doc_id"))
             out += [text_features(answers, w.hash, w.bounds) for w in word_chunks(b.column("text"), letters_only=True)]
         x = np.concatenate(out)
