@@ -126,20 +126,18 @@ def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFram
         encoder = encoder_of(file.value)
         size = np.uint16 if encoder.kind == "H" else np.uint32
         n = 1 << 16 if encoder.kind == "H" else 0
-        ranks = [mix(np.arange(n, dtype=np.uint64) + np.uint64(s << 32)) for s in (1, 2)]
+        high = lambda x, s: (mix(x.astype(np.uint64) + np.uint64(s << 32)) >> np.uint64(32)).astype(np.uint32)
+        ranks = [high(np.arange(n), s) for s in (1, 2)]
+        end = size(end_id).tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                ids, low = [], ([], [])
-                for t in part.column("text"):
-                    x = np.frombuffer(encoder.encode(t.as_py() or ""), size)
-                    x = np.append(x, size(end_id))
-                    for r, out, s in zip(ranks, low, (1, 2)):
-                        h = r[x] if n else mix(x.astype(np.uint64) + np.uint64(s << 32))
-                        out.append(int(h.min() >> np.uint64(32)))
-                    ids.append(x.tobytes())
+                ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
+                x = np.frombuffer(b"".join(ids), size)
+                begin = np.cumsum([0, *map(len, ids[:-1])]) // size().itemsize
+                low = [np.minimum.reduceat(r[x] if n else high(x, s), begin) for r, s in zip(ranks, (1, 2))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([size().itemsize] * len(ids), pa.int32()),
-                                                  pa.array(low[0], pa.int64()), pa.array(low[1], pa.int64())], ["doc_id", "ids", "width", "m1", "m2"])
+                                                  *[pa.array(m.astype(np.int64)) for m in low]], ["doc_id", "ids", "width", "m1", "m2"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids binary, width int, m1 long, m2 long")
@@ -154,14 +152,23 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
     row of term -1 how many documents and ids there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
+        held, used = np.zeros((64, 1 << 16), np.uint8), 0  # terms of some documents
         for b in batches:
             for ids, width in zip(b.column("ids"), b.column("width").to_pylist()):
                 x = _numbers(ids, width)
+                if width == 2:
+                    held[used][x] = 1
+                    used, docs, total = used + 1, docs + 1, total + len(x)
+                    if used == len(held):
+                        df[:1 << 16] += held.sum(0, np.uint8)
+                        held[:], used = 0, 0
+                    continue
                 terms = np.unique(x)
                 if len(terms) and terms[-1] >= len(df):
                     df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
                 df[terms] += 1
                 docs, total = docs + 1, total + len(x)
+        df[:1 << 16] += held.sum(0, np.uint8)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs)), pa.array(np.append(np.zeros(len(at), np.int64), total))],
                                          ["term", "df", "total"])

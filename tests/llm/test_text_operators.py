@@ -354,3 +354,24 @@ def test_neighbours_are_ranked_by_bm25():
     for u in units:
         want = [sum(w for t, w in zip(v.terms.tolist(), v.weights.tolist()) if t in set(u.terms.tolist())) for v in units]
         assert index.scores(u) == pytest.approx(want, rel=1e-5)
+
+
+def test_terms_of_many_documents_are_counted_and_hashed_together(spark):
+    """Document frequencies and min-hashes over more than a block of documents, of two and of four bytes an id."""
+    import numpy as np
+    from reviewlab.llm import packing
+    from reviewlab.llm.common import mix, tokenizer_file
+    docs = spark.range(0, 700, 1, 2).selectExpr("id as doc_id", "case when id % 7 = 0 then null else repeat(concat('word ', id % 50, ' x'), cast(id % 9 as int)) end as text")
+    tokens = packing.token_ids(docs, tokenizer_file())
+    rows = tokens.collect()
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], np.uint16) for r in rows}
+    assert len(ids) == 700 and all(r["width"] == 2 for r in rows)
+    for r in rows:
+        for m, s in ((r["m1"], 1), (r["m2"], 2)):
+            assert m == int(mix(ids[r["doc_id"]].astype(np.uint64) + np.uint64(s << 32)).min() >> np.uint64(32))
+    names, df = np.unique(np.concatenate([np.unique(x) for x in ids.values()]), return_counts=True)
+    wide = spark.createDataFrame([(bytearray(x.astype(np.uint32).tobytes()), 4) for x in ids.values()], "ids binary, width int")
+    for t in (tokens, wide, tokens.select("ids", "width").where("m1 % 2 = 0").unionByName(tokens.select("ids", "width").where("m1 % 2 = 1"))):
+        got = {r["term"]: (r["df"], r["total"]) for r in packing.term_frequencies(t).collect()}
+        assert got.pop(-1) == (700, sum(map(len, ids.values())))
+        assert got == {int(k): (int(n), 0) for k, n in zip(names, df)}
