@@ -32,11 +32,13 @@ models are looked up in it. A table of up to ``SENT_ROWS`` words and bigrams goe
 to all tasks, and texts are scored where they are read. With a larger one texts
 are dealt by a hash of id and text to chunks of about ``CHUNK`` bytes, and the
 distinct words and bigrams of a chunk are joined with the table; copies or a hot
-source meet nowhere."""
+source meet nowhere. The chunks go in ``ROUNDS`` of about equal size, each saved
+before the next, so that a share of the texts and answers is on disk at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +55,8 @@ SAMPLE, CALIBRATE = 20_000, 4
 SENT_ROWS = 1_000_000
 #: bytes of text in a chunk, whose distinct words and bigrams are looked up together
 CHUNK = 8 << 20
+#: jobs that share out the chunks, whose shuffles are on disk one after the other
+ROUNDS = 8
 #: bits that a chunk asks by beyond those that number the table's rows
 SPARE_BITS = 5
 #: larger discounts of bigrams and words
@@ -368,13 +372,14 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
     A chunk asks by the first bits of its keys, some more than tell the table's
     rows apart; what it gets are whole keys, so that a few rows too many come
     and none counts for another. Keys and values go packed, a row for each
-    chunk and range of keys."""
+    chunk and range of keys. The table is packed once and met in every round."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1 + size // CHUNK, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(rows.bit_length() + SPARE_BITS, 40)
     shift = np.uint64(64 - bits)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    rounds = min(ROUNDS, 1 + size // CHUNK)
+    chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     def part_of(keys: np.ndarray) -> np.ndarray:
         return ((keys >> shift) * np.uint64(n)) >> np.uint64(bits)
@@ -440,15 +445,19 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "x": flat})
 
-    asks = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, n int, first binary")
-    known = table.mapInArrow(parts, f"part long, {ROWS}")
-    answers = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answered, f"chunk long, {ROWS}")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, x array<double>")
+    known = saved(table.mapInArrow(parts, f"part long, {ROWS}"), "packed")
+    done = []
+    for k in range(rounds):
+        dealt = chunks.where((F.col("chunk") >= k * n // rounds) & (F.col("chunk") < (k + 1) * n // rounds))
+        asks = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, n int, first binary")
+        answers = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answered, f"chunk long, {ROWS}")
+        done.append(saved(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, x array<double>"), "features"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
-    """(doc_id, x) of each row of ``docs`` (doc_id, text): in one narrow pass if
-    the table has up to ``SENT_ROWS`` rows, else by joins."""
+    """(doc_id, x) of each row of ``docs`` (doc_id, text), saved: in one narrow pass
+    if the table has up to ``SENT_ROWS`` rows, else by joins."""
     rows = table.count()
     if rows > SENT_ROWS:
         return _joined_features(docs, table, rows, shared)
@@ -461,7 +470,7 @@ def features(docs: DataFrame, table: DataFrame, shared: Shared) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.first, len(x)), flat], ["doc_id", "x"])
 
-    return docs.mapInArrow(run, "doc_id long, x array<double>")
+    return saved(docs.mapInArrow(run, "doc_id long, x array<double>"), "features")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -513,7 +522,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, sample: i
     if len(classes) < 2:
         return narrow.select("doc_id", F.lit(float(classes[0]) if classes else 0.5).alias("score"))
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATE))
-    scored = saved(features(narrow, *model(narrow, chosen.where(part != 0))), "features")
+    scored = features(narrow, *model(narrow, chosen.where(part != 0)))
     some = labelled_sample(chosen, "y", F.lit(True), sample)  # small by its bound
 
     def labelled(which: DataFrame) -> tuple[np.ndarray, np.ndarray]:
