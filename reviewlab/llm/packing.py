@@ -83,6 +83,8 @@ class Encoder(dict):
             self.checked += 1
             if out != self.slow.encode(text, add_special_tokens=False).ids:
                 raise ValueError(f"the file's tokenizer is not of the expected kind: {text!r}")
+            if self.checked == 1000:
+                self.slow = None  # its memory isn't needed any more
         return array(self.kind, out).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
@@ -109,7 +111,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder_of(file: str) -> Encoder:
-    """The encoder of this Python worker, kept between tasks."""
+    """The encoder of this Python worker, kept between tasks without the pieces
+    that it remembers."""
     if file not in _encoders:
         _encoders.clear()
         _encoders[file] = Encoder(file)
@@ -129,15 +132,18 @@ def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFram
         high = lambda x, s: (mix(x.astype(np.uint64) + np.uint64(s << 32)) >> np.uint64(32)).astype(np.uint32)
         ranks = [high(np.arange(n), s) for s in (1, 2)]
         end = size(end_id).tobytes()
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
-                x = np.frombuffer(b"".join(ids), size)
-                begin = np.cumsum([0, *map(len, ids[:-1])]) // size().itemsize
-                low = [np.minimum.reduceat(r[x] if n else high(x, s), begin) for r, s in zip(ranks, (1, 2))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([size().itemsize] * len(ids), pa.int32()),
-                                                  *[pa.array(m.astype(np.int64)) for m in low]], ["doc_id", "ids", "width", "m1", "m2"])
+        try:
+            for b in batches:
+                for k in range(0, b.num_rows, 512):
+                    part = b.slice(k, 512)
+                    ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
+                    x = np.frombuffer(b"".join(ids), size)
+                    begin = np.cumsum([0, *map(len, ids[:-1])]) // size().itemsize
+                    low = [np.minimum.reduceat(r[x] if n else high(x, s), begin) for r, s in zip(ranks, (1, 2))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([size().itemsize] * len(ids), pa.int32()),
+                                                      *[pa.array(m.astype(np.int64)) for m in low]], ["doc_id", "ids", "width", "m1", "m2"])
+        finally:
+            encoder.clear()  # the worker outlives this task and goes on with other operators
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids binary, width int, m1 long, m2 long")
