@@ -71,6 +71,15 @@ FEATURES = 5
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """Distinct numbers in ascending order, by sorting (np.unique hashes them, at
+    some ten times the cost)."""
+    numbers = np.sort(numbers)
+    new = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    return numbers[new]
+
+
 def xxhash64_longs(*columns: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of some columns of longs."""
     rotate = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
@@ -204,23 +213,22 @@ def bounded_texts(docs: DataFrame, labelled: DataFrame, bound: int) -> DataFrame
 
 
 def model(docs: DataFrame, for_model: DataFrame) -> tuple[DataFrame, Shared]:
-    """The table (key, v) of the models and their shared numbers, counted over
-    all texts of ``for_model`` (doc_id, y). v of a bigram is its occurrences in
-    class 0 and 1; of a word, the same as a context, the sums of discounts there,
-    its contexts and its P(w)."""
+    """The table (key, width, v) of the models and their shared numbers, counted
+    over all texts of ``for_model`` (doc_id, y). v, of ``width`` numbers, of a bigram
+    is its occurrences in class 0 and 1; of a word, the same as a context, the sums
+    of discounts there, its contexts and its P(w)."""
     ids = F.broadcast(for_model) if for_model.limit(SENT_ROWS + 1).count() <= SENT_ROWS else for_model
     bigrams = saved(bigram_counts(docs.join(ids, "doc_id")), "bigrams")
     d = [_estimated(bigrams, ("n0", "n1")), *[[x, x] for x, _ in SMOOTHER]]
     over = {f"o{i}{c}": _discount(F.col(f"n{c}"), d[i][c]) for i in range(READINGS) for c in (0, 1)}
     no, zero = F.lit(0).cast("long"), F.lit(0.0)
     # a word as context, as word, and in the corpus
-    sides = bigrams.select(F.explode(F.array(
-        F.struct(F.col("h").alias("key"), F.col("n0").alias("t0"), F.col("n1").alias("t1"), *[x.alias(o) for o, x in over.items()], no.alias("c0"), no.alias("c1"), no.alias("n")),
-        F.struct(F.col("w").alias("key"), no.alias("t0"), no.alias("t1"), *[zero.alias(o) for o in over],
-                 (F.col("n0") > 0).cast("long").alias("c0"), (F.col("n1") > 0).cast("long").alias("c1"), no.alias("n")))).alias("x")).select("x.*")
+    as_context = bigrams.select(F.col("h").alias("key"), F.col("n0").alias("t0"), F.col("n1").alias("t1"), *[x.alias(o) for o, x in over.items()], no.alias("c0"), no.alias("c1"), no.alias("n"))
+    as_word = bigrams.select(F.col("w").alias("key"), no.alias("t0"), no.alias("t1"), *[zero.alias(o) for o in over],
+                             (F.col("n0") > 0).cast("long").alias("c0"), (F.col("n1") > 0).cast("long").alias("c1"), no.alias("n"))
     corpus = saved(word_counts(docs), "words")
     whole = corpus.agg(F.coalesce(F.sum("n"), no).alias("n"), F.count(F.lit(1)).alias("words")).first()
-    both = sides.unionByName(corpus.select("key", no.alias("t0"), no.alias("t1"), *[zero.alias(o) for o in over], no.alias("c0"), no.alias("c1"), "n"))
+    both = as_context.unionByName(as_word).unionByName(corpus.select("key", no.alias("t0"), no.alias("t1"), *[zero.alias(o) for o in over], no.alias("c0"), no.alias("c1"), "n"))
     words = saved(both.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", *over, "c0", "c1", "n")]).where("t0 + t1 + c0 + c1 > 0"), "model")
     e = [_estimated(words, ("c0", "c1")), *[[x, x] for _, x in SMOOTHER]]
     total = words.agg(*[F.sum(c).alias(c) for c in ("c0", "c1")],
@@ -229,8 +237,8 @@ def model(docs: DataFrame, for_model: DataFrame) -> tuple[DataFrame, Shared]:
     shared = Shared(n, d, e, [[(total[f"e{i}{c}"] or 0) / n[c] if n[c] else 1.0 for c in (0, 1)] for i in range(READINGS)])
     p = ((F.col("n") + 1) / F.lit(float(whole["n"] + whole["words"] or 1))).cast("float")
     v = lambda *cols: F.array(*[F.col(c).cast("float") for c in cols])
-    return (bigrams.select(F.xxhash64("h", "w").alias("key"), v("n0", "n1").alias("v")).unionByName(
-        words.select("key", F.concat(v("t0", "t1", *over, "c0", "c1"), F.array(p)).alias("v"))), shared)
+    return (bigrams.select(F.xxhash64("h", "w").alias("key"), F.lit(2).alias("width"), v("n0", "n1").alias("v")).unionByName(
+        words.select("key", F.lit(WIDTH).alias("width"), F.array(*[F.col(c).cast("float") for c in ("t0", "t1", *over, "c0", "c1")], p).alias("v"))), shared)
 
 
 # ------------------------------------------------------------------- scoring
@@ -238,7 +246,7 @@ def model(docs: DataFrame, for_model: DataFrame) -> tuple[DataFrame, Shared]:
 def _discounted(n: np.ndarray, d: Discounts) -> np.ndarray:
     if isinstance(d, float):
         return np.maximum(n - d, 0)
-    return n - np.array([0.0, *d])[np.minimum(n, 3).astype(int)]
+    return n - np.array([0.0, *d])[np.minimum(n, 3).astype(np.uint8)]
 
 
 class Answers:
@@ -267,49 +275,60 @@ class Answers:
         v = np.concatenate([v.astype(np.float64), np.zeros((1, WIDTH))])  # the last row stands for what isn't known
         p = np.where(v[:, -1] > 0, v[:, -1], 1.0)  # cancels out where no class knows the word
         self.total = np.where(v[:, :2] > 0, v[:, :2], 1.0)
-        self.word, self.backoff = np.empty((READINGS, len(v), 2)), np.empty((READINGS, len(v), 2))
+        self.word, self.backoff = np.empty((len(v), READINGS, 2)), np.empty((len(v), READINGS, 2))
         for i in range(READINGS):
             for c in (0, 1):
                 n = shared.contexts[c]
-                self.word[i, :, c] = (_discounted(v[:, c - 3], shared.word[i][c]) / n if n else 0.0) + shared.backoff[i][c] * p
-                self.backoff[i, :, c] = np.where(v[:, c] > 0, v[:, 2 + 2 * i + c] / self.total[:, c], 1.0)
+                self.word[:, i, c] = (_discounted(v[:, c - 3], shared.word[i][c]) / n if n else 0.0) + shared.backoff[i][c] * p
+                self.backoff[:, i, c] = np.where(v[:, c] > 0, v[:, 2 + 2 * i + c] / self.total[:, c], 1.0)
+        # of a word after a context that no class knows before it, the ratio is a product of both
+        self.log_word, self.log_backoff = (np.log(x[:, :, 1] / x[:, :, 0]) for x in (self.word, self.backoff))
 
     @staticmethod
     def places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where ``keys`` stand in ``known``; len(known) if nowhere."""
         if not len(known):
             return np.zeros(len(keys), np.int64)
+        order = np.argsort(keys)  # neighbours are found near each other
+        keys = keys[order]
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, len(known))
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.where(known[at] == keys, at, len(known))
+        return out
 
-    def log_ratios(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        """log P_toxic(w|h) - log P_ordinary(w|h) of each word, for the
-        estimated and for each of the larger discounts."""
+    def log_ratios(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(READINGS, words): log P_toxic(w|h) - log P_ordinary(w|h) of each
+        word, for the estimated and for each of the larger discounts."""
         before, key = bigram_hashes(words, bounds)
-        types, inverse = np.unique(words, return_inverse=True)
-        word = self.places(self.words, types)[inverse]
+        word = self.places(self.words, words)
         context = np.empty_like(word)
         context[1:] = word[:-1]
         starts = bounds[:-1][np.diff(bounds) > 0]
         context[starts] = self.places(self.words, before[starts])
+        ratio = self.log_backoff.take(context, 0)  # rows are taken some times faster than indexed
+        ratio += self.log_word.take(word, 0)
         bigram = self.places(self.bigrams, key)
         at = np.flatnonzero(bigram < len(self.bigrams))
-        n, total = self.counts[bigram[at]].astype(np.float64), self.total[context[at]]
+        n, word, context = self.counts.take(bigram[at], 0).astype(np.float64), word[at], context[at]
+        p = self.backoff.take(context, 0)
+        p *= self.word.take(word, 0)
+        total = self.total.take(context, 0)
         for i in range(READINGS):
-            p = self.backoff[i][context] * self.word[i][word]
             for c in (0, 1):
-                p[at, c] += _discounted(n[:, c], self.shared.bigram[i][c]) / total[:, c]
-            yield np.log(p[:, 1] / p[:, 0])
+                p[:, i, c] += _discounted(n[:, c], self.shared.bigram[i][c]) / total[:, c]
+        ratio[at] = np.log(p[:, :, 1] / p[:, :, 0])
+        return np.ascontiguousarray(ratio.T)
 
 
 def text_features(answers: Answers, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(texts, READINGS * FEATURES): length-normalised log ratios of texts."""
     n = np.maximum(np.diff(bounds), 1)
     out = []
-    for r in answers.log_ratios(words, bounds):
-        r = np.clip(r, -CLIP, CLIP)
-        clear = sums(r > CLEAR, bounds)
-        out += [sums(r, bounds) / n, np.log1p(clear), np.minimum(clear, 3) / 3, 10 * clear / n, sums(np.maximum(r - CLEAR, 0), bounds) / np.sqrt(n)]
+    for r in np.clip(answers.log_ratios(words, bounds), -CLIP, CLIP):
+        at = np.flatnonzero(r > CLEAR)  # few
+        text = np.searchsorted(bounds, at, "right") - 1
+        clear, over = np.bincount(text, minlength=len(n)), np.bincount(text, r[at] - CLEAR, len(n))
+        out += [sums(r, bounds) / n, np.log1p(clear), np.minimum(clear, 3) / 3, 10 * clear / n, over / np.sqrt(n)]
     return np.stack(out, 1)
 
 
@@ -389,8 +408,8 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         first = [(np.array([_FIRST]) >> shift).astype(kind)]
         for b in chunk.to_batches():
             for w in word_chunks(b.column("text"), letters_only=True):
-                first += [np.unique((h >> shift).astype(kind)) for h in (w.hash, bigram_hashes(w.hash, w.bounds)[1])]
-        first = np.unique(np.concatenate(first)).astype(np.uint64)
+                first += [distinct((h >> shift).astype(kind)) for h in (w.hash, bigram_hashes(w.hash, w.bounds)[1])]
+        first = distinct(np.concatenate(first)).astype(np.uint64)
         part, begin = np.unique((first * np.uint64(n)) >> np.uint64(bits), return_index=True)
         pieces = np.split(first, begin[1:])
         return pa.table({"part": pa.array(part.astype(np.int64)), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(part), pa.int64()),
@@ -400,19 +419,16 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         held, count = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, sizes, v = (np.concatenate(x) for x in zip(*held))
-            begin, out = np.cumsum(sizes) - sizes, []
-            for width in (2, WIDTH):
-                rows = np.flatnonzero(sizes == width)
-                rows = rows[np.argsort(key[rows], kind="stable")]
-                names, at = np.unique(part_of(key[rows]), return_index=True)
-                out += [(int(p), *_packed_rows(key[r], v[(begin[r][:, None] + np.arange(width)).ravel()].reshape(-1, width)))
-                        for p, r in zip(names, np.split(rows, at[1:]))]
+            key, v = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, v = key[order], v.take(order, 0)
+            names, at = np.unique(part_of(key), return_index=True)
+            out = [(int(p), *_packed_rows(*x)) for p, *x in zip(names, np.split(key, at[1:]), np.split(v, at[1:]))]
             return pa.RecordBatch.from_pylist([dict(zip(("part", "width", "n", "keys", "v"), r)) for r in out], schema=schema)
 
         schema = pa.schema([("part", pa.int64()), ("width", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("v", pa.binary())])
         for b in batches:
-            held.append((b.column("key").to_numpy().view(np.uint64), *_of_lists(b.column("v"))))
+            held.append((b.column("key").to_numpy().view(np.uint64), np.stack([c.to_numpy() for c in b.columns[1:]], 1)))
             count += b.num_rows
             if count >= 1_000_000:  # bounded memory
                 yield flush()
@@ -427,7 +443,8 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
             first = _unpacked(data, many)
             for known_first, keys, v in tables:
                 begin = np.searchsorted(known_first, first)
-                count = np.searchsorted(known_first, first, "right") - begin
+                begin = begin[known_first[np.minimum(begin, len(known_first) - 1)] == first] if len(known_first) else begin[:0]
+                count = np.searchsorted(known_first, known_first[begin], "right") - begin
                 rows = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
                 if len(rows):
                     out.append((chunk, *_packed_rows(keys[rows], v[rows])))
@@ -445,10 +462,12 @@ def _joined_features(docs: DataFrame, table: DataFrame, rows: int, shared: Share
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "x": flat})
 
-    known = saved(table.mapInArrow(parts, f"part long, {ROWS}"), "packed")
+    # numbers go to Python as columns, which takes Spark less time than lists
+    wide = [table.where(F.col("width") == k).select("key", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(k)]) for k in (2, WIDTH)]
+    known = saved(reduce(DataFrame.unionByName, [x.mapInArrow(parts, f"part long, {ROWS}") for x in wide]), "packed")
     done = []
     for k in range(rounds):
-        dealt = chunks.where((F.col("chunk") >= k * n // rounds) & (F.col("chunk") < (k + 1) * n // rounds))
+        dealt = chunks.where(F.expr(f"chunk * {rounds} div {n}") == k)
         asks = dealt.groupBy("chunk").applyInArrow(asked, "part long, chunk long, n int, first binary")
         answers = asks.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answered, f"chunk long, {ROWS}")
         done.append(saved(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, x array<double>"), "features"))
