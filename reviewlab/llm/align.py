@@ -38,9 +38,11 @@ from reviewlab.llm.common import saved
 from reviewlab.llm.packing import PATTERN, byte_ranks
 
 #: bytes of text in a chunk, and in a step of its encoding (a longer text is a chunk of its own)
-CHUNK, STEP = 8 << 20, 2 << 20
+CHUNK, STEP = 2 << 20, 1 << 20
+#: bytes of rows that are sent to Python at once
+SENT = 4 << 20
 #: parts of text that a worker remembers, and characters of theirs
-REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
+REMEMBERED, REMEMBERED_CHARS = 150_000, 4 << 20
 #: parts, and whole texts, whose fast encoding is held against the libraries' own
 CHECKED, CHECKED_TEXTS = 1000, 50
 #: groups with more links than this count them by distinct ids
@@ -110,6 +112,8 @@ class Tokenizers:
             a, b = self.ids(parts)
             if [i for x in a for i in x] != self.slow.encode(" " + text, add_special_tokens=False).ids or [i for x in b for i in x] != self.model.encode(text):
                 raise ValueError(f"the tokenizers don't part texts at single spaces: {text[:200]!r}")
+        elif self.checked >= CHECKED:
+            self.slow = None  # some 35 MB, not asked again
         return parts
 
 
@@ -164,6 +168,17 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return np.sort(np.concatenate(cuts)) if cuts else np.zeros(0, np.int64)
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the place of each key among them."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return key[new], at
+
+
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... of each run of ``size``, one after the other."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -171,7 +186,8 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _summed(row: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, key), in order, with the sum of their times."""
-    order = np.lexsort((key, row))
+    most, span = (int(x.max(initial=0)) + 1 for x in (row, key))
+    order = np.argsort(row * span + key) if most * span < 1 << 63 else np.lexsort((key, row))
     row, key, times = row[order], key[order], times[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
@@ -192,11 +208,26 @@ class Parts(dict):
         self.words = [x + "," for x in bare] + [x + "|" for x in bare] + [x + ";" for x in bare]
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, keep: int = 0) -> None:
+        """Forget all parts but the ``keep`` that were met most often."""
+        names = list(self) if keep else []
+        at = np.sort(np.argsort(-self.met[:len(names)], kind="stable")[:keep]) if keep else np.zeros(0, np.int64)
+        names = [names[i] for i in at.tolist()]
+        chars = sum(map(len, names))
+        if 2 * chars > REMEMBERED_CHARS:
+            return self.forget()
         self.clear()
-        self.new, self.chars, self.lines = [], 0, []
-        none = np.zeros(0, np.int64)
-        self.numbers, self.start, self.key, self.times = np.zeros((5, 0), np.int64), none, none, none
+        self.update(zip(names, range(len(names))))
+        self.new, self.chars, self.lines = [], chars, [self.lines[i] for i in at.tolist()]
+        if not keep:
+            none = np.zeros(0, np.int64)
+            self.numbers, self.start, self.key, self.times, self.met = np.zeros((5, 0), np.int64), none, none, none, none
+            return
+        self.numbers = self.numbers[:, at]
+        size = self.numbers[4]
+        of = _ragged(self.start[at], size)
+        self.start, self.key, self.times = np.cumsum(size) - size, self.key[of], self.times[of]
+        self.met = self.met[at] // 2  # what was met long ago counts less
 
     def __missing__(self, part: str) -> int:
         self.new.append(part)
@@ -246,6 +277,7 @@ class Parts(dict):
         self.start = np.concatenate([self.start, len(self.key) + np.cumsum(size) - size])
         self.key, self.times = np.concatenate([self.key, key]), np.concatenate([self.times, times])
         self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, np.bincount(of, minlength=n), n_links, size])], 1)
+        self.met = np.concatenate([self.met, np.zeros(n, np.int64)])
 
     def _lines(self, a, b, cut_a, cut_b, size_a, size_b, size) -> list[str]:
         """Each part's groups as a1,a2|b1;a3|b2,b3; (nothing for a part without)."""
@@ -277,12 +309,13 @@ def _parts(file: str, model: bytes) -> Parts:
 
 class Step:
     """The links of some texts: per text n_a, n_b, n_groups, n_links and the
-    hash of its groups; distinct (text, pair) with their occurrences."""
+    hash of its groups; the distinct pairs, and each text's places among them
+    with their occurrences."""
 
     def __init__(self, texts: list[str | None], parts: Parts) -> None:
         n = len(texts)
         if len(parts) > REMEMBERED or parts.chars > REMEMBERED_CHARS:
-            parts.forget()
+            parts.forget(REMEMBERED // 3)
         number = parts.__getitem__
         met = [list(map(number, parts.of.parts(t))) if t else [] for t in texts]
         parts.learn()
@@ -299,14 +332,21 @@ class Step:
                 self.sha[i] = hashlib.sha256("".join(map(parts.lines.__getitem__, x))[:-1].encode()).hexdigest()
         row = np.repeat(np.arange(n), [len(x) for x in met])
         part = np.array([p for x in met for p in x], np.int64)
+        del met
         row, part, count = _summed(row, part, np.ones(len(part), np.int64))
+        np.add.at(parts.met, part, count)
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
         for k, out in enumerate((self.n_a, self.n_b, self.n_groups, self.n_links)):
             np.add.at(out, row, count * parts.numbers[k, part])
         size = parts.numbers[4, part]
         at = _ragged(parts.start[part], size)
-        text, self.key, times = _summed(np.repeat(row, size), parts.key[at], np.repeat(count, size) * parts.times[at])
+        text, key, times = _summed(np.repeat(row, size), parts.key[at], np.repeat(count, size) * parts.times[at])
         self.text, self.times = text.astype(np.int32), times.astype(np.int32)
+        self.pairs, self.pair = _numbered(key)
+
+    @property
+    def key(self) -> np.ndarray:
+        return self.pairs[self.pair]
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -314,18 +354,25 @@ _CHUNK_SCHEMA = ("chunk long, doc_id array<long>, sha array<string>, n_a binary,
                  "pairs array<long>, docs array<long>, row binary, pair binary, times binary")
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """One binary value, the bytes of ``x``, which are not copied."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)])
+
+
 def _chunk_row(chunk: int, ids: list, steps: list[Step]) -> pa.RecordBatch:
     base = np.cumsum([0] + [len(s.sha) for s in steps[:-1]])
     row = np.concatenate([s.text + np.int32(k) for s, k in zip(steps, base)])
-    key, times = np.concatenate([s.key for s in steps]), np.concatenate([s.times for s in steps])
-    pairs, at = np.unique(key, return_inverse=True)
+    times = np.concatenate([s.times for s in steps])
+    pairs, place = _numbered(np.concatenate([s.pairs for s in steps]))
+    place = np.split(place, np.cumsum([len(s.pairs) for s in steps[:-1]]))
+    at = np.concatenate([p[s.pair] for s, p in zip(steps, place)])
     docs = np.bincount(at, minlength=len(pairs))
-    numbers = [pa.array([np.concatenate([getattr(s, c) for s in steps]).astype(np.int64).tobytes()], pa.binary()) for c in _COUNTS]
+    numbers = [_bytes(np.concatenate([getattr(s, c) for s in steps]).astype(np.int64)) for c in _COUNTS]
     listed = lambda x, t: pa.array([x], pa.list_(t))
     # links lie by document, so a document's share of them is a bincount of row
     return pa.RecordBatch.from_arrays(
         [pa.array([chunk], pa.int64()), listed(ids, pa.int64()), listed([x for s in steps for x in s.sha], pa.string()), *numbers,
-         listed(pairs, pa.int64()), listed(docs, pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (row, at.astype(np.int32), times)]],
+         listed(pairs, pa.int64()), listed(docs, pa.int64()), *map(_bytes, (row, at, times))],
         [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")])
 
 
@@ -383,7 +430,7 @@ def alignment(docs: DataFrame, tokenizer_file: str, piece_model: bytes) -> DataF
     and ''. Every row is a document of its own, so repeated rows and ids, also
     null ones, each count and have a row each. Other columns are not looked
     at; no rows, no result. A text is worked on as a whole by one task."""
-    chunks = saved(aligned_chunks(docs, tokenizer_file, piece_model), "chunks")
+    chunks = saved(aligned_chunks(docs, tokenizer_file, piece_model), "chunks", {"spark.sql.execution.arrow.maxBytesPerBatch": str(SENT)})
     found = (chunks.select(F.col("chunk").alias("of"), F.explode("pairs").alias("p"))
              .join(pair_counts(chunks), F.col("p") == F.col("pair")).select("of", "pair", "n", "best"))
 
